@@ -8,6 +8,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 
 from dipstick.operators import features, forecast, profile
+from dipstick.plans import training
 from dipstick.session import fresh_path, materialise
 from dipstick.sources import sinks, tables
 
@@ -56,6 +57,11 @@ class Inputs:
     def seeded(self) -> DataFrame:
         return forecast.seeded_state(self.features, self.multipliers)
 
+    @cached_property
+    def trained(self) -> training.Trained:
+        """The classifier, fitted once per session."""
+        return training.train(self.prepared)
+
     @cached_property
     def ledger_csv(self) -> str:
         return sinks.write_csv(self.ledger, self.path("ledger-csv"))

@@ -1 +1,132 @@
-"""Pending."""
+"""J: lookups and joins."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from dipstick.catalog.base import query
+from dipstick.catalog.sql import LEDGER, MULTIPLIERS, PROFILE, over, rnd
+from dipstick.config import PRODUCTS
+from dipstick.functions import numeric
+from dipstick.operators import profile, smote, stats
+from dipstick.sources import artefacts, readers
+
+
+@query(
+    "j01_month_multiplier",
+    over(
+        MULTIPLIERS,
+        """SELECT l.station_id, l."Date", coalesce(m.multiplier, 1.0) AS multiplier FROM ledger l
+        LEFT JOIN (SELECT * FROM multipliers WHERE "Month" <> 2) m ON m.station_id = l.station_id AND m."Month" = l.mon""",
+    ),
+)
+def month_multiplier(data):
+    """February is left out of the lookup, so its days take the default."""
+    known = data.multipliers.where(F.col("Month") != 2)
+    days = data.ledger.select("station_id", "Date", F.month("Date").alias("Month"))
+    return days.join(known, ["station_id", "Month"], "left").select(
+        "station_id", "Date", F.coalesce("multiplier", F.lit(1.0)).alias("multiplier")
+    )
+
+
+@query(
+    "j02_weekday_lookup",
+    over(
+        PROFILE,
+        f"""SELECT f.station_id, f."Date", {rnd('p.ewm_avg', 6)} AS ewm_avg, {rnd('p.blended', 6)} AS blended, {rnd('p.MS_Sold', 6)} AS MS_share
+        FROM feat f JOIN profile p ON p.station_id = f.station_id AND p.DayOfWeek = f.DayOfWeek""",
+    ),
+)
+def weekday_lookup(data):
+    lookup = profile.weekday_profile(data.features).select("station_id", "DayOfWeek", "ewm_avg", "blended", "MS_Sold")
+    days = data.ledger.select("station_id", "Date", F.weekday("Date").alias("DayOfWeek"))
+    return days.join(lookup, ["station_id", "DayOfWeek"], "left").select(
+        "station_id", "Date",
+        *[numeric.half_even(F.col(c), 6).alias(n)
+          for c, n in (("ewm_avg", "ewm_avg"), ("blended", "blended"), ("MS_Sold", "MS_share"))],
+    )
+
+
+@query(
+    "j03_feature_correlation",
+    over(
+        LEDGER,
+        f"""SELECT station_id, 'Cash' AS Feature, 0.5::DOUBLE AS Importance, {rnd('corr(Cash, Target)', 6)} AS Correlation_with_Target FROM ledger GROUP BY 1
+        UNION ALL SELECT DISTINCT station_id, 'Unknown', 0.25, CAST(0 AS DOUBLE) FROM ledger""",
+    ),
+)
+def feature_correlation(data):
+    table = data.ledger.limit(1).select(
+        F.inline(F.array(*[F.struct(F.lit(f).alias("Feature"), F.lit(i).alias("Importance")) for f, i in (("Cash", 0.5), ("Unknown", 0.25))]))
+    )
+    return artefacts.with_correlations(table, data.ledger)
+
+
+@query(
+    "j04_aligned_ratio",
+    over(
+        LEDGER,
+        "SELECT a.station_id, a.dow AS DayOfWeek, " + rnd("num / den", 6) + """ AS ratio FROM
+        (SELECT station_id, dow, avg(HSD1_Sold) AS num FROM ledger GROUP BY 1, 2) a JOIN
+        (SELECT station_id, dow, avg(Total_Sold) AS den FROM ledger GROUP BY 1, 2) b ON a.station_id = b.station_id AND a.dow = b.dow""",
+    ),
+)
+def aligned_ratio(data):
+    """Two grouped means divided key by key: one aggregate, no join."""
+    dated = data.ledger.withColumn("DayOfWeek", F.weekday("Date"))
+    return profile.product_shares(dated).select(
+        "station_id", "DayOfWeek", numeric.half_even(F.col(PRODUCTS[1]), 6).alias("ratio")
+    )
+
+
+@query(
+    "j05_all_weekdays",
+    over(
+        LEDGER,
+        f"""SELECT s.station_id, CAST(d AS INTEGER) AS DayOfWeek, {rnd('coalesce(avg(l.Total_Sold), 0)', 4)} AS avg_sold
+        FROM (SELECT DISTINCT station_id FROM ledger) s, range(7) AS t(d)
+        LEFT JOIN ledger l ON l.station_id = s.station_id AND l.dow = d AND l.dow <> 3 GROUP BY 1, 2""",
+    ),
+)
+def all_weekdays(data):
+    """Thursdays are left out and still get their row."""
+    return stats.sales_by_weekday(data.ledger.where(F.weekday("Date") != 3), 4).select("station_id", "DayOfWeek", "avg_sold")
+
+
+_NEIGHBOUR_FEATURES = ("Opening_Stock", "Total_Sold", "MS_Sold", "HSD1_Sold", "HSD2_Sold", "HSD3_Sold")
+
+NEIGHBOURS_SQL = over(
+    LEDGER,
+    """, part AS (SELECT *, CASE WHEN rn <= floor(count(*) OVER (PARTITION BY station_id) * CAST(0.8 AS DOUBLE)) THEN 1 ELSE 0 END AS train FROM ledger),
+    minority AS MATERIALIZED (SELECT p.* FROM part p JOIN (
+      SELECT station_id, CASE WHEN count(*) FILTER (WHERE Target = 1) <= count(*) FILTER (WHERE Target = 0) THEN 1 ELSE 0 END AS c
+      FROM part WHERE train = 1 GROUP BY 1) s ON p.station_id = s.station_id AND p.Target = s.c WHERE train = 1)
+    SELECT a.station_id, a."Date", b."Date" AS neighbour, """
+    + rnd("sqrt(CAST(" + " + ".join(f"(a.{f} - b.{f}) * (a.{f} - b.{f})" for f in _NEIGHBOUR_FEATURES) + " AS DOUBLE))", 6)
+    + """ AS distance, CAST(row_number() OVER (PARTITION BY a.station_id, a."Date" ORDER BY """
+    + " + ".join(f"(a.{f} - b.{f}) * (a.{f} - b.{f})" for f in _NEIGHBOUR_FEATURES)
+    + """, b."Date") AS INTEGER) AS rank
+    FROM minority a JOIN minority b ON a.station_id = b.station_id AND a."Date" <> b."Date"
+    QUALIFY rank <= 5""",
+)
+
+
+@query("j07_m04_neighbours", NEIGHBOURS_SQL)
+def minority_neighbours(data):
+    split = stats.timeline.chronological_split(data.ledger)
+    minority = smote.minority_rows(split.where(F.col("split") == "train"))
+    return smote.neighbours(minority, _NEIGHBOUR_FEATURES).select(
+        "station_id", "Date", "rank", "neighbour", numeric.half_even(F.col("distance"), 6).alias("distance")
+    )
+
+
+@query(
+    "j08_qualifying_sheets",
+    over(LEDGER, 'SELECT CAST(year("Date") AS INTEGER) AS _sheet, station_id, "Date" FROM ledger WHERE Target = 1 AND dow = 0 AND mon = 1 AND (station_id, year("Date")) IS NOT NULL QUALIFY count(*) OVER (PARTITION BY year("Date")) > 5'),
+)
+def qualifying_sheets(data):
+    """Refill Mondays in January by year; years with at most five are dropped."""
+    picked = data.ledger.where(
+        (F.col("Target") == 1) & (F.weekday("Date") == 0) & (F.month("Date") == 1)
+    ).select(F.year("Date").alias("_sheet"), "station_id", "Date")
+    return readers.qualifying_rows(picked).select("_sheet", "station_id", "Date")

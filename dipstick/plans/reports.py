@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from dipstick.config import SERVE, Tank
 from dipstick.functions import calendar, numeric, text
-from dipstick.operators import forecast, timeline
+from dipstick.operators import forecast, profile, timeline
 from dipstick.operators import model as forests
 
 
@@ -100,6 +100,23 @@ def first_below(path: DataFrame) -> DataFrame:
     return path.groupBy("station_id").agg(F.min(below).alias("day_idx"), F.min_by("label", below).alias("label"))
 
 
+def predict_with_model(model, features: DataFrame, multipliers: DataFrame, cfg: Tank = SERVE) -> DataFrame:
+    """The refill decision whose confidence is the model's on the last simulated day."""
+    seeded = forecast.seeded_state(features, multipliers, cfg)
+    walked = forecast.walk(seeded, forecast.PREDICT, cfg)
+    last_days = timeline.edge_rows(walked, ["Date"]).withColumnRenamed("Date", "_last")
+    scored = scored_walk(model, walked, profile.weekday_profile(features, cfg), cfg)
+    confidence = scored.join(last_days, "station_id").where(F.col("Date") == F.col("_last")).select(
+        "station_id", F.col("confidence").alias("_confidence")
+    )
+    return (
+        forecast.decide(seeded, cfg)
+        .join(confidence, "station_id", "left")
+        .withColumn("confidence", F.coalesce("_confidence", "confidence"))
+        .drop("_confidence")
+    )
+
+
 def scored_walk(model, walked: DataFrame, weekdays: DataFrame, cfg: Tank = SERVE) -> DataFrame:
     """Model probability, label and confidence for all simulated days in one batch."""
     rows = forecast.feature_rows(walked, weekdays, cfg)

@@ -55,7 +55,7 @@ def train(
     names = model_features(selected, prepared.columns) if selected else list(MODEL_FEATURES)
     table = materialise(training_table(prepared, cfg), "training")
     known, unseen = table.where(F.col("split") == "train"), table.where(F.col("split") == "test")
-    balanced = smote.balance(known, names)
+    balanced = materialise(smote.balance(known, names), "balanced")
     fitted = model.fit_forest(balanced, names, trees, depth)
     scored = model.score(fitted, unseen)
     return Trained(
