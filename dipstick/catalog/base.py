@@ -57,6 +57,11 @@ class Inputs:
     def seeded(self) -> DataFrame:
         return forecast.seeded_state(self.features, self.multipliers)
 
+    @cached_property
+    def ranked(self) -> DataFrame:
+        """Feature importances of the full-size ranking forest, fitted once per session."""
+        return training.rank_features(self.prepared)
+
     @cached_property
     def trained(self) -> training.Trained:
         """The classifier, fitted once per session."""

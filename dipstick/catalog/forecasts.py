@@ -274,7 +274,9 @@ def default_prediction(data):
 
 
 _RECENT = """, recent AS (SELECT station_id, avg(Total_Sold) AS m FROM (SELECT * FROM feat QUALIFY row_number() OVER (PARTITION BY station_id ORDER BY "Date" DESC) <= 7) GROUP BY 1),
-accuracy AS (SELECT station_id, avg(CAST((opening >= 6540) <> (Target = 1) AS INTEGER)) AS a FROM (SELECT station_id, Opening_Stock AS opening, Target FROM feat) GROUP BY 1)"""
+accuracy AS (SELECT station_id, avg(CAST((score >= 0.83) = (Target = 1) AS INTEGER)) AS a FROM (SELECT station_id, Target, """ + rnd(
+    "least(greatest((CAST(16500 AS DOUBLE) - Opening_Stock) / 12000, 0), 1)", 2
+) + """ AS score FROM feat) GROUP BY 1)"""
 
 
 @query(

@@ -111,7 +111,8 @@ NEIGHBOURS_SQL = over(
 )
 
 
-@query("j07_m04_neighbours", NEIGHBOURS_SQL)
+@query("m04_neighbours", NEIGHBOURS_SQL)
+@query("j07_neighbour_join", NEIGHBOURS_SQL)
 def minority_neighbours(data):
     split = stats.timeline.chronological_split(data.ledger)
     minority = smote.minority_rows(split.where(F.col("split") == "train"))

@@ -1,4 +1,4 @@
-"""M, J06, T03, T06, F15: features for training, forests, balancing and metrics."""
+"""M, J06, T03, T06 and F15: features for training, forests, balancing and metrics."""
 
 from __future__ import annotations
 
@@ -10,30 +10,22 @@ from pyspark.sql import functions as F
 from dipstick.catalog.base import query
 from dipstick.catalog.sources import scored
 from dipstick.catalog.sql import FEATURES, LEDGER, SCORED, over, rnd
-from dipstick.config import ENGINEERED
+from dipstick.config import ENGINEERED, PRODUCTS
 from dipstick.functions import numeric
 from dipstick.operators import clean, features, forecast, metrics, model, profile, smote, timeline
 from dipstick.plans import reports
 
 
-def _ranked(data) -> DataFrame:
-    """Importances of a small forest over all days."""
-    names = clean.numeric_columns(clean.candidate_features(data.prepared))
-    fitted = model.fit_importance_forest(data.prepared, names, trees=20, depth=10)
-    return model.importance_table(fitted)
-
-
 @query("m01_importance_forest")
 def importance_forest(data):
-    """The ranking forest at its full size."""
-    names = clean.numeric_columns(clean.candidate_features(data.prepared))
-    return model.importance_table(model.fit_importance_forest(data.prepared, names))
+    """The ranking forest at its full size: (Feature, Importance), largest first."""
+    return data.ranked
 
 
-@query("m02_t06_selected_features")
-def selected_features(data):
+@query("m02_importance_table")
+def importance_table(data):
     """Features kept and dropped by the 1 % threshold, largest importance first."""
-    ranked = _ranked(data)
+    ranked = data.ranked
     kept = model.select_features(ranked).withColumn("selected", F.lit(True))
     return kept.unionByName(model.dropped_features(ranked).withColumn("selected", F.lit(False))).orderBy(
         F.desc("Importance"), "Feature"
@@ -41,32 +33,69 @@ def selected_features(data):
 
 
 @query(
-    "t03_j06_t06_importance_order",
+    "m02_importances_hold",
+    "SELECT CAST(count(*) AS BIGINT) AS n_features, true AS sums_to_one, 'Opening_Stock' AS strongest FROM (VALUES "
+    + ", ".join("(0)" for _ in range(19)) + ") AS t(x)",
+)
+def importances_hold(data):
+    """Every candidate is ranked, shares sum to one, and the opening stock leads as published."""
+    return data.ranked.agg(
+        F.count("*").alias("n_features"),
+        (F.abs(F.sum("Importance") - 1) < 1e-9).alias("sums_to_one"),
+        F.max_by("Feature", "Importance").alias("strongest"),
+    )
+
+
+# Product litres over total litres stand for importances: exact, and different per station.
+_SHARES = """, shares AS (SELECT station_id, f AS Feature, s AS Importance FROM (
+  SELECT station_id, unnest(['MS_Sold', 'HSD1_Sold', 'HSD2_Sold', 'HSD3_Sold']) AS f,
+    unnest([sum(MS_Sold), sum(HSD1_Sold), sum(HSD2_Sold), sum(HSD3_Sold)]) / sum(Total_Sold) AS s FROM ledger GROUP BY 1))"""
+
+
+def _shares(data) -> DataFrame:
+    sums = data.ledger.groupBy("station_id").agg(*[F.sum(c).alias(c) for c in (*PRODUCTS, "Total_Sold")])
+    entries = [F.struct(F.lit(c).alias("Feature"), (F.col(c) / F.col("Total_Sold")).alias("Importance")) for c in PRODUCTS]
+    return sums.select("station_id", F.inline(F.array(*entries)))
+
+
+def _rounded_shares(df: DataFrame) -> DataFrame:
+    return df.withColumn("Importance", numeric.half_even(F.col("Importance"), 6))
+
+
+@query(
+    "t03_importance_order",
     over(
-        LEDGER,
-        """, shares AS (SELECT station_id, f AS Feature, s AS Importance, row_number() OVER (PARTITION BY station_id ORDER BY s DESC) AS falling FROM (
-          SELECT station_id, unnest(['MS_Sold', 'HSD1_Sold', 'HSD2_Sold', 'HSD3_Sold']) AS f,
-            unnest([sum(MS_Sold), sum(HSD1_Sold), sum(HSD2_Sold), sum(HSD3_Sold)]) / sum(Total_Sold) AS s FROM ledger GROUP BY 1))
-        SELECT station_id, Feature, CAST(falling AS INTEGER) AS falling, """ + rnd("Importance", 6) + """ AS Importance, Importance >= 0.2 AS selected FROM shares""",
+        LEDGER + _SHARES,
+        f"""SELECT station_id, Feature, {rnd('Importance', 6)} AS Importance,
+          CAST(row_number() OVER (PARTITION BY station_id ORDER BY Importance DESC) AS INTEGER) AS falling,
+          CAST(row_number() OVER (PARTITION BY station_id ORDER BY Importance) AS INTEGER) AS rising FROM shares""",
     ),
 )
 def importance_order(data):
-    """Product litres as importances: looked up by name, ranked and cut by a threshold."""
-    names = ("MS_Sold", "HSD1_Sold", "HSD2_Sold", "HSD3_Sold")
-    sums = data.ledger.groupBy("station_id").agg(*[F.sum(c).alias(c) for c in (*names, "Total_Sold")])
-    table = sums.select(
-        "station_id",
-        F.inline(F.array(*[F.struct(F.lit(c).alias("Feature"), (F.col(c) / F.col("Total_Sold")).alias("Importance")) for c in names])),
-    )
-    falling = F.row_number().over(timeline.station().orderBy(F.desc("Importance")))
-    ranked = table.withColumn("falling", falling)
-    parts = [
-        fn(ranked, 0.2).withColumn("selected", F.lit(flag))
-        for fn, flag in ((model.select_features, True), (model.dropped_features, False))
-    ]
-    named = ranked.select("station_id", "Feature", "falling")
-    both = parts[0].unionByName(parts[1]).drop("falling")
-    return both.join(named, ["station_id", "Feature"]).withColumn("Importance", numeric.half_even(F.col("Importance"), 6))
+    orders = {"falling": F.desc("Importance"), "rising": F.asc("Importance")}
+    ranks = {n: F.row_number().over(timeline.station().orderBy(o)) for n, o in orders.items()}
+    return _rounded_shares(_shares(data).withColumns(ranks))
+
+
+@query(
+    "t06_threshold_selection",
+    over(LEDGER + _SHARES, f"SELECT station_id, Feature, {rnd('Importance', 6)} AS Importance, Importance >= 0.2 AS selected FROM shares"),
+)
+def threshold_selection(data):
+    shares = _shares(data)
+    kept = model.select_features(shares, 0.2).withColumn("selected", F.lit(True))
+    return _rounded_shares(kept.unionByName(model.dropped_features(shares, 0.2).withColumn("selected", F.lit(False))))
+
+
+@query(
+    "j06_importance_by_name",
+    over(LEDGER + _SHARES, f"SELECT station_id, Feature, {rnd('Importance', 6)} AS Importance FROM shares WHERE Importance >= 0.2"),
+)
+def importance_by_name(data):
+    """Names of selected features looked up in the importance table."""
+    shares = _shares(data)
+    selected = model.select_features(shares, 0.2).select("station_id", "Feature")
+    return _rounded_shares(selected.join(shares, ["station_id", "Feature"]))
 
 
 @query(

@@ -247,22 +247,32 @@ def importance_table(data):
 
 
 @query(
-    "s15_s18_model_round_trip",
+    "s15_model_load",
     over(LEDGER, "SELECT station_id, count(*) AS n_days, count(*) AS same FROM ledger GROUP BY 1"),
 )
-def model_round_trip(data):
+def model_load(data):
     """Days on which a stored and reloaded model scores as the fitted one does."""
-    names = list(MODEL_FEATURES)
-    table = data.features
-    fitted = model.fit_forest(table, names, trees=5, depth=5)
-    loaded = artefacts.load_model(artefacts.save_model(fitted, data.path("model")))
-    both = [model.score(m, table).select("station_id", "Date", F.col("score").alias(n))
-            for m, n in ((fitted, "fitted"), (loaded, "loaded"))]
+    fitted = data.trained.model
+    path = artefacts.save_model(fitted, data.path("model"))
+    both = [model.score(m, data.features).select("station_id", "Date", F.col("score").alias(n))
+            for m, n in ((fitted, "fitted"), (artefacts.load_model(path), "loaded"))]
     return both[0].join(both[1], ["station_id", "Date"]).groupBy("station_id").agg(
         F.count("*").alias("n_days"), F.count_if(F.col("fitted") == F.col("loaded")).alias("same")
     )
 
 
+@query(
+    "s18_model_sink",
+    "SELECT * FROM (VALUES " + ", ".join(f"(CAST({i} AS INTEGER), '{f}')" for i, f in enumerate(MODEL_FEATURES)) + ") AS t(position, Feature)",
+)
+def model_sink(data):
+    """The ordered feature contract found in a stored model."""
+    path = artefacts.save_model(data.trained.model, data.path("model"))
+    names = artefacts.load_model(path).stages[0].getInputCols()
+    contract = data.ledger.limit(1).select(F.array(*[F.lit(f) for f in names]).alias("f"))
+    return contract.select(F.posexplode("f").alias("position", "Feature"))
+
+
 @query("s16_csv_sink", over(LEDGER, f"SELECT {_TYPED} FROM ledger"))
 def csv_sink(data):
     path = sinks.write_csv(data.ledger, data.path("clean"), ("station_id",))
@@ -327,7 +337,7 @@ def preview(data):
     return readers.preview(data.ledger)
 
 
-@query("s21_t05_simulation_head", over(LEDGER, 'SELECT station_id, "Date", Total_Sold FROM ledger QUALIFY row_number() OVER (PARTITION BY station_id ORDER BY "Date") <= 8'))
+@query("t05_head_per_station", over(LEDGER, 'SELECT station_id, "Date", Total_Sold FROM ledger QUALIFY row_number() OVER (PARTITION BY station_id ORDER BY "Date") <= 8'))
 def head_per_station(data):
     first = F.row_number().over(stats.timeline.days())
     return data.ledger.select("station_id", "Date", "Total_Sold").withColumn("_at", first).where(F.col("_at") <= 8).drop("_at")

@@ -9,6 +9,7 @@ from dipstick.catalog.sql import FEATURES, LEDGER, LEDGER_COLUMNS, PROFILE, STAT
 from dipstick.config import SERVE
 from dipstick.functions import numeric
 from dipstick.operators import clean, features, forecast, profile, timeline
+from dipstick.sources import readers
 
 _W = 'PARTITION BY station_id ORDER BY "Date"'
 
@@ -274,3 +275,46 @@ def last_known(data):
 )
 def forward_fill(data):
     return clean.forward_fill(gappy(data.ledger))
+
+
+_SERVED = (
+    "Month", "Year", "DayOfWeek", "Is_Weekend", "Rolling_7d_Sales", "Prev_Closing", "Stock_Ratio", "Is_Festival_Month",
+    "Is_Monsoon_Month", "Lag1_Total_Sold", "Lag2_Total_Sold", "Lag1_Closing", "DOW_Avg_Sales", "Sales_Trend", "Days_Since_Refill",
+)
+_LONG_FRACTIONS = ("Lag1_Total_Sold", "Lag2_Total_Sold", "Lag1_Closing", "DOW_Avg_Sales")
+
+
+@query(
+    "serving_features",
+    over(
+        FEATURES,
+        'SELECT station_id, "Date", "Day", Target, '
+        + ", ".join(f"{rnd(c, 6)} AS {c}" if c in _LONG_FRACTIONS else f'"{c}"' for c in _SERVED)
+        + " FROM feat",
+    ),
+)
+def serving_features(data):
+    """The whole serving path: CSV text in, every feature out."""
+    table = readers.read_ledger(data.spark, data.ledger_csv)
+    table = features.normalise(table.drop("Target", *_SERVED))
+    return table.select(
+        "station_id", "Date", "Day", "Target",
+        *[(numeric.half_even(F.col(c), 6) if c in _LONG_FRACTIONS else F.col(c)).alias(c) for c in _SERVED],
+    )
+
+
+@query(
+    "clean_table",
+    over(
+        LEDGER,
+        f"""SELECT {LEDGER_COLUMNS}, CAST(year("Date") AS INTEGER) AS "Year", mon AS "Month", dow AS DayOfWeek, CAST(quarter("Date") AS INTEGER) AS "Quarter",
+          CAST(dow >= 5 AS INTEGER) AS Is_Weekend, dow AS Day_Num, {rnd('CAST(Closing_Stock AS DOUBLE) / 12000', 4)} AS Stock_Ratio,
+          {rnd(f'avg(Total_Sold) OVER ({_W} ROWS BETWEEN 6 PRECEDING AND CURRENT ROW)', 0)} AS Rolling_7d_Sales,
+          CAST(lag(Closing_Stock, 1, 12000) OVER ({_W}) AS DOUBLE) AS Prev_Closing,
+          CAST(mon IN (10, 11) AS INTEGER) AS Is_Festival_Month, CAST(mon IN (6, 7, 8) AS INTEGER) AS Is_Monsoon_Month FROM ledger""",
+    ),
+)
+def clean_table(data):
+    """The preparation path: strict day-first dates, forward fill, calendar and business features."""
+    written = data.ledger.withColumn("Date", F.date_format("Date", "dd-MM-yyyy"))
+    return features.prepare(written)

@@ -7,10 +7,19 @@ from pyspark.sql import functions as F
 
 from dipstick.config import MONTHS, WEEKDAYS
 
-# Accepted date layouts, in the order they are tried.
+# Accepted date layouts by the shape of the text. The shapes exclude each other: with
+# two numbers in front, the second is the month where it can be one, else the first is.
+_MONTH = "(0?[1-9]|1[0-2])"
 DATE_LAYOUTS = (
-    "yyyy-M-d", "yyyy/M/d", "d/M/yyyy", "d-M-yyyy", "M/d/yyyy", "M-d-yyyy", "d MMM yyyy", "d-M-yy",
-    "yyyy-M-d HH:mm:ss",
+    (r"\d{4}-\d{1,2}-\d{1,2}", "yyyy-M-d"),
+    (r"\d{4}/\d{1,2}/\d{1,2}", "yyyy/M/d"),
+    (rf"\d{{1,2}}/{_MONTH}/\d{{4}}", "d/M/yyyy"),
+    (rf"\d{{1,2}}-{_MONTH}-\d{{4}}", "d-M-yyyy"),
+    (r"\d{1,2}/\d{1,2}/\d{4}", "M/d/yyyy"),
+    (r"\d{1,2}-\d{1,2}-\d{4}", "M-d-yyyy"),
+    (r"\d{1,2} [A-Za-z]{3} \d{4}", "d MMM yyyy"),
+    (r"\d{1,2}-\d{1,2}-\d{2}", "d-M-yy"),
+    (r"\d{4}-\d{1,2}-\d{1,2} \d{2}:\d{2}:\d{2}", "yyyy-M-d HH:mm:ss"),
 )
 # The display layouts reports use.
 DISPLAY_LAYOUTS = {
@@ -24,8 +33,15 @@ DISPLAY_LAYOUTS = {
 
 
 def parse_date(text: Column) -> Column:
-    """Lenient day-first date; NULL where no layout fits."""
-    return F.coalesce(*[F.try_to_date(F.trim(text), layout) for layout in DATE_LAYOUTS])
+    """Lenient day-first date; NULL where no layout fits.
+
+    The shape picks the one layout to try: a failed attempt costs an exception per row.
+    """
+    trimmed = F.trim(text)
+    parsed = F
+    for shape, layout in DATE_LAYOUTS:
+        parsed = parsed.when(trimmed.rlike(f"^{shape}$"), F.try_to_date(trimmed, layout))
+    return parsed.otherwise(F.lit(None).cast("date"))
 
 
 def parse_date_strict(text: Column, layout: str = "dd-MM-yyyy") -> Column:

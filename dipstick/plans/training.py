@@ -22,11 +22,15 @@ class Trained:
     multipliers: DataFrame
 
 
-def select_features(prepared: DataFrame, trees: int = 100, depth: int = 30, least: float = 0.01) -> DataFrame:
-    """Importance table of the candidate columns that pass the threshold."""
+def rank_features(prepared: DataFrame, trees: int = 100, depth: int = 30) -> DataFrame:
+    """Importance table of the candidate columns."""
     names = clean.numeric_columns(clean.candidate_features(prepared))
-    ranked = model.importance_table(model.fit_importance_forest(prepared, names, trees, depth))
-    return model.select_features(ranked, least)
+    return model.importance_table(model.fit_importance_forest(prepared, names, trees, depth))
+
+
+def select_features(prepared: DataFrame, least: float = 0.01) -> DataFrame:
+    """Candidates whose importance passes the threshold."""
+    return model.select_features(rank_features(prepared), least)
 
 
 def correlation_ranking(prepared: DataFrame) -> DataFrame:

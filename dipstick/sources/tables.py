@@ -43,7 +43,7 @@ def daily_quantities(spark: SparkSession, folder: str) -> DataFrame:
     per_order = (
         table(spark, folder, "lineitem")
         .select("l_orderkey", "l_partkey", quantity.alias("q"),
-                F.round(F.col("l_extendedprice") * 100).cast("bigint").alias("cents"))
+                F.rint(F.col("l_extendedprice") * 100).cast("bigint").alias("cents"))
         .join(part, F.col("l_partkey") == F.col("p_partkey"))
         .groupBy("l_orderkey")
         .agg(
