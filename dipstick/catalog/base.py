@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from dipstick.operators import features, forecast, profile
 from dipstick.plans import training
-from dipstick.session import fresh_path, materialise
+from dipstick.session import fresh_path, materialise_by
 from dipstick.sources import sinks, tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -39,7 +39,7 @@ class Inputs:
 
     @cached_property
     def ledger(self) -> DataFrame:
-        return materialise(tables.build_ledger(self.spark, self.folder), "ledger")
+        return materialise_by(tables.build_ledger(self.spark, self.folder), "ledger", "station_id", "Date")
 
     @property
     def features(self) -> DataFrame:

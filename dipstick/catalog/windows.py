@@ -9,7 +9,7 @@ from dipstick.catalog.sql import FEATURES, LEDGER, LEDGER_COLUMNS, PROFILE, STAT
 from dipstick.config import SERVE
 from dipstick.functions import numeric
 from dipstick.operators import clean, features, forecast, profile, timeline
-from dipstick.sources import readers
+from dipstick.sources import readers, sinks
 
 _W = 'PARTITION BY station_id ORDER BY "Date"'
 
@@ -82,9 +82,9 @@ def prev_closing(data):
     over(FEATURES, f'SELECT station_id, "Date", DayOfWeek, {rnd("DOW_Avg_Sales", 6)} AS DOW_Avg_Sales FROM feat'),
 )
 def ewm_weekday(data):
-    weighted = timeline.weekday_ewm("Total_Sold", SERVE.alpha)
-    return features.calendar_columns(data.ledger).select(
-        "station_id", "Date", "DayOfWeek", numeric.half_even(weighted, 6).alias("DOW_Avg_Sales")
+    dated = features.calendar_columns(data.ledger)
+    return timeline.weekday_ewm(dated, "Total_Sold", SERVE.alpha, "DOW_Avg_Sales").select(
+        "station_id", "Date", "DayOfWeek", numeric.half_even(F.col("DOW_Avg_Sales"), 6).alias("DOW_Avg_Sales")
     )
 
 
@@ -295,8 +295,8 @@ _LONG_FRACTIONS = ("Lag1_Total_Sold", "Lag2_Total_Sold", "Lag1_Closing", "DOW_Av
 )
 def serving_features(data):
     """The whole serving path: CSV text in, every feature out."""
-    table = readers.read_ledger(data.spark, data.ledger_csv)
-    table = features.normalise(table.drop("Target", *_SERVED))
+    raw = sinks.write_csv(data.ledger.drop("Target", "Day"), data.path("raw"))
+    table = readers.read_ledger(data.spark, raw)
     return table.select(
         "station_id", "Date", "Day", "Target",
         *[(numeric.half_even(F.col(c), 6) if c in _LONG_FRACTIONS else F.col(c)).alias(c) for c in _SERVED],
@@ -318,3 +318,21 @@ def clean_table(data):
     """The preparation path: strict day-first dates, forward fill, calendar and business features."""
     written = data.ledger.withColumn("Date", F.date_format("Date", "dd-MM-yyyy"))
     return features.prepare(written)
+
+
+@query(
+    "reloaded_clean_table",
+    over(
+        FEATURES,
+        f"""SELECT station_id, "Date", Target, Rolling_7d_Sales, {rnd('CAST(Closing_Stock AS DOUBLE) / 12000', 4)} AS Stock_Ratio,
+          CAST(lag(Closing_Stock, 1, 12000) OVER ({_W}) AS DOUBLE) AS Prev_Closing, CAST(mon IN (6, 7, 8) AS INTEGER) AS Is_Monsoon_Month,
+          Days_Since_Refill, Sales_Trend FROM feat""",
+    ),
+)
+def reloaded_clean_table(data):
+    """The clean table stored as CSV and served: columns it has are kept, the rolling mean is not."""
+    stored = sinks.write_csv(data.prepared, data.path("clean"))
+    return readers.read_ledger(data.spark, stored).select(
+        "station_id", "Date", "Target", "Rolling_7d_Sales", "Stock_Ratio", "Prev_Closing", "Is_Monsoon_Month",
+        "Days_Since_Refill", "Sales_Trend",
+    )

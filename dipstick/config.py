@@ -11,6 +11,13 @@ PRODUCTS = ("MS_Sold", "HSD1_Sold", "HSD2_Sold", "HSD3_Sold")
 PAYMENTS = ("Cash", "Online", "Card")
 NUMERIC = ("Opening_Stock", "Closing_Stock", "Total_Sold", *PRODUCTS, *PAYMENTS, "Dip")
 SALES = ("Total_Sold", *PRODUCTS)
+DERIVED_TYPES = {
+    "Target": "int", "Year": "int", "Month": "int", "DayOfWeek": "int", "Quarter": "int", "Day_Num": "int",
+    "Is_Weekend": "int", "Is_Festival_Month": "int", "Is_Monsoon_Month": "int", "Days_Since_Refill": "int",
+    "Rolling_7d_Sales": "double", "Prev_Closing": "double", "Stock_Ratio": "double",
+    "Lag1_Total_Sold": "double", "Lag2_Total_Sold": "double", "Lag1_Closing": "double",
+    "DOW_Avg_Sales": "double", "Sales_Trend": "double",
+}
 DATE_ALIASES = ("date", "DATE", "Dates")
 TOTAL_PARTS = (*PRODUCTS, "TotalSold", "TotalSales", "Sales")
 DEFAULT_SHARES = {"MS_Sold": 0.12, "HSD1_Sold": 0.38, "HSD2_Sold": 0.30, "HSD3_Sold": 0.20}

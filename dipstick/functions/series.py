@@ -1,4 +1,4 @@
-"""Folds over ordered arrays."""
+"""Exponentially weighted means over ordered arrays."""
 
 from __future__ import annotations
 
@@ -14,8 +14,13 @@ def ewm_depth(alpha: float, tail: float = 1e-16) -> int:
 
 
 def ewm(values: Column, alpha: float) -> Column:
-    """Last value of ``y = a*x + (1-a)*y`` started at the first element of ``values``."""
+    """Last value of ``y = a*x + (1-a)*y`` started at the first element of ``values``.
+
+    Equal neighbours leave ``y`` as it is, so a constant series stays exactly constant.
+    """
     keep, take = F.lit(1 - alpha), F.lit(alpha)
     return F.aggregate(
-        values, F.lit(None).cast("double"), lambda y, x: F.coalesce(y * keep + x * take, x)
+        values,
+        F.lit(None).cast("double"),
+        lambda y, x: F.when(y.isNull() | (y == x), x).otherwise(y * keep + x * take),
     )

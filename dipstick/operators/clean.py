@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from dipstick.config import DATE_ALIASES, IDENTIFIERS, LEAKS, NUMERIC, SERVE, TOTAL_PARTS, Tank
+from dipstick.config import DATE_ALIASES, DERIVED_TYPES, IDENTIFIERS, LEAKS, NUMERIC, SERVE, TOTAL_PARTS, Tank
 from dipstick.functions import calendar, numeric, text
 from dipstick.operators import timeline
 
@@ -53,6 +53,13 @@ def coerce_numbers(df: DataFrame, columns: Iterable[str] = NUMERIC) -> DataFrame
     return df.withColumns({c: coerced(c) for c in columns if c in df.columns})
 
 
+def type_derived(df: DataFrame) -> DataFrame:
+    """Derived columns that come back from a text file get their types again."""
+    text_columns = {f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)}
+    kinds = {c: k for c, k in DERIVED_TYPES.items() if c in text_columns}
+    return df.withColumns({c: F.trim(F.col(c)).try_cast("double").cast(k) for c, k in kinds.items()})
+
+
 def forward_fill(df: DataFrame, columns: Iterable[str] | None = None) -> DataFrame:
     """Last known value per station; leading gaps stay."""
     columns = [c for c in df.columns if c not in ("station_id", "Date")] if columns is None else columns

@@ -47,7 +47,8 @@ def normalise(df: DataFrame, cfg: Tank = SERVE) -> DataFrame:
     dated = "Date" in df.columns
     if dated:
         df = calendar_columns(clean.parse_dates(df))
-    df = clean.derive_closing(clean.derive_target(clean.derive_total(clean.coerce_numbers(df))))
+    df = clean.type_derived(clean.coerce_numbers(df))
+    df = clean.derive_closing(clean.derive_target(clean.derive_total(df)))
     if not dated:
         return df
 
@@ -65,11 +66,12 @@ def normalise(df: DataFrame, cfg: Tank = SERVE) -> DataFrame:
     if sold:
         new["Lag1_Total_Sold"] = timeline.lag_or_mean("Total_Sold", 1)
         new["Lag2_Total_Sold"] = timeline.lag_or_mean("Total_Sold", 2)
-        new["DOW_Avg_Sales"] = timeline.weekday_ewm("Total_Sold", cfg.alpha)
     if closing and opening:
         new["Lag1_Closing"] = timeline.lag_or_mean("Closing_Stock", 1, "Opening_Stock")
     always = {"Rolling_7d_Sales"}
     df = df.withColumns({c: e for c, e in new.items() if c in always or c not in have})
+    if sold and "DOW_Avg_Sales" not in have:
+        df = timeline.weekday_ewm(df, "Total_Sold", cfg.alpha, "DOW_Avg_Sales")
     if sold and "Sales_Trend" not in have:
         df = df.withColumn("Sales_Trend", sales_trend())
     if "Target" in df.columns and "Days_Since_Refill" not in have:
@@ -120,8 +122,8 @@ def training_features(prepared: DataFrame, cfg: Tank = PREP) -> DataFrame:
             "Lag1_Total_Sold": timeline.lag_or_mean("Total_Sold", 1),
             "Lag2_Total_Sold": timeline.lag_or_mean("Total_Sold", 2),
             "Lag1_Closing": timeline.lag_or_mean("Closing_Stock", 1, "Opening_Stock"),
-            "DOW_Avg_Sales": timeline.weekday_ewm("Total_Sold", cfg.alpha),
             "Sales_Trend": sales_trend(),
         }
     )
+    df = timeline.weekday_ewm(df, "Total_Sold", cfg.alpha, "DOW_Avg_Sales")
     return timeline.days_since_refill(df)

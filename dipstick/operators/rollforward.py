@@ -11,63 +11,47 @@ from dipstick.config import SERVE, Tank
 def roll_forward(daily: DataFrame, cfg: Tank = SERVE, sold: str = "Total_Sold") -> DataFrame:
     """Add Opening_Stock, Closing_Stock and Target to one row per station and day.
 
-    A day opens full after a refill day and with the last closing otherwise. Each station's days
-    are folded in two levels (days within a year, years within a station), so that appending
-    results stays linear in the number of days. The input has one row per station and day, which
-    bounds a station's array by its calendar, however many raw rows stood behind a day.
+    A day opens full after a refill day and with the last closing otherwise. Only the opening
+    stocks are sequential; they are folded in two levels (days within a month, months within a
+    station), which keeps appending close to linear in the number of days, and everything else is
+    computed from them row by row. The input has one row per station and day, which bounds a
+    station's array by its calendar, however many raw rows stood behind a day.
     """
     carried = [c for c in daily.columns if c not in ("station_id", "Opening_Stock", "Closing_Stock", "Target")]
-    day = F.struct("Date", *[c for c in carried if c != "Date"])
+    litre = daily.schema[sold].dataType.simpleString()
+    full, empty, threshold = (F.lit(v).cast(litre) for v in (cfg.capacity, 0, cfg.threshold))
+
     # Both groupings are hash-partitioned by station: the first exchange serves the second.
-    years = (
+    months = (
         daily.repartition("station_id")
-        .groupBy("station_id", F.year("Date").alias("_year"))
-        .agg(F.sort_array(F.collect_list(day)).alias("_days"))
+        .groupBy("station_id", F.trunc("Date", "month").alias("_month"))
+        .agg(F.sort_array(F.collect_list(F.struct("Date", *[c for c in carried if c != "Date"]))).alias("_days"))
     )
-    stations = years.groupBy("station_id").agg(
-        F.sort_array(F.collect_list(F.struct("_year", "_days"))).alias("_years")
+    stations = months.groupBy("station_id").agg(
+        F.sort_array(F.collect_list(F.struct("_month", "_days"))).alias("_months")
     )
 
-    litre = daily.schema[sold].dataType.simpleString()
-    full, empty, threshold = (F.lit(v).cast(litre) for v in (cfg.capacity, 0, cfg.threshold))
-    columns = {c: daily.schema[c].dataType.simpleString() for c in carried}
-    columns |= {"Opening_Stock": litre, "Closing_Stock": litre, "Target": "int"}
-    row_type = "struct<" + ",".join(f"`{c}`:{t}" for c, t in columns.items()) + ">"
-
-    def next_open(closing: Column) -> Column:
-        return F.when(closing < threshold, full).otherwise(closing)
+    def next_opening(openings: Column, litres: Column) -> Column:
+        left = F.greatest(empty, F.element_at(openings, -1) - litres)
+        return F.concat(openings, F.array(F.when(left < threshold, full).otherwise(left)))
 
-    def one_day(state: Column, d: Column) -> Column:
-        closing = F.greatest(empty, state["stock"] - d[sold])
-        row = F.struct(
-            *[d[c].alias(c) for c in carried],
-            state["stock"].alias("Opening_Stock"),
-            closing.alias("Closing_Stock"),
-            (closing < threshold).cast("int").alias("Target"),
-        )
-        return F.struct(
-            next_open(closing).alias("stock"),
-            F.concat(state["rows"], F.array(row)).alias("rows"),
-        )
+    def one_month(done: Column, m: Column) -> Column:
+        """A month's openings, led by none and followed by the opening of the next month."""
+        first = F.array(F.element_at(F.element_at(done, -1), -1))
+        return F.concat(done, F.array(F.aggregate(m["_days"][sold], first, next_opening)))
 
-    def one_year(state: Column, y: Column) -> Column:
-        start = F.struct(state["stock"].alias("stock"), no_rows.alias("rows"))
-        done = F.aggregate(y["_days"], start, one_day)
-        # Bind the inner fold once; naming it twice would run it twice.
-        return F.transform(
-            F.array(done),
-            lambda s: F.struct(
-                s["stock"].alias("stock"), F.concat(state["years"], F.array(s["rows"])).alias("years")
-            ),
-        )[0]
-
-    no_rows = F.array().cast(f"array<{row_type}>")
-    no_years = F.array().cast(f"array<array<{row_type}>>")
     folded = F.aggregate(
-        "_years",
-        F.struct(full.alias("stock"), no_years.alias("years")),
-        one_year,
-        lambda s: F.flatten(s["years"]),
+        "_months",
+        F.array(F.array(full)),
+        one_month,
+        lambda done: F.flatten(F.transform(done, lambda a: F.slice(a, 1, F.size(a) - 1))),
+    )
+    days = F.flatten(F.col("_months")["_days"])
+    closing = F.greatest(empty, F.col("Opening_Stock") - F.col(sold))
+    return (
+        stations.select("station_id", F.inline(F.arrays_zip(days.alias("day"), folded.alias("Opening_Stock"))))
+        .select("station_id", "day.*", "Opening_Stock")
+        .withColumn("Closing_Stock", closing)
+        .withColumn("Target", (F.col("Closing_Stock") < threshold).cast("int"))
+        .select("station_id", *carried, "Opening_Stock", "Closing_Stock", "Target")
     )
-    out = stations.select("station_id", F.inline(folded))
-    return out.select("station_id", *columns)

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +15,9 @@ from dipstick.sources.synthetic import uniform
 
 BLOCK = 256
 
+# Send this module's functions to the workers by value: executors need not have the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def _nearest(points: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(row, neighbour rows, squared distances) by blocks; ties go to the lower row."""

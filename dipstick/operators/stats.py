@@ -147,6 +147,13 @@ def class_histogram(df: DataFrame, bins: int = 30, column: str = "Total_Sold") -
     return histogram(df, column, bins, ("station_id", "Target"))
 
 
+def _unpivot(df: DataFrame, keep: Sequence[str], columns: Sequence[str], key: str) -> DataFrame:
+    """One row per station, row and column: (keep..., key, value). Narrow aggregates over this compile
+    to tight loops, where dozens of wide ones would not; map-side sums undo the extra rows at once."""
+    values = df.select(*keep, *[F.col(c).cast("double").alias(c) for c in columns])
+    return values.unpivot(list(keep), list(columns), key, "value")
+
+
 def describe(df: DataFrame, columns: Sequence[str] | None = None, digits: int = 2) -> DataFrame:
     """Count, mean, sample deviation, extremes and exact quartiles per numeric column, in one pass."""
     columns = list(columns or clean.numeric_columns(df))
@@ -158,7 +165,7 @@ def describe(df: DataFrame, columns: Sequence[str] | None = None, digits: int =
             for e in (
                 F.count(c).alias(f"{c}_n"),
                 F.avg(c).alias(f"{c}_mean"),
-                F.try_divide(F.stddev_samp(c), F.lit(1.0)).alias(f"{c}_std"),
+                F.stddev_samp(c).alias(f"{c}_std"),
                 F.min(c).cast("double").alias(f"{c}_min"),
                 F.percentile(c, quartiles).alias(f"{c}_q"),
                 F.max(c).cast("double").alias(f"{c}_max"),
@@ -363,30 +370,39 @@ def capping_report(before: DataFrame, after: DataFrame, columns: Sequence[str] =
 
 
 def correlations(df: DataFrame, features: Sequence[str], target: str = "Target", digits: int = 6) -> DataFrame:
-    """Pearson correlation of every feature with the target, one aggregate for all."""
-    wide = df.groupBy("station_id").agg(*[numeric.pearson(F.col(f), F.col(target)).alias(f) for f in features])
-    rows = {f: [numeric.half_even(F.col(f), digits)] for f in features}
-    return _long(wide, rows, ["correlation"], "feature")
+    """Pearson correlation of every feature with the target."""
+    return (
+        _unpivot(df.withColumn("_y", F.col(target).cast("double")), ["station_id", "_y"], features, "feature")
+        .groupBy("station_id", "feature")
+        .agg(numeric.half_even(numeric.pearson(F.col("value"), F.col("_y")), digits).alias("correlation"))
+    )
 
 
 def correlation_matrix(df: DataFrame, features: Sequence[str], digits: int = 6) -> DataFrame:
-    """Long-form matrix; each pair is computed once, the mirror half is filled in from it."""
+    """Long-form matrix; each pair of features is computed once, the mirror half comes from it."""
     pairs = [(i, j) for i in range(len(features)) for j in range(i + 1)]
-    wide = df.groupBy("station_id").agg(
-        *[numeric.pearson(F.col(features[i]), F.col(features[j])).alias(f"c_{i}_{j}") for i, j in pairs]
-    )
-    entries = F.array(
+    both = F.array(
         *[
             F.struct(
                 F.lit(i).alias("i"), F.lit(j).alias("j"),
-                F.lit(features[i]).alias("feature"), F.lit(features[j]).alias("other"),
-                numeric.half_even(F.col(f"c_{max(i, j)}_{min(i, j)}"), digits).alias("correlation"),
+                F.col(features[i]).cast("double").alias("x"), F.col(features[j]).cast("double").alias("y"),
             )
-            for i in range(len(features))
-            for j in range(len(features))
+            for i, j in pairs
         ]
     )
-    return wide.select("station_id", F.inline(entries))
+    lower = (
+        df.select("station_id", F.inline(both))
+        .groupBy("station_id", "i", "j")
+        .agg(numeric.half_even(numeric.pearson(F.col("x"), F.col("y")), digits).alias("correlation"))
+    )
+    here, there = F.struct("i", "j"), F.struct(F.col("j").alias("i"), F.col("i").alias("j"))
+    sides = F.when(F.col("i") == F.col("j"), F.array(here)).otherwise(F.array(here, there))
+    name = F.array(*[F.lit(f) for f in features])
+    return lower.select("station_id", "correlation", F.explode(sides).alias("_at")).select(
+        "station_id", "_at.i", "_at.j",
+        F.get(name, F.col("_at.i")).alias("feature"), F.get(name, F.col("_at.j")).alias("other"),
+        "correlation",
+    )
 
 
 def lower_triangle(matrix: DataFrame) -> DataFrame:

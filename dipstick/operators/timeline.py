@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from dipstick.functions import numeric, series
+from dipstick.functions import numeric
 
 
 def days() -> WindowSpec:
@@ -49,14 +49,29 @@ def last_known(column: str) -> Column:
     return F.last(column, ignorenulls=True).over(days().rowsBetween(Window.unboundedPreceding, 0))
 
 
-def weekday_ewm(column: str, alpha: float) -> Column:
+def weekday_ewm(df: DataFrame, column: str, alpha: float, out: str, block: int = 1024) -> DataFrame:
     """Exponentially weighted mean over the same weekday, current row included.
 
-    The frame holds all rows whose weight is above double precision, so each row folds a bounded
-    array however long the history is.
+    Written out, the recursion is a sum of ``x * (1-a)^(n-i)``. Scaled by the power it is a plain
+    running sum, one addition per row and no array. The sum restarts every ``block`` rows, before
+    the scale can overflow; the end of the block before is added with its weight, and blocks
+    further back weigh less than a double can hold.
     """
-    frame = same_weekday().rowsBetween(-series.ewm_depth(alpha, 4e-17), 0)
-    return series.ewm(F.collect_list(F.col(column).cast("double")).over(frame), alpha)
+    keep = 1 - alpha
+    order = same_weekday()
+    rn = F.row_number().over(order)
+    numbered = df.withColumn("_rn", rn).withColumns(
+        {"_block": F.expr(f"(_rn - 1) div {block}"), "_at": F.expr(f"(_rn - 1) % {block}").cast("double")}
+    )
+    x = F.col(column).cast("double")
+    share = F.when(F.col("_rn") == 1, x).otherwise(x * alpha) / F.pow(F.lit(keep), F.col("_at"))
+    inside = Window.partitionBy("station_id", "DayOfWeek", "_block").orderBy("Date")
+    local = F.sum(share).over(inside) * F.pow(F.lit(keep), F.col("_at"))
+    summed = numbered.withColumn("_local", local)
+    end = F.when(F.col("_at") == block - 1, F.col("_local"))
+    before = F.last(end, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    carried = F.coalesce(before, F.lit(0.0)) * F.pow(F.lit(keep), F.col("_at") + 1)
+    return summed.withColumn(out, F.col("_local") + carried).drop("_rn", "_block", "_at", "_local")
 
 
 def days_since_refill(df: DataFrame, flag: str = "Target", out: str = "Days_Since_Refill") -> DataFrame:

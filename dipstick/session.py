@@ -47,3 +47,21 @@ def materialise(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) ->
     writer = df.write.partitionBy(*partition_by) if partition_by else df.write
     writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def materialise_by(df: DataFrame, name: str, key: str, order: str) -> DataFrame:
+    """Write ``df`` once as a table bucketed by ``key`` and sorted within it, and read it back.
+
+    Windows, groupings and joins by the key then start from the stored layout: no exchange.
+    """
+    spark = df.sparkSession
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    table = f"{name}_{uuid.uuid4().hex}"
+    (
+        df.repartition(buckets, key)
+        .write.bucketBy(buckets, key)
+        .sortBy(key, order)
+        .option("path", fresh_path(spark, name))
+        .saveAsTable(table)
+    )
+    return spark.table(table)
