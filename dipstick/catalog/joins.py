@@ -123,11 +123,13 @@ def minority_neighbours(data):
 
 @query(
     "j08_qualifying_sheets",
-    over(LEDGER, 'SELECT CAST(year("Date") AS INTEGER) AS _sheet, station_id, "Date" FROM ledger WHERE Target = 1 AND dow = 0 AND mon = 1 AND (station_id, year("Date")) IS NOT NULL QUALIFY count(*) OVER (PARTITION BY year("Date")) > 5'),
+    over(
+        LEDGER,
+        """SELECT station_id || strftime("Date", ' %Y-%m') AS _sheet, "Date", Total_Sold FROM ledger
+        QUALIFY count(*) OVER (PARTITION BY station_id, strftime("Date", ' %Y-%m')) > 5""",
+    ),
 )
 def qualifying_sheets(data):
-    """Refill Mondays in January by year; years with at most five are dropped."""
-    picked = data.ledger.where(
-        (F.col("Target") == 1) & (F.weekday("Date") == 0) & (F.month("Date") == 1)
-    ).select(F.year("Date").alias("_sheet"), "station_id", "Date")
-    return readers.qualifying_rows(picked).select("_sheet", "station_id", "Date")
+    """Every station's month as a sheet; months of at most five days are dropped."""
+    sheet = F.concat("station_id", F.date_format("Date", " yyyy-MM"))
+    return readers.qualifying_rows(data.ledger.select(sheet.alias("_sheet"), "Date", "Total_Sold"))
