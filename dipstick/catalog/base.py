@@ -17,7 +17,10 @@ ORACLES: dict[str, str] = {}
 
 
 class Inputs:
-    """Tables a query starts from. The daily ledger is written once per session and folder."""
+    """Tables a query starts from. The daily ledger is written once per session and folder.
+
+    The other members are plans over it, kept so that they are analysed once; nothing is held in memory.
+    """
 
     _open: dict[tuple[str, str], "Inputs"] = {}
 
@@ -41,19 +44,19 @@ class Inputs:
     def ledger(self) -> DataFrame:
         return materialise_by(tables.build_ledger(self.spark, self.folder), "ledger", "station_id", "Date")
 
-    @property
+    @cached_property
     def features(self) -> DataFrame:
         return features.normalise(self.ledger)
 
-    @property
+    @cached_property
     def prepared(self) -> DataFrame:
         return features.prepare(self.ledger)
 
-    @property
+    @cached_property
     def multipliers(self) -> DataFrame:
         return profile.monthly_multipliers(self.ledger)
 
-    @property
+    @cached_property
     def seeded(self) -> DataFrame:
         return forecast.seeded_state(self.features, self.multipliers)
 

@@ -247,7 +247,23 @@ def drawdown(data):
     ),
 )
 def flat_drawdown(data):
-    return forecast.flat_drawdown(data.ledger)
+    stations = data.ledger.select("station_id").distinct()
+    return forecast.flat_drawdown(stations, F.lit(7000), F.lit(4500))
+
+
+@query(
+    "f17_drawdown_from_prediction",
+    over(
+        walk(30, stop=True) + _DECIDED,
+        f"""SELECT station_id, CAST(i AS INTEGER) AS day_idx, {rnd('greatest(0, closing_stock - (i - 1) * avg_sold)', 4)} AS opening,
+        {rnd('greatest(0, closing_stock - i * avg_sold)', 4)} AS closing FROM decided, range(1, 9) AS t(i)""",
+    ),
+)
+def drawdown_from_prediction(data):
+    """The drawdown of a report that comes without a simulation."""
+    prediction = forecast.predict_refill(data.features, data.multipliers)
+    path = forecast.flat_drawdown(prediction, F.col("closing_stock"), F.col("avg_sold"))
+    return path.withColumns({c: numeric.half_even(F.col(c), 4) for c in ("opening", "closing")})
 
 
 @query("f18_roll_forward", over(LEDGER, 'SELECT station_id, "Date", Total_Sold, Opening_Stock, Closing_Stock, Target FROM ledger'))
@@ -265,12 +281,14 @@ def ledger_build(data):
     "f19_default_prediction",
     over(
         LEDGER,
-        """SELECT station_id, CAST(max("Date") + 1 AS DATE) AS refill_date, CAST(1 AS INTEGER) AS days_remaining, 0.91::DOUBLE AS confidence,
-        4500.0::DOUBLE AS avg_sold, 3200.0::DOUBLE AS closing_stock FROM ledger GROUP BY 1""",
+        """SELECT station_id, pct::DOUBLE AS demand_pct, CAST(d + n AS DATE) AS refill_date, dayname(d + n) AS refill_day, n AS days_remaining, false AS triggered,
+        CAST(NULL AS DOUBLE) AS trigger_closing, 4500.0::DOUBLE * (1 + pct::DOUBLE / 100) AS avg_sold, 3200.0::DOUBLE AS closing_stock, 0.91::DOUBLE AS confidence
+        FROM (SELECT station_id, max("Date") AS d FROM ledger GROUP BY 1), (VALUES (0, 1), (-80, 3)) AS v(pct, n)""",
     ),
 )
 def default_prediction(data):
-    return forecast.default_prediction(data.ledger.groupBy("station_id").agg(F.max("Date").alias("last_date")))
+    """Two scenarios over a ledger that records no sales."""
+    return forecast.predict_refill(data.ledger.drop("Total_Sold"), percents=(0.0, -80.0))
 
 
 _RECENT = """, recent AS (SELECT station_id, avg(Total_Sold) AS m FROM (SELECT * FROM feat QUALIFY row_number() OVER (PARTITION BY station_id ORDER BY "Date" DESC) <= 7) GROUP BY 1),

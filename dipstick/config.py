@@ -63,6 +63,7 @@ class Tank:
     drift: float = 0.40
     default_sales: float = 4500.0
     default_closing: float = 3200.0
+    unknown_closing: float = 3000.0  # seed of a ledger that records no closing stock
     default_confidence: float = 0.91
     empty_seed: float | None = 3000.0  # an empty tank is re-seeded with this; None keeps 0
     festival_months: tuple[int, ...] = (10, 11)

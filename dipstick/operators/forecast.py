@@ -37,7 +37,10 @@ def last_state(df: DataFrame, cfg: Tank = SERVE) -> DataFrame:
     """One row per station: last day, seed stock, last lags, recent sales, days since refill.
 
     Everything comes from the last seven rows and two aggregates; the history is not collected.
+    A ledger without closing stock starts from ``cfg.unknown_closing``.
     """
+    if "Closing_Stock" not in df.columns:
+        df = df.withColumn("Closing_Stock", F.lit(cfg.unknown_closing))
     refilled = text.says_yes(F.col("Refill_Required")) if "Refill_Required" in df.columns else F.col("Target") == 1
     numbered = df.select(
         "station_id", "Date", "Total_Sold", "Closing_Stock", refilled.cast("int").alias("_refilled")
@@ -165,9 +168,14 @@ def predict_refill(
     cfg: Tank = SERVE,
     percents: Sequence[float] = (0.0,),
 ) -> DataFrame:
-    """Next refill per station and scenario: date, days, seed stock, mean sales, how it was found."""
-    state = scenarios(seeded_state(features, multipliers, cfg), percents)
-    return decide(state, cfg)
+    """Next refill per station and scenario: date, days, seed stock, mean sales, how it was found.
+
+    A ledger that records no sales gets the default prediction.
+    """
+    if "Total_Sold" not in features.columns:
+        last_days = features.groupBy("station_id").agg(F.max("Date").alias("last_date"))
+        return default_prediction(scenarios(last_days, percents), cfg)
+    return decide(scenarios(seeded_state(features, multipliers, cfg), percents), cfg)
 
 
 def decide(seeded: DataFrame, cfg: Tank = SERVE) -> DataFrame:
@@ -263,25 +271,38 @@ def backtest(features: DataFrame, cfg: Tank = SERVE, digits: int = 4) -> DataFra
     )
 
 
-def flat_drawdown(df: DataFrame, stock: float = 7000.0, per_day: float = 4500.0, days: int = 8) -> DataFrame:
-    """The drawdown shown when a ledger has no usable columns: a constant demand per station."""
+def flat_drawdown(df: DataFrame, stock: Column, per_day: Column, days: int = 8) -> DataFrame:
+    """Constant demand from a known stock, one row per day for every row of ``df``.
+
+    Shown as 7000 less 4500 a day where a ledger has no usable columns, and as the predicted stock
+    less the mean sales where a prediction comes without a simulation.
+    """
+    start = df.select("station_id", stock.cast("double").alias("_stock"), per_day.cast("double").alias("_out"))
     day = F.explode(F.sequence(F.lit(1), F.lit(days))).alias("day_idx")
-    opening = F.greatest(F.lit(0.0), F.lit(stock) - (F.col("day_idx") - 1) * per_day)
-    closing = F.greatest(F.lit(0.0), opening - per_day)
-    return df.select("station_id").distinct().select("station_id", day).select(
+    opening = F.greatest(F.lit(0.0), F.col("_stock") - (F.col("day_idx") - 1) * F.col("_out"))
+    closing = F.greatest(F.lit(0.0), opening - F.col("_out"))
+    return start.select("station_id", "_stock", "_out", day).select(
         "station_id", "day_idx", opening.alias("opening"), closing.alias("closing")
     )
 
 
-def default_prediction(last_days: DataFrame, cfg: Tank = SERVE, pct: float = 0.0) -> DataFrame:
-    """The prediction of a station without usable history; ``last_days`` is (station_id, last_date)."""
-    avg = F.lit(cfg.default_sales) * (1 + pct / 100)
-    days = F.greatest(F.lit(1), numeric.truncate(F.lit(cfg.default_closing) / avg)).cast("int")
+def default_prediction(last_days: DataFrame, cfg: Tank = SERVE) -> DataFrame:
+    """The prediction of a station without sales history; ``last_days`` has its last date and scenario."""
+    factor = F.col("factor") if "factor" in last_days.columns else F.lit(1.0)
+    pct = F.col("demand_pct") if "demand_pct" in last_days.columns else F.lit(0.0)
+    avg = F.lit(cfg.default_sales) * factor
+    rough = numeric.truncate(F.try_divide(F.lit(cfg.default_closing), avg))
+    days = F.greatest(F.lit(1), F.coalesce(rough, F.lit(1))).cast("int")
+    date = F.date_add("last_date", days)
     return last_days.select(
         "station_id",
-        F.date_add("last_date", days).alias("refill_date"),
+        pct.alias("demand_pct"),
+        date.alias("refill_date"),
+        calendar.weekday_name(date).alias("refill_day"),
         days.alias("days_remaining"),
-        F.lit(cfg.default_confidence).alias("confidence"),
+        F.lit(False).alias("triggered"),
+        F.lit(None).cast("double").alias("trigger_closing"),
         avg.alias("avg_sold"),
         F.lit(cfg.default_closing).alias("closing_stock"),
+        F.lit(cfg.default_confidence).alias("confidence"),
     )
