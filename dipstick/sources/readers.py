@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from collections import defaultdict
 from collections.abc import Iterable, Sequence
 from functools import reduce
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -50,10 +51,15 @@ def list_sheets(spark: SparkSession, folder: str) -> list[str]:
     return [r.sheet for r in files.distinct().orderBy("sheet").collect()]
 
 
-def _sheet_of(path, folder: str):
-    """Path component right below the folder."""
-    name = folder.rstrip("/").rsplit("/", 1)[-1]
-    return F.regexp_extract(F.url_decode(path), f"/\\Q{name}\\E/([^/]+)", 1)
+def _sheet_of(path: Column, folder: str) -> Column:
+    """Path component right below the folder, whatever scheme and host the path is given with."""
+    root = re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "", folder).rstrip("/")
+    return F.regexp_extract(path, f"\\Q{root}\\E/([^/]+)", 1)
+
+
+def _scanned_path() -> Column:
+    """The file a row was read from; the metadata column percent-encodes it."""
+    return F.url_decode(F.regexp_replace(F.col("_metadata.file_path"), r"\+", "%2B"))
 
 
 def scan_sheets(spark: SparkSession, folder: str, sheets: Sequence[str] | None = None) -> DataFrame:
@@ -75,7 +81,7 @@ def scan_sheets(spark: SparkSession, folder: str, sheets: Sequence[str] | None =
         raise ValueError(f"no readable sheet in {folder}")
     scans = [
         clean.rename_date(clean.trim_names(read_csv(spark, paths, header))).withColumn(
-            "_sheet", _sheet_of(F.col("_metadata.file_path"), folder)
+            "_sheet", _sheet_of(_scanned_path(), folder)
         )
         for header, paths in by_header.items()
     ]

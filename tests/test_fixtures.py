@@ -213,6 +213,17 @@ def test_sheets(spark, tmp_path):
     assert readers.read_source(spark, tiny).count() == 2
 
 
+def test_sheet_names_with_odd_characters(spark, tmp_path):
+    book = str(tmp_path / "a b+c%20.xlsx")
+    rows = [(f"2024-01-{i:02d}", str(i)) for i in range(1, 9)]
+    for name in ("x y.csv", "p+q.csv"):
+        sinks.write_csv(_sheet(spark, [(*r, name) for r in rows], ("Date", "Total_Sold", "mark")), f"{book}/{name}")
+    assert readers.list_sheets(spark, book) == ["p+q.csv", "x y.csv"]
+    scanned = readers.scan_sheets(spark, book)
+    assert {(r["_sheet"], r.mark) for r in scanned.collect()} == {("p+q.csv",) * 2, ("x y.csv",) * 2}
+    assert readers.read_sheets(spark, book).count() == 16
+
+
 def test_source_choice(spark, tmp_path):
     rows = [("2024-01-01", "1"), ("2024-01-02", "2")]
     paths = [str(tmp_path / n) for n in ("small", "first", "second")]

@@ -8,7 +8,7 @@ from dipstick.catalog import QUERIES
 from dipstick.catalog.base import Inputs
 from dipstick.catalog.sources import scored
 from dipstick.operators import features, metrics, profile, timeline
-from dipstick.session import materialise
+from dipstick.session import materialise, materialise_by
 from dipstick.sources import tables
 
 FOLDER = "/root/testdata/sf0.001"
@@ -41,6 +41,14 @@ def test_stored_ledger_needs_none(spark, name):
     assert exchanges(QUERIES[name](spark, FOLDER)) == []
 
 
+def test_many_buckets_give_the_same_features_without_exchange(unbucketed):
+    stored = materialise_by(unbucketed, "bucketed", "station_id", "Date", rows_per_bucket=200)
+    spread = features.normalise(stored)
+    assert "7 out of 7" in plan(stored) or stored.rdd.getNumPartitions() == 7
+    assert exchanges(spread) == []
+    assert spread.exceptAll(features.normalise(unbucketed)).count() == 0
+
+
 def test_raw_scan_reads_only_what_it_needs(spark):
     text = plan(tables.daily_quantities(spark, FOLDER))
     scanned = [set(re.findall(r"(\w+):", s)) for s in re.findall(r"ReadSchema: struct<([^>]*)>", text)]
