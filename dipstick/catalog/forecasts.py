@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from dipstick.catalog.base import query
 from dipstick.catalog.sources import scored
-from dipstick.catalog.sql import LEDGER, LEDGER_COLUMNS, PROFILE, SCORED, STATE, over, rnd, walk
+from dipstick.catalog.sql import DECIDED, LEDGER, LEDGER_COLUMNS, PROFILE, SCORED, STATE, over, rnd, walk
 from dipstick.config import PREP, PRODUCTS, SERVE
 from dipstick.functions import calendar, numeric, text
 from dipstick.operators import forecast, metrics, profile, smote
@@ -107,18 +107,6 @@ def seed_stock(data):
     return rules[0].unionByName(rules[1])
 
 
-_DECIDED = """, ends AS (
-  SELECT p.station_id, p.demand_pct, f.factor, any_value(s.seed_stock) AS seed_stock, any_value(s.mean_sold) AS mean_sold, any_value(s.last_date) AS last_date,
-    min(step) FILTER (WHERE triggered) AS hit, arg_max(Closing_Stock, step) AS end_stock,
-    arg_min(Closing_Stock, step) FILTER (WHERE triggered) AS hit_closing
-  FROM path p JOIN state s USING (station_id) JOIN factors f ON f.demand_pct = p.demand_pct GROUP BY 1, 2, 3
-), decided AS (
-  SELECT station_id, demand_pct, hit IS NOT NULL AS triggered, hit_closing AS trigger_closing, mean_sold * factor AS avg_sold,
-    seed_stock AS closing_stock, CAST(0.91 AS DOUBLE) AS confidence,
-    CAST(coalesce(hit + 1, CASE WHEN mean_sold * factor > 0 THEN greatest(1, trunc(end_stock / (mean_sold * factor))) ELSE 3 END) AS INTEGER) AS days_remaining,
-    CAST(last_date + CAST(coalesce(hit + 1, 1 + CASE WHEN mean_sold * factor > 0 THEN greatest(1, trunc(end_stock / (mean_sold * factor))) ELSE 3 END) AS INTEGER) AS DATE) AS refill_date
-  FROM ends
-)"""
 _DECISION_COLUMNS = f"station_id, demand_pct, refill_date, dayname(refill_date) AS refill_day, days_remaining, triggered, trigger_closing, {rnd('avg_sold', 6)} AS avg_sold, closing_stock, confidence"
 
 
@@ -126,7 +114,7 @@ def _rounded(prediction):
     return prediction.withColumn("avg_sold", numeric.half_even(F.col("avg_sold"), 6))
 
 
-@query("f07_refill_decision", over(walk(30, stop=True) + _DECIDED, f"SELECT {_DECISION_COLUMNS} FROM decided"))
+@query("f07_refill_decision", over(walk(30, stop=True) + DECIDED, f"SELECT {_DECISION_COLUMNS} FROM decided"))
 def refill_decision(data):
     return _rounded(forecast.predict_refill(data.features, data.multipliers))
 
@@ -135,7 +123,7 @@ def refill_decision(data):
 _CALM = "(-97.0), (-100.0)"
 
 
-@query("f08_no_trigger_estimate", over(walk(30, stop=True, percents=_CALM) + _DECIDED, f"SELECT {_DECISION_COLUMNS} FROM decided"))
+@query("f08_no_trigger_estimate", over(walk(30, stop=True, percents=_CALM) + DECIDED, f"SELECT {_DECISION_COLUMNS} FROM decided"))
 def no_trigger_estimate(data):
     return _rounded(forecast.predict_refill(data.features, data.multipliers, percents=(-97.0, -100.0)))
 
@@ -254,7 +242,7 @@ def flat_drawdown(data):
 @query(
     "f17_drawdown_from_prediction",
     over(
-        walk(30, stop=True) + _DECIDED,
+        walk(30, stop=True) + DECIDED,
         f"""SELECT station_id, CAST(i AS INTEGER) AS day_idx, {rnd('greatest(0, closing_stock - (i - 1) * avg_sold)', 4)} AS opening,
         {rnd('greatest(0, closing_stock - i * avg_sold)', 4)} AS closing FROM decided, range(1, 9) AS t(i)""",
     ),
@@ -300,7 +288,7 @@ accuracy AS (SELECT station_id, avg(CAST((score >= 0.83) = (Target = 1) AS INTEG
 @query(
     "f20_reasons",
     over(
-        walk(30, stop=True) + _DECIDED + _RECENT,
+        walk(30, stop=True) + DECIDED + _RECENT,
         f"""SELECT d.station_id, CAST(k AS INTEGER) AS position, CASE k
           WHEN 0 THEN CASE WHEN closing_stock < 4000 THEN 'critically low, ' || CAST(round_even(closing_stock / 12000 * 100, 0) AS INTEGER) || '% of capacity' ELSE 'at moderate level' END
           WHEN 1 THEN CASE WHEN r.m > avg_sold THEN 'above overall average' ELSE 'within normal range' END
@@ -316,7 +304,7 @@ def reasons(data):
 @query(
     "f21_prediction_summary",
     over(
-        walk(30, stop=True) + _DECIDED,
+        walk(30, stop=True) + DECIDED,
         """SELECT station_id, strftime(refill_date, '%d %B %Y (%A)') AS refill_date_long, strftime(refill_date, '%d %b %Y') AS refill_date_short, days_remaining,
           CASE WHEN days_remaining <= 2 THEN 'danger' WHEN days_remaining <= 5 THEN 'warning' ELSE 'accent' END AS days_band,
           91.0::DOUBLE AS confidence_pct, 'good' AS confidence_band,

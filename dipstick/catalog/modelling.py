@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from dipstick.catalog.base import query
 from dipstick.catalog.sources import scored
-from dipstick.catalog.sql import FEATURES, LEDGER, SCORED, over, rnd
+from dipstick.catalog.sql import DECIDED, FEATURES, LEDGER, SCORED, over, rnd, walk
 from dipstick.config import ENGINEERED, PRODUCTS
 from dipstick.functions import numeric
 from dipstick.operators import clean, features, forecast, metrics, model, profile, smote, timeline
@@ -244,10 +244,35 @@ def scored_walk(data):
     return reports.scored_walk(data.trained.model, walked, profile.weekday_profile(data.features))
 
 
-@query("f15_prediction_with_model")
+@query(
+    "f15_scores_hold",
+    over(walk(30, stop=True), "SELECT station_id, count(*) AS n_days, count(*) AS consistent FROM path GROUP BY 1"),
+)
+def walk_scores_hold(data):
+    """Simulated days scored, and those whose label and confidence agree with the probability."""
+    p = F.col("Refill_Prob")
+    label = F.when(p >= 0.5, "REFILL").otherwise("No")
+    near_even = F.abs(p - 0.5) <= 0.0005
+    agrees = ((F.col("Model_Says") == label) | near_even) & (F.abs(F.col("confidence") - F.greatest(p, 1 - p)) <= 0.0005)
+    return scored_walk(data).groupBy("station_id").agg(
+        F.count("*").alias("n_days"), F.count_if(agrees).alias("consistent")
+    )
+
+
+@query(
+    "f15_prediction_with_model",
+    over(
+        walk(30, stop=True) + DECIDED,
+        "SELECT station_id, refill_date, days_remaining, triggered, closing_stock, true AS confident FROM decided",
+    ),
+)
 def prediction_with_model(data):
-    """The refill decision with the model's confidence on the last simulated day."""
-    return reports.predict_with_model(data.trained.model, data.features, data.multipliers)
+    """The refill decision with the model's confidence on the last simulated day, at least one half."""
+    decision = reports.predict_with_model(data.trained.model, data.features, data.multipliers)
+    return decision.select(
+        "station_id", "refill_date", "days_remaining", "triggered", "closing_stock",
+        (F.col("confidence").between(0.5, 1) & (F.col("confidence") != 0.91)).alias("confident"),
+    )
 
 
 @query("m08_accuracy", over(SCORED, f"SELECT station_id, {rnd('avg(CAST(Target = prediction AS INTEGER))', 6)} AS accuracy FROM scored GROUP BY 1"))

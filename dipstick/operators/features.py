@@ -70,12 +70,13 @@ def normalise(df: DataFrame, cfg: Tank = SERVE) -> DataFrame:
         new["Lag1_Closing"] = timeline.lag_or_mean("Closing_Stock", 1, "Opening_Stock")
     always = {"Rolling_7d_Sales"}
     df = df.withColumns({c: e for c, e in new.items() if c in always or c not in have})
-    if sold and "DOW_Avg_Sales" not in have:
-        df = timeline.weekday_ewm(df, "Total_Sold", cfg.alpha, "DOW_Avg_Sales")
-    if sold and "Sales_Trend" not in have:
-        df = df.withColumn("Sales_Trend", sales_trend())
+    # Windows in date order come first and the weekday's last, so that each order is sorted for once.
     if "Target" in df.columns and "Days_Since_Refill" not in have:
         df = timeline.days_since_refill(df)
+    if sold and "Sales_Trend" not in have:
+        df = df.withColumn("Sales_Trend", sales_trend())
+    if sold and "DOW_Avg_Sales" not in have:
+        df = timeline.weekday_ewm(df, "Total_Sold", cfg.alpha, "DOW_Avg_Sales")
     return df
 
 
@@ -125,5 +126,4 @@ def training_features(prepared: DataFrame, cfg: Tank = PREP) -> DataFrame:
             "Sales_Trend": sales_trend(),
         }
     )
-    df = timeline.weekday_ewm(df, "Total_Sold", cfg.alpha, "DOW_Avg_Sales")
-    return timeline.days_since_refill(df)
+    return timeline.weekday_ewm(timeline.days_since_refill(df), "Total_Sold", cfg.alpha, "DOW_Avg_Sales")

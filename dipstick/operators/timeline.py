@@ -58,9 +58,7 @@ def weekday_ewm(df: DataFrame, column: str, alpha: float, out: str, block: int =
     further back weigh less than a double can hold.
     """
     keep = 1 - alpha
-    order = same_weekday()
-    rn = F.row_number().over(order)
-    numbered = df.withColumn("_rn", rn).withColumns(
+    numbered = df.withColumn("_rn", F.row_number().over(same_weekday())).withColumns(
         {"_block": F.expr(f"(_rn - 1) div {block}"), "_at": F.expr(f"(_rn - 1) % {block}").cast("double")}
     )
     x = F.col(column).cast("double")
@@ -69,7 +67,9 @@ def weekday_ewm(df: DataFrame, column: str, alpha: float, out: str, block: int =
     local = F.sum(share).over(inside) * F.pow(F.lit(keep), F.col("_at"))
     summed = numbered.withColumn("_local", local)
     end = F.when(F.col("_at") == block - 1, F.col("_local"))
-    before = F.last(end, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    # The same order as by date alone, written so that the sort just made serves it too.
+    by_block = Window.partitionBy("station_id", "DayOfWeek").orderBy("_block", "Date")
+    before = F.last(end, ignorenulls=True).over(by_block.rowsBetween(Window.unboundedPreceding, -1))
     carried = F.coalesce(before, F.lit(0.0)) * F.pow(F.lit(keep), F.col("_at") + 1)
     return summed.withColumn(out, F.col("_local") + carried).drop("_rn", "_block", "_at", "_local")
 
