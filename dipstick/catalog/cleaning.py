@@ -58,10 +58,8 @@ _WRITTEN = ("yyyy-MM-dd", "yyyy/MM/dd", "dd/MM/yyyy", "dd-MM-yyyy", "MM/dd/yyyy"
 
 def _written_dates(data) -> DataFrame:
     way = F.col("o_orderkey") % 9
-    forms = reduce(
-        lambda out, w: out.when(way == w[0], F.date_format("o_orderdate", w[1])), enumerate(_WRITTEN), F
-    )
-    return data.table("orders").select("o_orderkey", forms.otherwise(F.lit("junk")).alias("written"))
+    forms = ((way == i, F.date_format("o_orderdate", layout)) for i, layout in enumerate(_WRITTEN))
+    return data.table("orders").select("o_orderkey", numeric.choose(forms, F.lit("junk")).alias("written"))
 
 
 @query("c04_lenient_dates", over(_TEXT_DATES, "SELECT o_orderkey, written, parsed FROM parsed"))
@@ -96,7 +94,7 @@ def coerce_numbers(data):
         key, F.concat(F.lit(" "), key, F.lit(" ")), F.concat(key, F.lit("e3")), F.concat(F.lit("1,"), key),
         F.concat(key, F.lit("d")), F.lit(""), F.concat(F.lit("0x"), key), F.concat(F.lit("-"), key),
     ]
-    written = reduce(lambda out, s: out.when(way == s[0], s[1]), enumerate(shapes), F)
+    written = numeric.choose((way == i, shape) for i, shape in enumerate(shapes))
     cells = data.table("orders").select("o_orderkey", written.alias("Total_Sold"))
     return clean.coerce_numbers(cells)
 
@@ -124,7 +122,7 @@ def _labelled(data) -> DataFrame:
     forms = [yes, F.upper(yes), F.col("Target").cast("string"), F.lower(yes), F.concat(F.lit(" "), yes, F.lit(" ")),
              F.lit(None).cast("string"), F.lit("maybe")]
     way = F.dayofmonth("Date") % 7
-    label = reduce(lambda out, f: out.when(way == f[0], f[1]), enumerate(forms), F)
+    label = numeric.choose((way == i, form) for i, form in enumerate(forms))
     return data.ledger.select("station_id", "Date", label.alias("Refill_Required"))
 
 

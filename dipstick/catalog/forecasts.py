@@ -214,14 +214,13 @@ def drift_backtest(data):
     over(walk(15, reset=True, scenario_last=True, percents=_SWEEP_SQL), 'SELECT station_id, demand_pct, step, "Date", Opening_Stock, Est_Sold, Closing_Stock, triggered FROM path'),
 )
 def simulation(data):
-    swept = forecast.scenarios(data.seeded, _SWEEP)
-    walked = forecast.walk(swept, forecast.SIMULATE, keep=["demand_pct"])
+    walked = forecast.simulate(data.features, data.multipliers, percents=_SWEEP)
     return walked.select("station_id", "demand_pct", "step", "Date", "Opening_Stock", "Est_Sold", "Closing_Stock", "triggered")
 
 
 @query("f17_drawdown", over(walk(8), 'SELECT station_id, step, "Date", Opening_Stock, Est_Sold, Closing_Stock FROM path'))
 def drawdown(data):
-    return forecast.walk(data.seeded, forecast.DRAWDOWN).select(
+    return forecast.drawdown(data.features, data.multipliers).select(
         "station_id", "step", "Date", "Opening_Stock", "Est_Sold", "Closing_Stock"
     )
 
@@ -235,8 +234,7 @@ def drawdown(data):
     ),
 )
 def flat_drawdown(data):
-    stations = data.ledger.select("station_id").distinct()
-    return forecast.flat_drawdown(stations, F.lit(7000), F.lit(4500))
+    return forecast.drawdown(data.ledger.drop("Total_Sold"))
 
 
 @query(

@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from dipstick.config import MONTHS, WEEKDAYS
+from dipstick.functions.numeric import choose
 
 # Accepted date layouts by the shape of the text. The shapes exclude each other: with
 # two numbers in front, the second is the month where it can be one, else the first is.
@@ -38,10 +39,7 @@ def parse_date(text: Column) -> Column:
     The shape picks the one layout to try: a failed attempt costs an exception per row.
     """
     trimmed = F.trim(text)
-    parsed = F
-    for shape, layout in DATE_LAYOUTS:
-        parsed = parsed.when(trimmed.rlike(f"^{shape}$"), F.try_to_date(trimmed, layout))
-    return parsed.otherwise(F.lit(None).cast("date"))
+    return choose((trimmed.rlike(f"^{shape}$"), F.try_to_date(trimmed, layout)) for shape, layout in DATE_LAYOUTS)
 
 
 def parse_date_strict(text: Column, layout: str = "dd-MM-yyyy") -> Column:

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import operator
+from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -59,18 +60,19 @@ def row_total(columns: Sequence[Column]) -> Column:
     return total
 
 
-def bands(x: Column, cuts: Sequence[tuple[str, Column | float, str]], otherwise: str) -> Column:
-    """First matching band of ``(operator, bound, label)``, e.g. ``("<", 25, "danger")``."""
-    tests = {
-        "<": lambda b: x < b,
-        "<=": lambda b: x <= b,
-        ">": lambda b: x > b,
-        ">=": lambda b: x >= b,
-    }
-    out = F
-    for op, bound, label in cuts:
-        out = out.when(tests[op](bound), F.lit(label))
-    return out.otherwise(F.lit(otherwise))
+def choose(branches: Iterable[tuple[Column, object]], default: object = None) -> Column:
+    """The value of the first condition that holds, else ``default``."""
+    first, *rest = branches
+    out = F.when(*first)
+    for condition, value in rest:
+        out = out.when(condition, value)
+    return out if default is None else out.otherwise(default)
+
+
+def bands(x: Column, cuts: Sequence[tuple[str, float, str]], otherwise: str) -> Column:
+    """First matching band of ``(comparison, bound, label)``, e.g. ``("<", 25, "danger")``."""
+    compare = {"<": operator.lt, "<=": operator.le, ">": operator.gt, ">=": operator.ge}
+    return choose(((compare[sign](x, bound), F.lit(label)) for sign, bound, label in cuts), F.lit(otherwise))
 
 
 def stock_band(pct: Column) -> Column:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -178,6 +178,28 @@ def predict_refill(
     return decide(scenarios(seeded_state(features, multipliers, cfg), percents), cfg)
 
 
+def simulate(
+    features: DataFrame,
+    multipliers: DataFrame | None = None,
+    cfg: Tank = SERVE,
+    days: int = SIMULATE.days,
+    percents: Sequence[float] = (0.0,),
+) -> DataFrame:
+    """The coming ``days`` per station and scenario, with one refill at the first trigger."""
+    swept = scenarios(seeded_state(features, multipliers, cfg), percents)
+    return walk(swept, replace(SIMULATE, days=days), cfg, keep=["demand_pct"])
+
+
+def drawdown(
+    features: DataFrame, multipliers: DataFrame | None = None, cfg: Tank = SERVE, days: int = DRAWDOWN.days
+) -> DataFrame:
+    """The coming ``days`` per station without refill; a flat fall where the ledger records too little."""
+    if {"Total_Sold", "Closing_Stock"} <= set(features.columns):
+        return walk(seeded_state(features, multipliers, cfg), replace(DRAWDOWN, days=days), cfg)
+    stations = features.select("station_id").distinct()
+    return flat_drawdown(stations, F.lit(7000), F.lit(cfg.default_sales), days)
+
+
 def decide(seeded: DataFrame, cfg: Tank = SERVE) -> DataFrame:
     """The first triggered day of each walk, else the rough estimate when there is none.
 

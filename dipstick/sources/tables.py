@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from dipstick.config import PAYMENTS, PRODUCTS, SERVE, Tank
 from dipstick.functions import calendar
+from dipstick.functions.numeric import choose
 from dipstick.operators.rollforward import roll_forward
 
 # Which part types make up which product, which priorities which payment.
@@ -23,11 +24,8 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
-def _lookup(column, mapping: dict[str, str]):
-    out = F
-    for key, value in mapping.items():
-        out = out.when(column == key, F.lit(value))
-    return out
+def _lookup(column: Column, mapping: dict[str, str]) -> Column:
+    return choose((column == key, F.lit(value)) for key, value in mapping.items())
 
 
 def daily_quantities(spark: SparkSession, folder: str) -> DataFrame:

@@ -41,7 +41,7 @@ def hot(tmp_path_factory):
     for name, frame in frames.items():
         for c in frame.select_dtypes("datetime"):
             frame[c] = frame[c].astype("datetime64[us]")
-        frame.to_parquet(folder / f"{name}.parquet")
+        frame.to_parquet(folder / f"{name}.parquet", row_group_size=300)
     return str(folder), frames
 
 
@@ -69,3 +69,29 @@ def test_hot_keys(spark, hot, threshold):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     got = {(r.station_id, r.Date): {k: v for k, v in r.asDict().items() if k not in ("station_id", "Date")} for r in rows}
     assert got == _brute_force(frames)
+
+
+def test_hot_part_and_customer_are_split(spark, hot):
+    """With thresholds fit for this size, the adaptive join splits the partition of a hot key."""
+    folder, frames = hot
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "8KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+        "spark.sql.files.maxPartitionBytes": "4KB",
+        "spark.sql.files.openCostInBytes": "0",
+    }
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    try:
+        df = tables.daily_quantities(spark, folder)
+        rows = df.collect()
+        text = df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for key in settings:
+            spark.conf.unset(key)
+    assert "skew=true" in text
+    got = {(r.station_id, r.Date): {k: v for k, v in r.asDict().items() if k not in ("station_id", "Date")} for r in rows}
+    assert got == _brute_force(frames)
