@@ -15,25 +15,23 @@ from dipstick.plans import training
 _MONTHS = "['Jan', 'Feb', 'Mar', 'Apr', 'May', 'Jun', 'Jul', 'Aug', 'Sep', 'Oct', 'Nov', 'Dec']"
 _DAYS = "['Monday', 'Tuesday', 'Wednesday', 'Thursday', 'Friday', 'Saturday', 'Sunday']"
 
-# Working days only, so that two weekdays have no rows.
-_WEEKDAYS_ONLY = """, work AS (SELECT * FROM ledger WHERE dow < 5), means AS (
+_MEANS = """, means AS (
   SELECT s.station_id, CAST(d AS INTEGER) AS DayOfWeek, m
   FROM (SELECT DISTINCT station_id FROM ledger) s, range(7) AS t(d)
-    LEFT JOIN (SELECT station_id, dow, avg(Total_Sold) AS m FROM {table} GROUP BY 1, 2) a
+    LEFT JOIN (SELECT station_id, dow, avg(Total_Sold) AS m FROM ledger GROUP BY 1, 2) a
       ON a.station_id = s.station_id AND a.dow = d)"""
 
 
-def _weekday_sql(table: str, columns: str) -> str:
-    return over(LEDGER + _WEEKDAYS_ONLY.format(table=table), f"SELECT station_id, DayOfWeek, {columns} FROM means")
+def _weekday_sql(columns: str) -> str:
+    return over(LEDGER + _MEANS, f"SELECT station_id, DayOfWeek, {columns} FROM means")
 
 
-@query("a01_sales_by_weekday", _weekday_sql("work", f'{_DAYS}[DayOfWeek + 1] AS "Day", {rnd("coalesce(m, 0)", 4)} AS avg_sold'))
+@query("a01_sales_by_weekday", _weekday_sql(f'{_DAYS}[DayOfWeek + 1] AS "Day", {rnd("coalesce(m, 0)", 4)} AS avg_sold'))
 def sales_by_weekday(data):
-    working_days = data.ledger.where(F.weekday("Date") < 5)
-    return stats.sales_by_weekday(working_days, 4).select("station_id", "DayOfWeek", "Day", "avg_sold")
+    return stats.sales_by_weekday(data.ledger, 4).select("station_id", "DayOfWeek", "Day", "avg_sold")
 
 
-@query("a02_best_weekday", _weekday_sql("ledger", "m = max(m) OVER (PARTITION BY station_id) AS is_best"))
+@query("a02_best_weekday", _weekday_sql("m = max(m) OVER (PARTITION BY station_id) AS is_best"))
 def best_weekday(data):
     return stats.sales_by_weekday(data.ledger).select("station_id", "DayOfWeek", "is_best")
 

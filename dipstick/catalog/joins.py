@@ -17,12 +17,12 @@ from dipstick.sources import artefacts, readers
     over(
         MULTIPLIERS,
         """SELECT l.station_id, l."Date", coalesce(m.multiplier, 1.0) AS multiplier FROM ledger l
-        LEFT JOIN (SELECT * FROM multipliers WHERE "Month" <> 2) m ON m.station_id = l.station_id AND m."Month" = l.mon""",
+        LEFT JOIN (SELECT * FROM multipliers WHERE multiplier > 1) m ON m.station_id = l.station_id AND m."Month" = l.mon""",
     ),
 )
 def month_multiplier(data):
-    """February is left out of the lookup, so its days take the default."""
-    known = data.multipliers.where(F.col("Month") != 2)
+    """The lookup lists months above the average only; days of the others take the default."""
+    known = data.multipliers.where(F.col("multiplier") > 1)
     days = data.ledger.select("station_id", "Date", F.month("Date").alias("Month"))
     return days.join(known, ["station_id", "Month"], "left").select(
         "station_id", "Date", F.coalesce("multiplier", F.lit(1.0)).alias("multiplier")
@@ -83,14 +83,18 @@ def aligned_ratio(data):
     "j05_all_weekdays",
     over(
         LEDGER,
-        f"""SELECT s.station_id, CAST(d AS INTEGER) AS DayOfWeek, {rnd('coalesce(avg(l.Total_Sold), 0)', 4)} AS avg_sold
-        FROM (SELECT DISTINCT station_id FROM ledger) s, range(7) AS t(d)
-        LEFT JOIN ledger l ON l.station_id = s.station_id AND l.dow = d AND l.dow <> 3 GROUP BY 1, 2""",
+        f""", months AS (SELECT *, station_id || strftime("Date", ' %Y-%m') AS station_month FROM ledger)
+        SELECT s.station_month AS station_id, CAST(d AS INTEGER) AS DayOfWeek, {rnd('coalesce(avg(l.Total_Sold), 0)', 4)} AS avg_sold
+        FROM (SELECT DISTINCT station_month FROM months) s, range(7) AS t(d)
+        LEFT JOIN months l ON l.station_month = s.station_month AND l.dow = d GROUP BY 1, 2""",
     ),
 )
 def all_weekdays(data):
-    """Thursdays are left out and still get their row."""
-    return stats.sales_by_weekday(data.ledger.where(F.weekday("Date") != 3), 4).select("station_id", "DayOfWeek", "avg_sold")
+    """Seven rows for every station's month, whichever weekdays it has."""
+    month = F.concat("station_id", F.date_format("Date", " yyyy-MM"))
+    return stats.sales_by_weekday(data.ledger.withColumn("station_id", month), 4).select(
+        "station_id", "DayOfWeek", "avg_sold"
+    )
 
 
 _NEIGHBOUR_FEATURES = ("Opening_Stock", "Total_Sold", "MS_Sold", "HSD1_Sold", "HSD2_Sold", "HSD3_Sold")

@@ -146,3 +146,11 @@ def test_profile_of_one_weekday(spark):
     df = days(spark, [(9, 100, 9, 0)]).withColumn("DayOfWeek", F.weekday("Date"))
     p = {r.DayOfWeek: r for r in profile.weekday_profile(df).collect()}
     assert len(p) == 7 and p[0].ewm_avg == 100 and p[3].blended == 100 and p[3].MS_Sold == 0.12
+
+
+def test_weekday_without_rows(spark):
+    """Working days only: the weekend gets 0 and stays out of the mean of means."""
+    df = ten_days(spark).where(F.weekday("Date") < 5)
+    got = stats.sales_by_weekday(df).orderBy("DayOfWeek").collect()
+    assert [r.avg_sold for r in got] == [3950, 5050, 4600, 3000, 6000, 0, 0]
+    assert got[0].mean_of_means == 4520 and [r.DayOfWeek for r in got if r.is_best] == [4]
