@@ -33,3 +33,8 @@ def refill_flag_strict(label: Column) -> Column:
 def says_yes(label: Column) -> Column:
     """Trimmed and case-blind test for yes."""
     return F.coalesce(F.lower(F.trim(label.cast("string"))) == "yes", F.lit(False))
+
+
+def reads_yes(label: Column) -> Column:
+    """Case-blind test for yes that does not trim."""
+    return F.coalesce(F.lower(label.cast("string")) == "yes", F.lit(False))

@@ -41,9 +41,14 @@ def last_state(df: DataFrame, cfg: Tank = SERVE) -> DataFrame:
     """
     if "Closing_Stock" not in df.columns:
         df = df.withColumn("Closing_Stock", F.lit(cfg.unknown_closing))
-    refilled = text.says_yes(F.col("Refill_Required")) if "Refill_Required" in df.columns else F.col("Target") == 1
+    # The seed trims the label, the count of days since a refill does not.
+    if "Refill_Required" in df.columns:
+        full, refilled = text.says_yes(F.col("Refill_Required")), text.reads_yes(F.col("Refill_Required"))
+    else:
+        full = refilled = F.col("Target") == 1
     numbered = df.select(
-        "station_id", "Date", "Total_Sold", "Closing_Stock", refilled.cast("int").alias("_refilled")
+        "station_id", "Date", "Total_Sold", "Closing_Stock",
+        full.alias("_full"), refilled.alias("_refilled"),
     ).withColumn("_back", F.row_number().over(timeline.latest_first()))
     recent = F.sort_array(
         F.collect_list(F.when(F.col("_back") <= 7, F.struct("Date", F.col("Total_Sold").cast("double").alias("x"))))
@@ -51,10 +56,10 @@ def last_state(df: DataFrame, cfg: Tank = SERVE) -> DataFrame:
     state = numbered.groupBy("station_id").agg(
         F.max("Date").alias("last_date"),
         F.max_by("Closing_Stock", "Date").cast("double").alias("last_closing"),
-        F.max_by("_refilled", "Date").alias("_full"),
+        F.max_by("_full", "Date").alias("_full"),
         recent["x"].alias("recent_sales"),
         # Rows after the last refill row; 0 when there was none.
-        F.coalesce(F.min(F.when(F.col("_refilled") == 1, F.col("_back"))) - 1, F.lit(0)).alias("days_since"),
+        F.coalesce(F.min(F.when(F.col("_refilled"), F.col("_back"))) - 1, F.lit(0)).alias("days_since"),
         F.avg("Total_Sold").alias("mean_sold"),
     )
     return state.select(
@@ -70,7 +75,7 @@ def seed_stock(cfg: Tank) -> Column:
     closing = F.coalesce(F.col("last_closing"), F.lit(0.0))
     if cfg.empty_seed is not None:
         closing = F.when(closing == 0, F.lit(float(cfg.empty_seed))).otherwise(closing)
-    return F.when(F.col("_full") == 1, F.lit(float(cfg.capacity))).otherwise(closing)
+    return F.when(F.col("_full"), F.lit(float(cfg.capacity))).otherwise(closing)
 
 
 def with_profile(state: DataFrame, weekdays: DataFrame, multipliers: DataFrame | None = None) -> DataFrame:

@@ -16,13 +16,15 @@ from dipstick.operators.timeline import station
 
 # Feature values are binned before splits are searched; more bins come closer to exact splits.
 MAX_BINS = 128
+# Node statistics held at once; more memory means fewer passes over the data.
+MEMORY_MB = 512
 
 
 def _pipeline(features: Sequence[str], **forest) -> Pipeline:
     assemble = VectorAssembler(inputCols=list(features), outputCol="features")
     classify = RandomForestClassifier(
         featuresCol="features", labelCol="Target", seed=42, maxBins=MAX_BINS,
-        featureSubsetStrategy="sqrt", maxMemoryInMB=512, **forest,
+        featureSubsetStrategy="sqrt", maxMemoryInMB=MEMORY_MB, **forest,
     )
     return Pipeline(stages=[assemble, classify])
 

@@ -247,6 +247,15 @@ def test_seed_stock(spark, closing, label, serve, prep):
     assert forecast.last_state(df, PREP).first().seed_stock == prep
 
 
+def test_padded_label_fills_the_tank_but_is_no_refill_row(spark):
+    rows = [("s", D(2024, 1, 1) + dt.timedelta(days=i), 100, 900, label) for i, label in enumerate(("YES", "No", " yes "))]
+    df = spark.createDataFrame(
+        rows, "station_id string, Date date, Total_Sold bigint, Closing_Stock bigint, Refill_Required string"
+    )
+    state = forecast.last_state(df).first()
+    assert (state.seed_stock, state.days_since) == (12000, 2)
+
+
 def test_report_rows(ledger):
     f = features.normalise(ledger)
     walked = forecast.walk(forecast.seeded_state(f), forecast.SIMULATE)
