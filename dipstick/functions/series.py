@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 
 def ewm_depth(alpha: float, tail: float = 1e-16) -> int:
-    """Rows after which the weight left in the tail is below double precision."""
-    return max(1, math.ceil(math.log(tail) / math.log(1 - alpha)))
+    """Rows after which the weight left in the tail is below ``tail``."""
+    return 1 if alpha >= 1 else max(1, math.ceil(math.log(tail) / math.log(1 - alpha)))
 
 
 def ewm(values: Column, alpha: float) -> Column:

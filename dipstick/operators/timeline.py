@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from dipstick.functions import numeric
+from dipstick.functions import numeric, series
 
 
 def days() -> WindowSpec:
@@ -49,15 +49,18 @@ def last_known(column: str) -> Column:
     return F.last(column, ignorenulls=True).over(days().rowsBetween(Window.unboundedPreceding, 0))
 
 
-def weekday_ewm(df: DataFrame, column: str, alpha: float, out: str, block: int = 1024) -> DataFrame:
+def weekday_ewm(df: DataFrame, column: str, alpha: float, out: str, block: int | None = None) -> DataFrame:
     """Exponentially weighted mean over the same weekday, current row included.
 
     Written out, the recursion is a sum of ``x * (1-a)^(n-i)``. Scaled by the power it is a plain
-    running sum, one addition per row and no array. The sum restarts every ``block`` rows, before
-    the scale can overflow; the end of the block before is added with its weight, and blocks
-    further back weigh less than a double can hold.
+    running sum, one addition per row and no array. The sum restarts every ``block`` rows, where the
+    scale has reached 1e150, far from overflow; the end of the block before is added with its
+    weight, and blocks further back weigh less than a double can hold.
     """
+    if alpha >= 1:
+        return df.withColumn(out, F.col(column).cast("double"))
     keep = 1 - alpha
+    block = block or series.ewm_depth(alpha, 1e-150)
     numbered = df.withColumn("_rn", F.row_number().over(same_weekday())).withColumns(
         {"_block": F.expr(f"(_rn - 1) div {block}"), "_at": F.expr(f"(_rn - 1) % {block}").cast("double")}
     )

@@ -132,6 +132,19 @@ def test_weighted_mean_carries_across_blocks(spark):
     assert cut == pytest.approx(expected, rel=97 * (1 - SERVE.alpha) ** 30)
 
 
+@pytest.mark.parametrize("span", [1, 1.2, 8, 1000])
+def test_weighted_mean_for_other_spans(spark, span):
+    alpha = 2 / (span + 1)
+    xs = [(11 * i * i) % 89 + 1.0 for i in range(700)]
+    rows = [("s", D(2000, 1, 3) + dt.timedelta(days=7 * i), 0, x) for i, x in enumerate(xs)]
+    df = spark.createDataFrame(rows, "station_id string, Date date, DayOfWeek int, x double")
+    y, expected = None, []
+    for x in xs:
+        y = x if y is None else alpha * x + (1 - alpha) * y
+        expected.append(y)
+    assert column(timeline.weekday_ewm(df, "x", alpha, "y"), "y") == pytest.approx(expected, rel=1e-11)
+
+
 @pytest.mark.parametrize(
     "written, expected",
     [
