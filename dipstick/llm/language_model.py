@@ -216,7 +216,7 @@ def score(docs: DataFrame, vocabulary_size: int = 768, dim: int = 24, rounds: in
     counted = kept(word_counts(plain), "word-counts")
     total = counted.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
     n_train, n_types = int(total["n"] or 0), int(total["v"])
-    top = [(bytes(r["word"]), int(r["n"])) for r in counted.where(F.col("n") * F.lit(common) >= n_train).collect()]
+    top = [(bytes(r["word"]), int(r["n"])) for r in counted.where((F.col("n") * F.lit(common) >= n_train) | (F.col("word") == F.lit(END))).collect()]
     top.sort(key=lambda wn: (-wn[1], wn[0]))
     inner = [w for w, _ in top if w != END][: vocabulary_size - 2]
     vocabulary = {END: 1} | {w: i + 2 for i, w in enumerate(inner)}

@@ -22,7 +22,7 @@ WINDOW = 8
 MIN_WORDS = 20
 REPEAT_PERCENT = 30
 # The transformed statistics and the spread that each is granted even where a group has none.
-FLOORS = {"x_length": 0.25, "x_symbols": 0.1, "x_lines": 0.3, "x_repeats": 0.25, "x_shouting": 0.2}
+FLOORS = {"x_length": 0.25, "x_symbols": 0.1, "x_lines": 0.3, "x_repeats": 0.25, "x_shouting": 0.1}
 COUNTS = "n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, n_lines bigint, n_shouted bigint"
 
 
