@@ -20,7 +20,11 @@ by_value(__name__)
 _WIDE = re.compile("[" + "".join(map(chr, (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))) + "]")
 _BLANK = " \t\n\r\x0b\x0c"
 _CHUNK = re.compile(f" ?[^{_BLANK}]+|[{_BLANK}]+(?![^{_BLANK}])|[{_BLANK}]+")
-_PLAIN = re.compile(" ?[A-Za-z]+")
+# Words of these letters are one piece to both layouts, and the same in normal form.
+_PLAIN = re.compile(" ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+# Byte-level models write each byte as a letter; those without one of their own follow U+0100.
+_HIDDEN = [b for b in range(256) if not (0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or 0xAE <= b)]
+_LETTERS = {b: 0x100 + i for i, b in enumerate(_HIDDEN)}
 
 
 def _layout(spec: dict) -> str | None:
@@ -86,10 +90,8 @@ class PieceEncoder:
         odd = []
         for unit in {*stems.values(), *tails.values()}:
             if self.layout and _PLAIN.fullmatch(unit):
-                if self.layout == "spaced":
-                    found[unit] = [t.id for t in self.model.tokenize(unit.replace(" ", "\u0120"))]
-                else:
-                    found[unit] = [t.id for t in self.model.tokenize(unit.lower())]
+                word = unit if self.layout == "spaced" else unit.lower()
+                found[unit] = [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(_LETTERS))]
             else:
                 odd.append(unit)
         found.update(zip(odd, self._whole(odd)))
