@@ -294,34 +294,6 @@ def json_sinks(data):
     return reduce(DataFrame.unionAll, counts)
 
 
-@query("s19_synthetic_ledger")
-def synthetic_ledger(data):
-    """A made year for every station of the customer table."""
-    stations = data.table("customer").select(F.col("c_mktsegment").alias("station_id")).distinct()
-    return synthetic.synthetic_ledger(stations)
-
-
-@query(
-    "s19_synthetic_ledger_holds",
-    """SELECT station_id, CAST(365 AS BIGINT) AS n_days, CAST(365 AS BIGINT) AS in_range, CAST(365 AS BIGINT) AS rolled, true AS near_mean
-    FROM (SELECT DISTINCT c_mktsegment AS station_id FROM customer)""",
-)
-def synthetic_ledger_holds(data):
-    """Made days per station, and those that keep the sales range and the roll-forward rule."""
-    made = synthetic_ledger(data)
-    days = stats.timeline.days()
-    before = F.lag(F.struct("Closing_Stock", "Target")).over(days)
-    opening = F.when(before.isNull() | (before["Target"] == 1), 12000).otherwise(before["Closing_Stock"])
-    closing = F.greatest(F.lit(0), F.col("Opening_Stock") - F.col("Total_Sold"))
-    holds = (F.col("_open") == F.col("Opening_Stock")) & (F.col("Closing_Stock") == closing)
-    return made.withColumn("_open", opening).groupBy("station_id").agg(
-        F.count("*").alias("n_days"),
-        F.count_if(F.col("Total_Sold").between(2000, 7000)).alias("in_range"),
-        F.count_if(holds & ((closing < 2000) == (F.col("Target") == 1))).alias("rolled"),
-        (F.abs(F.avg("Total_Sold") - 4500) < 150).alias("near_mean"),
-    )
-
-
 @query(
     "s20_date_spine",
     """SELECT station_id, CAST(DATE '2024-01-01' + CAST(i AS INTEGER) AS DATE) AS "Date"

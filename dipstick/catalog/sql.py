@@ -80,7 +80,7 @@ def rnd(x: str, digits: int) -> str:
 FEATURES = LEDGER + f""", ewm AS (
   SELECT station_id, "Date" AS d, list_reduce(
       list(CAST(Total_Sold AS DOUBLE)) OVER (PARTITION BY station_id, dow ORDER BY "Date"
-        ROWS BETWEEN 151 PRECEDING AND CURRENT ROW),
+        ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
       lambda y, x: CASE WHEN y = x THEN y ELSE y * {B} + x * {A} END) AS y
   FROM ledger
 ), windows AS (

@@ -8,19 +8,25 @@ from pyspark.sql import functions as F
 from dipstick.config import MONTHS, WEEKDAYS
 from dipstick.functions.numeric import choose
 
-# Accepted date layouts by the shape of the text. The shapes exclude each other: with
-# two numbers in front, the second is the month where it can be one, else the first is.
+# Accepted date layouts by the shape of the text, after a time of day is cut off. The shapes
+# exclude each other: with two numbers in front, the second is the month where it can be one, else the first is.
 _MONTH = "(0?[1-9]|1[0-2])"
+_TIME = r"[T ]+\d{1,2}:\d{2}(:\d{2}(\.\d+)?)?\s*(Z|[+-]\d{2}:?\d{2})?$"
+_NAME = "(?i:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)"
+_FULL = "(?i:january|february|march|april|june|july|august|september|october|november|december)"
 DATE_LAYOUTS = (
     (r"\d{4}-\d{1,2}-\d{1,2}", "yyyy-M-d"),
     (r"\d{4}/\d{1,2}/\d{1,2}", "yyyy/M/d"),
-    (rf"\d{{1,2}}/{_MONTH}/\d{{4}}", "d/M/yyyy"),
-    (rf"\d{{1,2}}-{_MONTH}-\d{{4}}", "d-M-yyyy"),
-    (r"\d{1,2}/\d{1,2}/\d{4}", "M/d/yyyy"),
-    (r"\d{1,2}-\d{1,2}-\d{4}", "M-d-yyyy"),
-    (r"\d{1,2} [A-Za-z]{3} \d{4}", "d MMM yyyy"),
-    (r"\d{1,2}-\d{1,2}-\d{2}", "d-M-yy"),
-    (r"\d{4}-\d{1,2}-\d{1,2} \d{2}:\d{2}:\d{2}", "yyyy-M-d HH:mm:ss"),
+    (r"\d{4}\.\d{1,2}\.\d{1,2}", "yyyy.M.d"),
+    (r"\d{8}", "yyyyMMdd"),
+    *(
+        (rf"\d{{1,2}}[{sep}]{month}[{sep}]{digits}", layout.replace("/", sep))
+        for sep in "/.-"
+        for digits, year in ((r"\d{4}", "yyyy"), (r"\d{2}", "yy"))
+        for month, layout in ((_MONTH, f"d/M/{year}"), (r"\d{1,2}", f"M/d/{year}"))
+    ),
+    *((rf"\d{{1,2}}{sep}{name}{sep}\d{{4}}", f"d{sep}{m}{sep}yyyy") for sep in " -" for name, m in ((_NAME, "MMM"), (_FULL, "MMMM"))),
+    *((rf"{name} \d{{1,2}}, ?\d{{4}}", f"{m} d, yyyy") for name, m in ((_NAME, "MMM"), (_FULL, "MMMM"))),
 )
 # The display layouts reports use.
 DISPLAY_LAYOUTS = {
@@ -34,12 +40,13 @@ DISPLAY_LAYOUTS = {
 
 
 def parse_date(text: Column) -> Column:
-    """Lenient day-first date; NULL where no layout fits.
+    """Lenient day-first date; NULL where no layout fits. A time of day and its zone are cut off.
 
     The shape picks the one layout to try: a failed attempt costs an exception per row.
     """
-    trimmed = F.trim(text)
-    return choose((trimmed.rlike(f"^{shape}$"), F.try_to_date(trimmed, layout)) for shape, layout in DATE_LAYOUTS)
+    bare = F.regexp_replace(F.trim(text), _TIME, "")
+    named = F.initcap(F.regexp_replace(bare, r",(\d)", ", $1"))
+    return choose((bare.rlike(f"^{shape}$"), F.try_to_date(named, layout)) for shape, layout in DATE_LAYOUTS)
 
 
 def parse_date_strict(text: Column, layout: str = "dd-MM-yyyy") -> Column:

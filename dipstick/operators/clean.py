@@ -35,6 +35,13 @@ def parse_dates(df: DataFrame, column: str = "Date") -> DataFrame:
     return df.withColumn(column, d).dropna(subset=[column])
 
 
+def unreadable_dates(df: DataFrame, column: str = "Date") -> DataFrame:
+    """(value, n): the non-blank texts that ``parse_dates`` cannot read and therefore drops."""
+    value = F.col(column).cast("string")
+    lost = (F.trim(value) != "") & calendar.parse_date(value).isNull()
+    return df.where(lost).groupBy(value.alias("value")).agg(F.count("*").alias("n"))
+
+
 def parse_dates_strict(df: DataFrame, column: str = "Date", layout: str = "dd-MM-yyyy") -> DataFrame:
     return df.withColumn(column, calendar.parse_date_strict(F.col(column), layout))
 

@@ -82,7 +82,7 @@ def with_profile(state: DataFrame, weekdays: DataFrame, multipliers: DataFrame |
     """Attach the weekday blend and the month multipliers as maps of at most 7 and 12 entries.
 
     Multipliers per station join on the station. A table without a station column is one shared
-    set of at most twelve rows, checked by its keys being months.
+    set of at most twelve rows, checked by its keys being months; a month listed twice is an error.
     """
     per_day = weekdays.groupBy("station_id").agg(
         F.map_from_entries(F.collect_list(F.struct("DayOfWeek", "blended"))).alias("blend")
@@ -96,7 +96,7 @@ def with_profile(state: DataFrame, weekdays: DataFrame, multipliers: DataFrame |
     if "station_id" in multipliers.columns:
         per_month = months.groupBy("station_id").agg(entries.alias("by_month"))
         return out.join(per_month, "station_id", "left").withColumn("by_month", F.coalesce("by_month", none))
-    shared = months.dropDuplicates(["Month"]).agg(entries.alias("by_month"))
+    shared = months.agg(entries.alias("by_month"))
     return out.withColumn("by_month", F.coalesce(shared.scalar(), none))
 
 

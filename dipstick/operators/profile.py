@@ -4,38 +4,35 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from dipstick.config import DEFAULT_SHARES, PRODUCTS, SALES, SERVE, Tank
-from dipstick.functions import calendar, numeric, series
+from dipstick.functions import calendar, numeric
 from dipstick.operators import timeline
 
 
 def weekday_profile(df: DataFrame, cfg: Tank = SERVE) -> DataFrame:
     """Seven rows per station: weighted mean, recent mean, their blend and product shares.
 
-    A weekday without history takes the station mean and the default shares. Only the rows that
-    still carry weight reach the fold; the shares use all rows and are partially aggregated.
+    A weekday without history takes the station mean and the default shares. The weighted mean is
+    the end of the running form over the whole history, rounded to nine digits: a running sum leaves
+    noise behind them, which whole litres must not see.
     """
-    depth = series.ewm_depth(cfg.alpha, 4e-17) + 1
     products = [p for p in PRODUCTS if p in df.columns]
-    back = F.row_number().over(timeline.same_weekday().orderBy(F.desc("Date")))
-    sold = F.col("Total_Sold").cast("double")
-    kept = F.when(F.col("_back") <= depth, F.struct("Date", sold.alias("x")))
+    picked = df.select("station_id", "Date", "DayOfWeek", "Total_Sold", *products)
+    weighted = timeline.weekday_ewm(picked, "Total_Sold", cfg.alpha, "_ewm", position="_nth")
+    rows = F.count("*").over(Window.partitionBy("station_id", "DayOfWeek"))
     per_day = (
-        df.select("station_id", "Date", "DayOfWeek", "Total_Sold", *products)
-        .withColumn("_back", back)
+        weighted.withColumn("_back", rows - F.col("_nth") + 1)
         .groupBy("station_id", "DayOfWeek")
         .agg(
-            F.sort_array(F.collect_list(kept)).alias("_history"),
+            numeric.half_even(F.max_by("_ewm", "_nth"), 9).alias("ewm_avg"),
             F.avg(F.when(F.col("_back") <= cfg.recent, F.col("Total_Sold"))).alias("recent_avg"),
             F.sum("Total_Sold").alias("_sold"),
             F.count("*").alias("_days"),
             *[numeric.safe_ratio(F.avg(p), F.avg("Total_Sold")).alias(f"_{p}") for p in products],
         )
-        .withColumn("ewm_avg", series.ewm(F.col("_history")["x"], cfg.alpha))
-        .drop("_history")
     )
     values = ["recent_avg", "ewm_avg", *[f"_{p}" for p in products]]
     entry = F.struct("DayOfWeek", *values)
@@ -95,7 +92,7 @@ def winsorise(df: DataFrame, columns: Sequence[str] = SALES) -> DataFrame:
 
 
 def monthly_multipliers(df: DataFrame, cap: bool = True) -> DataFrame:
-    """Month mean over station mean, four digits, from capped sales."""
+    """Month mean over station mean, four digits, from capped sales; 1 where a station sold nothing."""
     capped = winsorise(df, ["Total_Sold"]) if cap else df
     per_month = capped.groupBy("station_id", F.month("Date").alias("Month")).agg(
         F.sum("Total_Sold").alias("_sold"), F.count("*").alias("_days")
@@ -105,7 +102,7 @@ def monthly_multipliers(df: DataFrame, cap: bool = True) -> DataFrame:
     return per_month.withColumn("_all", overall).select(
         "station_id",
         "Month",
-        numeric.half_even(F.col("_sold") / F.col("_days") / F.col("_all"), 4).alias("multiplier"),
+        numeric.half_even(F.coalesce(F.try_divide(F.col("_sold") / F.col("_days"), F.col("_all")), F.lit(1.0)), 4).alias("multiplier"),
     )
 
 

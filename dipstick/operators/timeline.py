@@ -1,7 +1,7 @@
 """Windows over a station's days.
 
-A ledger has one row per station and day, so a window partition is bounded by the calendar, not by
-the raw volume. Every window here partitions by the station or by the station and weekday, and all
+A built ledger has one row per station and day, so a window partition is bounded by the calendar, not
+by the raw volume. Frames count rows, so rows of one day follow each other instead of being summed. Every window here partitions by the station or by the station and weekday, and all
 are served by one hash exchange on the station.
 """
 
@@ -49,32 +49,38 @@ def last_known(column: str) -> Column:
     return F.last(column, ignorenulls=True).over(days().rowsBetween(Window.unboundedPreceding, 0))
 
 
-def weekday_ewm(df: DataFrame, column: str, alpha: float, out: str, block: int | None = None) -> DataFrame:
+def weekday_ewm(df: DataFrame, column: str, alpha: float, out: str, block: int | None = None, position: str | None = None) -> DataFrame:
     """Exponentially weighted mean over the same weekday, current row included.
 
     Written out, the recursion is a sum of ``x * (1-a)^(n-i)``. Scaled by the power it is a plain
-    running sum, one addition per row and no array. The sum restarts every ``block`` rows, where the
-    scale has reached 1e150, far from overflow; the end of the block before is added with its
-    weight, and blocks further back weigh less than a double can hold.
+    running sum, one addition per row and no array. The sum restarts every ``block`` known values,
+    where the scale has reached 1e150, far from overflow; what all earlier blocks have carried is
+    folded from their ends, one short array entry per block.
+
+    The mean starts at the first known value: NULLs before it give NULL, later ones repeat the mean.
+    Rows of one day follow each other, in one order for all windows here. ``position`` names a
+    column to keep for that order, the row's number within the weekday.
     """
-    if alpha >= 1:
-        return df.withColumn(out, F.col(column).cast("double"))
     keep = 1 - alpha
     block = block or series.ewm_depth(alpha, 1e-150)
-    numbered = df.withColumn("_rn", F.row_number().over(same_weekday())).withColumns(
-        {"_block": F.expr(f"(_rn - 1) div {block}"), "_at": F.expr(f"(_rn - 1) % {block}").cast("double")}
-    )
     x = F.col(column).cast("double")
+    so_far = same_weekday().rowsBetween(Window.unboundedPreceding, 0)
+    numbered = df.withColumns({"_pos": F.row_number().over(same_weekday()), "_rn": F.count(x).over(so_far)}).withColumns(
+        {"_block": F.expr(f"greatest(_rn - 1, 0) div {block}"), "_at": F.expr(f"greatest(_rn - 1, 0) % {block}").cast("double")}
+    )
     share = F.when(F.col("_rn") == 1, x).otherwise(x * alpha) / F.pow(F.lit(keep), F.col("_at"))
-    inside = Window.partitionBy("station_id", "DayOfWeek", "_block").orderBy("Date")
-    local = F.sum(share).over(inside) * F.pow(F.lit(keep), F.col("_at"))
-    summed = numbered.withColumn("_local", local)
-    end = F.when(F.col("_at") == block - 1, F.col("_local"))
-    # The same order as by date alone, written so that the sort just made serves it too.
-    by_block = Window.partitionBy("station_id", "DayOfWeek").orderBy("_block", "Date")
-    before = F.last(end, ignorenulls=True).over(by_block.rowsBetween(Window.unboundedPreceding, -1))
-    carried = F.coalesce(before, F.lit(0.0)) * F.pow(F.lit(keep), F.col("_at") + 1)
-    return summed.withColumn(out, F.col("_local") + carried).drop("_rn", "_block", "_at", "_local")
+    inside = Window.partitionBy("station_id", "DayOfWeek", "_block").orderBy("_pos").rowsBetween(Window.unboundedPreceding, 0)
+    summed = numbered.withColumn("_local", F.sum(share).over(inside) * F.pow(F.lit(keep), F.col("_at")))
+    end = F.when(x.isNotNull() & (F.col("_at") == block - 1), F.col("_local"))
+    # The same order as by position alone, written so that the sort just made serves it too.
+    by_block = Window.partitionBy("station_id", "DayOfWeek").orderBy("_block", "_pos")
+    ends = F.collect_list(end).over(by_block.rowsBetween(Window.unboundedPreceding, -1))
+    before = F.aggregate(F.col("_ends"), F.lit(0.0), lambda y, e: y * F.lit(keep**block) + e)
+    value = F.col("_local") + before * F.pow(F.lit(keep), F.col("_at") + 1)
+    found = summed.withColumn("_ends", ends).withColumn(out, F.when(F.col("_rn") > 0, value))
+    if position:
+        found = found.withColumn(position, F.col("_pos"))
+    return found.drop("_pos", "_rn", "_block", "_at", "_local", "_ends")
 
 
 def days_since_refill(df: DataFrame, flag: str = "Target", out: str = "Days_Since_Refill") -> DataFrame:
@@ -93,7 +99,7 @@ def days_since_refill(df: DataFrame, flag: str = "Target", out: str = "Days_Sinc
 def days_since_refill_islands(df: DataFrame, flag: str = "Target", out: str = "Days_Since_Refill") -> DataFrame:
     """The same measure as a running count inside each refill cycle."""
     cycle = F.coalesce(F.lag(flag).over(days()).cast("int"), F.lit(0))
-    grouped = df.withColumn("_step", cycle).withColumn("_cycle", F.sum("_step").over(days()))
+    grouped = df.withColumn("_step", cycle).withColumn("_cycle", F.sum("_step").over(days().rowsBetween(Window.unboundedPreceding, 0)))
     inside = Window.partitionBy("station_id", "_cycle").orderBy("Date")
     return grouped.withColumn(out, (F.row_number().over(inside) - 1).cast("int")).drop("_step", "_cycle")
 

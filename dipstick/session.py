@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 import tempfile
 import uuid
 
@@ -50,18 +49,17 @@ def materialise(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) ->
     return spark.read.schema(df.schema).parquet(path)
 
 
-def materialise_by(df: DataFrame, name: str, key: str, order: str, rows_per_bucket: int = 1_000_000) -> DataFrame:
+def materialise_by(df: DataFrame, name: str, key: str, order: str, buckets: int | None = None) -> DataFrame:
     """Write ``df`` as a table bucketed by ``key`` and sorted within it, and read it back.
 
     Windows, groupings and joins by the key then start from the stored layout: no exchange. The
-    rows are written plainly first, which tells their number and so how many buckets they fill.
+    number of buckets is that of shuffle partitions unless given.
     """
-    plain = materialise(df, f"{name}-rows")
     spark = df.sparkSession
-    buckets = max(1, math.ceil(plain.count() / rows_per_bucket))
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     table = f"{name}_{uuid.uuid4().hex}"
     (
-        plain.repartition(buckets, key)
+        df.repartition(buckets, key)
         .write.bucketBy(buckets, key)
         .sortBy(key, order)
         .option("path", fresh_path(spark, name))

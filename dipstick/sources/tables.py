@@ -79,7 +79,7 @@ def daily_sales(spark: SparkSession, folder: str, cfg: Tank = SERVE) -> DataFram
     mean = int(cfg.default_sales)
 
     def scaled(column: str):
-        return F.expr(f"(`{column}` * {mean} * _days) div _q")
+        return F.expr(f"coalesce((`{column}` * {mean} * _days) div nullif(_q, 0), 0)")
 
     return (
         daily_quantities(spark, folder)

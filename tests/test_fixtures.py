@@ -127,9 +127,42 @@ def test_weighted_mean_carries_across_blocks(spark):
         expected.append(y)
     whole = column(timeline.weekday_ewm(df, "x", SERVE.alpha, "y"), "y")
     assert whole == pytest.approx(expected, rel=1e-12)
-    # With short blocks only the block before is added, so the tail weight bounds the error.
-    cut = column(timeline.weekday_ewm(df, "x", SERVE.alpha, "y", block=30), "y")
-    assert cut == pytest.approx(expected, rel=97 * (1 - SERVE.alpha) ** 30)
+    for block in (1, 2, 30):  # all earlier blocks are carried, however short
+        cut = column(timeline.weekday_ewm(df, "x", SERVE.alpha, "y", block=block), "y")
+        assert cut == pytest.approx(expected, rel=1e-12)
+
+
+def test_rows_of_one_day_follow_each_other(spark):
+    days = [D(2024, 1, 1), D(2024, 1, 8), D(2024, 1, 8)]
+    df = spark.createDataFrame([("s", d, 0, x) for d, x in zip(days, (1000.0, 2000.0, 2000.0))], "station_id string, Date date, DayOfWeek int, x double")
+    assert sorted(column(timeline.weekday_ewm(df, "x", 2 / 9, "y"), "y")) == pytest.approx([1000, 1222.22, 1395.06], abs=0.01)
+    flags = spark.createDataFrame([("s", D(2024, 1, 1 + i // 2), 0) for i in range(4)], "station_id string, Date date, Target int")
+    for count in (timeline.days_since_refill, timeline.days_since_refill_islands):
+        assert sorted(column(count(flags), "Days_Since_Refill")) == [0, 1, 2, 3]
+
+
+def test_weighted_mean_starts_at_the_first_known_value(spark):
+    xs = [None, 2000.0, 3000.0, None]
+    df = spark.createDataFrame([("s", D(2024, 1, 1 + 7 * i), 0, x) for i, x in enumerate(xs)], "station_id string, Date date, DayOfWeek int, x double")
+    assert column(timeline.weekday_ewm(df, "x", 2 / 9, "y"), "y") == [None, pytest.approx(2000), pytest.approx(2222.2222), pytest.approx(2222.2222)]
+
+
+def test_date_spellings(spark):
+    spelled = [
+        "05/01/24", "2024-01-05T00:00:00", "2024-01-05T00:00:00.000Z", "2024-01-05 00:00:00.000", "05-Jan-2024", "5 January 2024", "Jan 5, 2024",
+        "05/01/2024 10:30", "2024.01.05", "05.01.2024", "20240105", "January 5,2024", "5 Jan 2024",
+    ]
+    df = spark.createDataFrame([(t,) for t in [*spelled, "soon", "", None, "2024-13-40"]], "Date string")
+    assert {r.Date for r in clean.parse_dates(df).collect()} == {D(2024, 1, 5)} and clean.parse_dates(df).count() == len(spelled)
+    assert {(r.value, r.n) for r in clean.unreadable_dates(df).collect()} == {("soon", 1), ("2024-13-40", 1)}
+
+
+def test_station_without_sales_leaves_the_others(spark):
+    rows = [(s, D(2024, m, 1), 0.0 if s == "idle" else 100.0 * m) for s in ("idle", "busy") for m in (1, 2, 3)]
+    found = profile.monthly_multipliers(spark.createDataFrame(rows, "station_id string, Date date, Total_Sold double"), cap=False)
+    assert {(r.station_id, r.Month): r.multiplier for r in found.collect()} == {
+        **{("idle", m): 1.0 for m in (1, 2, 3)}, ("busy", 1): 0.5, ("busy", 2): 1.0, ("busy", 3): 1.5,
+    }
 
 
 @pytest.mark.parametrize("span", [1, 1.2, 8, 1000])

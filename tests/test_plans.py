@@ -42,7 +42,7 @@ def test_stored_ledger_needs_none(spark, name):
 
 
 def test_many_buckets_give_the_same_features_without_exchange(unbucketed):
-    stored = materialise_by(unbucketed, "bucketed", "station_id", "Date", rows_per_bucket=200)
+    stored = materialise_by(unbucketed, "bucketed", "station_id", "Date", buckets=16)
     spread = features.normalise(stored)
     assert "Bucketed: true" in plan(spread) and exchanges(spread) == []
     assert spread.exceptAll(features.normalise(unbucketed)).count() == 0
