@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dipstick.llm.common import by_value, pieces, text_of, worker_memo
+from dipstick.llm.common import by_value, kept, pieces, text_of, worker_memo
 from dipstick.llm.tokens import PieceEncoder
 
 by_value(__name__)
@@ -75,4 +75,6 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache: str, limit: int =
     rows = docs.select(
         F.col(id_col), F.unhex(F.sha2(text, 256)).alias("digest"), F.octet_length(text).cast("bigint").alias("n_bytes")
     )
-    return rows.join(stored(), "digest").select(id_col, "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    # Written, so that the join reads plain rows and a hot digest is split there.
+    counts = kept(stored(), "counts")
+    return rows.join(counts, "digest").select(id_col, "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
