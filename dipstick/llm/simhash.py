@@ -137,8 +137,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, distance: int = 4, id_col
     prints = kept(fingerprints(docs, shingle, id_col, text_col), "fingerprints")
     roots = kept(components(links(prints, distance)), "roots")
     classes = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    # Written, so that the join by root reads plain rows and a large component is split there.
     named = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = named.groupBy("root").agg(F.min("first").alias("component_id"))
+    named = kept(named, "named")
+    least = kept(named.groupBy("root").agg(F.min("first").alias("component_id")), "least")
     answer = kept(named.join(least, "root").select("fp", "component_id"), "classes")
     shown = F.lpad(F.lower(F.hex("fp")), 16, "0")
     return prints.join(answer, "fp").select("doc_id", shown.alias("fingerprint"), "component_id")
