@@ -6,6 +6,7 @@ import html as entities
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -219,49 +220,101 @@ def blocks(part: Node) -> list[tuple[Node, str]]:
     return [(owner, text) for owner, text in whole if text]
 
 
-def match(a: Node, b: Node, limit: int = 4_000_000) -> list[tuple[Node, Node]]:
+def match(a: Node, b: Node, limit: int = 1 << 20) -> list[tuple[Node, Node]]:
     """Simple tree matching: the largest order-keeping match of two trees with equal roots.
 
-    Elements match if kind and class are equal. Equal runs of children at both ends are matched
-    first; between them stands the usual table.
+    Elements match if kind and class are equal. Subtrees of one shape weigh the same, so weights are
+    kept by pairs of shapes, and equal shapes at both ends of two rows of children belong to a largest
+    match. Between them stands the usual table; each row follows from the one before by a running maximum.
+    Only the children of matched elements need more than the last row: up to ``limit`` cells the
+    whole table is kept and walked back, beyond that the rows are halved until the parts are small
+    (the columns where the halves' best matches meet come from their last rows), so memory stays
+    linear in the children of long pages.
     """
-    sizes: dict = {}
+    shapes: dict = {}
+    shape_of: dict[int, int] = {}
+    within: list[list[int]] = []
+    heads: list[tuple[str, str]] = []
+    weights: dict[tuple[int, int], int] = {}
 
     def children(n: Node) -> list[Node]:
         return [c for c in n.children if c.tag not in INLINE]
 
-    def weigh(x: Node, y: Node) -> int:
-        if x.tag != y.tag or x.sign != y.sign:
+    for tree in (a, b):
+        for n in reversed(_walk(tree)):
+            if n.tag in INLINE and n is not tree:
+                continue
+            inner = [shape_of[id(c)] for c in children(n)]
+            key = (n.tag, n.sign, *inner)
+            if key not in shapes:
+                shapes[key] = len(within)
+                within.append(inner)
+                heads.append((n.tag, n.sign))
+            shape_of[id(n)] = shapes[key]
+
+    def weigh(x: int, y: int) -> int:
+        if heads[x] != heads[y]:
             return 0
-        key = (id(x), id(y))
-        if key not in sizes:
-            sizes[key] = 1 + table(children(x), children(y))[-1][-1]
-        return sizes[key]
-
-    def table(xs: list[Node], ys: list[Node]) -> list[list[int]]:
-        rows = [[0] * (len(ys) + 1)]
+        if (x, y) not in weights:
+            weights[x, y] = 1 + int(last_row(within[x], within[y])[-1])
+        return weights[x, y]
+
+    def rows(xs: list[int], ys: list[int]) -> Iterator[np.ndarray]:
+        kinds, at = np.unique(np.array(ys, np.int64), return_inverse=True)
+        held: dict[int, np.ndarray] = {}
+        row = np.zeros(len(ys) + 1, np.int64)
+        yield row
         for x in xs:
-            before, row = rows[-1], [0]
-            for j, y in enumerate(ys):
-                row.append(max(before[j + 1], row[j], before[j] + weigh(x, y)))
-            rows.append(row)
-        return rows
+            if x not in held:
+                held[x] = np.array([weigh(x, int(y)) for y in kinds], np.int64)
+            best = np.maximum(row[1:], row[:-1] + held[x][at])
+            row = np.concatenate([row[:1], np.maximum.accumulate(best)])
+            yield row
+
+    def last_row(xs: list[int], ys: list[int]) -> np.ndarray:
+        if not xs or not ys:
+            return np.zeros(len(ys) + 1, np.int64)
+        for row in rows(xs, ys):
+            pass
+        return row
+
+    def pairs_of(xs: list[Node], ys: list[Node]) -> list[tuple[Node, Node]]:
+        sx, sy = [shape_of[id(x)] for x in xs], [shape_of[id(y)] for y in ys]
+        start, x1, y1 = 0, len(xs), len(ys)
+        while start < min(x1, y1) and sx[start] == sy[start]:
+            start += 1
+        while min(x1, y1) > start and sx[x1 - 1] == sy[y1 - 1]:
+            x1, y1 = x1 - 1, y1 - 1
+        out = [*zip(xs[:start], ys[:start]), *zip(xs[x1:], ys[y1:])]
+        parts = [(start, x1, start, y1)]
+        while parts:
+            x0, x1, y0, y1 = parts.pop()
+            if x0 == x1 or y0 == y1:
+                continue
+            if x1 - x0 > 1 and (x1 - x0) * (y1 - y0) > limit:
+                half = (x0 + x1) // 2
+                ahead = last_row(sx[x0:half], sy[y0:y1])
+                behind = last_row(sx[half:x1][::-1], sy[y0:y1][::-1])[::-1]
+                cut = y0 + int(np.argmax(ahead + behind))
+                parts += [(x0, half, y0, cut), (half, x1, cut, y1)]
+                continue
+            table = list(rows(sx[x0:x1], sy[y0:y1]))
+            i, j = x1 - x0, y1 - y0
+            while i and j:
+                if table[i][j] == table[i - 1][j]:
+                    i -= 1
+                elif table[i][j] == table[i][j - 1]:
+                    j -= 1
+                else:
+                    out.append((xs[x0 + i - 1], ys[y0 + j - 1]))
+                    i, j = i - 1, j - 1
+        return out
 
     pairs, left = [], [(a, b)]
     while left:
         x, y = left.pop()
         pairs.append((x, y))
-        xs, ys = children(x), children(y)
-        rows = table(xs, ys)
-        i, j = len(xs), len(ys)
-        while i and j:
-            if rows[i][j] == rows[i - 1][j]:
-                i -= 1
-            elif rows[i][j] == rows[i][j - 1]:
-                j -= 1
-            else:
-                left.append((xs[i - 1], ys[j - 1]))
-                i, j = i - 1, j - 1
+        left += pairs_of(children(x), children(y))
     return pairs
 
 

@@ -316,6 +316,36 @@ def test_wrapper(spark):
     assert [text[i] for i in range(18, 23)] == ["", "loose <b> text", "", "plain words", "deep"]
 
 
+def test_tree_matching_by_the_plain_table():
+    rng = random.Random(5)
+
+    def tree(depth):
+        inner = "".join(tree(depth - 1) for _ in range(rng.randrange(5))) if depth else "x"
+        return f"<{(tag := rng.choice(['div', 'section', 'p']))} class={rng.choice('ab')}>{inner}</{tag}>"
+
+    def weigh(x, y):
+        if (x.tag, x.sign) != (y.tag, y.sign):
+            return 0
+        table = [[0] * (len(y.children) + 1) for _ in range(len(x.children) + 1)]
+        for i, c in enumerate(x.children):
+            for j, d in enumerate(y.children):
+                table[i + 1][j + 1] = max(table[i][j + 1], table[i + 1][j], table[i][j] + weigh(c, d))
+        return 1 + table[-1][-1]
+
+    for _ in range(150):
+        a, b = (main_text.parse("".join(tree(3) for _ in range(4))) for _ in range(2))
+        for limit in (1, 8, 1 << 20):  # from halving all rows to the whole table
+            pairs = main_text.match(a, b, limit)
+            assert len(pairs) == weigh(a, b)
+            assert len({id(x) for x, _ in pairs}) == len({id(y) for _, y in pairs}) == len(pairs)
+            assert all((x.tag, x.sign) == (y.tag, y.sign) for x, y in pairs)
+
+
+def test_long_pages_are_matched_whole():
+    a, b = (main_text.parse("".join(f"<{t}>{i}</{t}>" for i in range(6000) for t in [("p", "div", "section")[i * k % 7 % 3]])) for k in (1, 3))
+    assert len(main_text.match(a, b)) > 3000
+
+
 def test_empty_tables(spark):
     docs = plain.none(spark)
     bench = spark.createDataFrame([], "item_id bigint, text string")
