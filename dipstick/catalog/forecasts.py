@@ -70,9 +70,8 @@ def demand_scenarios(data):
 )
 def pressure_cap(data):
     """A flat demand against every day's opening stock."""
-    stock = F.col("Opening_Stock")
-    held = numeric.truncate(F.lit(SERVE.default_sales) * F.least(F.lit(1.0), stock / SERVE.pressure))
-    return data.ledger.select("station_id", "Date", F.least(held, stock).alias("capped"))
+    capped = forecast.pressure_cap(F.lit(SERVE.default_sales), F.col("Opening_Stock"))
+    return data.ledger.select("station_id", "Date", capped.cast("bigint").alias("capped"))
 
 
 @query(

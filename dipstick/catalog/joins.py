@@ -8,7 +8,7 @@ from dipstick.catalog.base import query
 from dipstick.catalog.sql import LEDGER, MULTIPLIERS, PROFILE, over, rnd
 from dipstick.config import PRODUCTS
 from dipstick.functions import numeric
-from dipstick.operators import profile, smote, stats
+from dipstick.operators import forecast, profile, smote, stats
 from dipstick.sources import artefacts, readers
 
 
@@ -23,10 +23,9 @@ from dipstick.sources import artefacts, readers
 def month_multiplier(data):
     """The lookup lists months above the average only; days of the others take the default."""
     known = data.multipliers.where(F.col("multiplier") > 1)
-    days = data.ledger.select("station_id", "Date", F.month("Date").alias("Month"))
-    return days.join(known, ["station_id", "Month"], "left").select(
-        "station_id", "Date", F.coalesce("multiplier", F.lit(1.0)).alias("multiplier")
-    )
+    days = data.ledger.select("station_id", "Date")
+    listed = forecast.with_multipliers(days, known)
+    return listed.select("station_id", "Date", forecast.month_multiplier(F.col("by_month"), F.col("Date")).alias("multiplier"))
 
 
 @query(
@@ -51,15 +50,19 @@ def weekday_lookup(data):
     "j03_feature_correlation",
     over(
         LEDGER,
-        f"""SELECT station_id, 'Cash' AS Feature, 0.5::DOUBLE AS Importance, {rnd('corr(Cash, Target)', 6)} AS Correlation_with_Target FROM ledger GROUP BY 1
-        UNION ALL SELECT DISTINCT station_id, 'Unknown', 0.25, CAST(0 AS DOUBLE) FROM ledger""",
+        f""", listed AS (SELECT unnest(['Cash', 'Unknown']) AS Feature,
+          unnest([count(*) FILTER (WHERE Target = 1), count(*) FILTER (WHERE Target = 0)]) / count(*) AS Importance FROM ledger),
+        found AS (SELECT station_id, 'Cash' AS Feature, corr(Cash, Target) AS c FROM ledger GROUP BY 1)
+        SELECT s.station_id, t.Feature, {rnd('t.Importance', 6)} AS Importance, {rnd('coalesce(c, 0)', 6)} AS Correlation_with_Target
+        FROM (SELECT DISTINCT station_id FROM ledger) s CROSS JOIN listed t LEFT JOIN found f ON f.station_id = s.station_id AND f.Feature = t.Feature""",
     ),
 )
 def feature_correlation(data):
-    table = data.ledger.limit(1).select(
-        F.inline(F.array(*[F.struct(F.lit(f).alias("Feature"), F.lit(i).alias("Importance")) for f, i in (("Cash", 0.5), ("Unknown", 0.25))]))
-    )
-    return artefacts.with_correlations(table, data.ledger)
+    """A listed feature that the ledger has and one that it has not; shares of refill days stand for importances."""
+    refills = F.count_if(F.col("Target") == 1) / F.count("*")
+    shares = data.ledger.agg(F.array(refills, 1 - refills).alias("s"))
+    named = F.array(*[F.struct(F.lit(n).alias("Feature"), numeric.half_even(F.col("s")[i], 6).alias("Importance")) for i, n in enumerate(("Cash", "Unknown"))])
+    return artefacts.with_correlations(shares.select(F.inline(named)), data.ledger)
 
 
 @query(

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dipstick.catalog.base import query
-from dipstick.catalog.sql import LEDGER, LEDGER_COLUMNS, MULTIPLIERS, SCORED, over, rnd
+from dipstick.catalog.sql import FEATURES, LEDGER, LEDGER_COLUMNS, MULTIPLIERS, SCORED, over, rnd
 from dipstick.config import MODEL_FEATURES, SALES
 from dipstick.functions import numeric
 from dipstick.operators import clean, features, metrics, model, stats
@@ -231,18 +231,21 @@ def read_metrics(data):
     "s14_importance_table",
     over(
         LEDGER,
-        f"""SELECT station_id, f AS Feature, i AS Importance, {rnd('coalesce(c, 0)', 6)} AS Correlation_with_Target FROM (
-          SELECT station_id, 'Opening_Stock' AS f, CAST(0.5 AS DOUBLE) AS i, corr(Opening_Stock, Target) AS c FROM ledger GROUP BY 1
-          UNION ALL SELECT station_id, 'Total_Sold', 0.25, corr(Total_Sold, Target) FROM ledger GROUP BY 1
-          UNION ALL SELECT DISTINCT station_id, 'Not_There', 0.125, NULL FROM ledger)""",
+        f""", listed AS (SELECT unnest(['Opening_Stock', 'Total_Sold', 'Not_There']) AS Feature,
+          unnest([sum(Opening_Stock), sum(Total_Sold), sum(Closing_Stock)]) / sum(Opening_Stock + Total_Sold + Closing_Stock) AS Importance FROM ledger),
+        found AS (SELECT station_id, unnest(['Opening_Stock', 'Total_Sold']) AS Feature,
+          unnest([corr(Opening_Stock, Target), corr(Total_Sold, Target)]) AS c FROM ledger GROUP BY 1)
+        SELECT s.station_id, t.Feature, {rnd('t.Importance', 6)} AS Importance, {rnd('coalesce(c, 0)', 6)} AS Correlation_with_Target
+        FROM (SELECT DISTINCT station_id FROM ledger) s CROSS JOIN listed t LEFT JOIN found f ON f.station_id = s.station_id AND f.Feature = t.Feature""",
     ),
 )
 def importance_table(data):
-    listed = data.ledger.limit(1).select(
-        F.inline(F.array(*[F.struct(F.lit(f).alias("Feature"), F.lit(i).alias("Importance"))
-                           for f, i in (("Opening_Stock", 0.5), ("Total_Sold", 0.25), ("Not_There", 0.125))]))
-    )
-    path = sinks.write_csv(listed, data.path("importances"))
+    """A stored table of importances (shares of litres stand for them), one for a feature that the ledger has not."""
+    columns = {"Opening_Stock": "Opening_Stock", "Total_Sold": "Total_Sold", "Not_There": "Closing_Stock"}
+    sums = data.ledger.agg(*[F.sum(F.col(c).cast("double")).alias(f) for f, c in columns.items()])
+    whole = sum((F.col(f) for f in columns), F.lit(0.0))
+    entries = [F.struct(F.lit(f).alias("Feature"), numeric.half_even(F.col(f) / whole, 6).alias("Importance")) for f in columns]
+    path = sinks.write_csv(sums.select(F.inline(F.array(*entries))), data.path("importances"))
     return artefacts.read_importances(data.spark, path, data.ledger)
 
 
@@ -263,14 +266,20 @@ def model_load(data):
 
 @query(
     "s18_model_sink",
-    "SELECT * FROM (VALUES " + ", ".join(f"(CAST({i} AS INTEGER), '{f}')" for i, f in enumerate(MODEL_FEATURES)) + ") AS t(position, Feature)",
+    over(
+        FEATURES,
+        "SELECT station_id, CAST(i AS INTEGER) AS position, f AS Feature, count(*) AS n_days FROM feat, (VALUES "
+        + ", ".join(f"({i}, '{f}')" for i, f in enumerate(MODEL_FEATURES))
+        + ") AS t(i, f) GROUP BY 1, 2, 3",
+    ),
 )
 def model_sink(data):
-    """The ordered feature contract found in a stored model."""
+    """The ordered feature contract of a stored model, and on how many days each station can meet it."""
     path = artefacts.save_model(data.trained.model, data.path("model"))
     names = artefacts.load_model(path).stages[0].getInputCols()
-    contract = data.ledger.limit(1).select(F.array(*[F.lit(f) for f in names]).alias("f"))
-    return contract.select(F.posexplode("f").alias("position", "Feature"))
+    filled = data.features.groupBy("station_id").agg(*[F.count(f).alias(f) for f in names])
+    entries = [F.struct(F.lit(i).alias("position"), F.lit(f).alias("Feature"), F.col(f).alias("n_days")) for i, f in enumerate(names)]
+    return filled.select("station_id", F.inline(F.array(*entries)))
 
 
 @query("s16_csv_sink", over(LEDGER, f"SELECT {_TYPED} FROM ledger"))

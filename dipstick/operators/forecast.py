@@ -79,25 +79,40 @@ def seed_stock(cfg: Tank) -> Column:
 
 
 def with_profile(state: DataFrame, weekdays: DataFrame, multipliers: DataFrame | None = None) -> DataFrame:
-    """Attach the weekday blend and the month multipliers as maps of at most 7 and 12 entries.
+    """Attach the weekday blend and the month multipliers as maps of at most 7 and 12 entries."""
+    per_day = weekdays.groupBy("station_id").agg(
+        F.map_from_entries(F.collect_list(F.struct("DayOfWeek", "blended"))).alias("blend")
+    )
+    return with_multipliers(state.join(per_day, "station_id"), multipliers)
+
+
+def with_multipliers(df: DataFrame, multipliers: DataFrame | None = None) -> DataFrame:
+    """Add ``by_month``, the month multipliers as a map.
 
     Multipliers per station join on the station. A table without a station column is one shared
     set of at most twelve rows, checked by its keys being months; a month listed twice is an error.
     """
-    per_day = weekdays.groupBy("station_id").agg(
-        F.map_from_entries(F.collect_list(F.struct("DayOfWeek", "blended"))).alias("blend")
-    )
-    out = state.join(per_day, "station_id")
     none = F.create_map().cast("map<int,double>")
     if multipliers is None:
-        return out.withColumn("by_month", none)
+        return df.withColumn("by_month", none)
     entries = F.map_from_entries(F.collect_list(F.struct("Month", "multiplier")))
     months = multipliers.where(F.col("Month").between(1, 12))
     if "station_id" in multipliers.columns:
         per_month = months.groupBy("station_id").agg(entries.alias("by_month"))
-        return out.join(per_month, "station_id", "left").withColumn("by_month", F.coalesce("by_month", none))
+        return df.join(per_month, "station_id", "left").withColumn("by_month", F.coalesce("by_month", none))
     shared = months.agg(entries.alias("by_month"))
-    return out.withColumn("by_month", F.coalesce(shared.scalar(), none))
+    return df.withColumn("by_month", F.coalesce(shared.scalar(), none))
+
+
+def pressure_cap(demand: Column, stock: Column, cfg: Tank = SERVE) -> Column:
+    """Whole litres sold of a demand: less while stock is under pressure, never more than there is."""
+    held = demand * F.least(F.lit(1.0), stock / F.lit(cfg.pressure))
+    return F.least(numeric.truncate(held).cast("double"), stock)
+
+
+def month_multiplier(by_month: Column, date: Column) -> Column:
+    """The month's multiplier; 1 for a month that is not listed."""
+    return F.coalesce(by_month[F.month(date)], F.lit(1.0))
 
 
 def walk(seeded: DataFrame, how: Walk, cfg: Tank = SERVE, keep: Sequence[str] = ()) -> DataFrame:
@@ -107,16 +122,14 @@ def walk(seeded: DataFrame, how: Walk, cfg: Tank = SERVE, keep: Sequence[str] =
     costs one short array and no shuffle.
     """
     factor = F.col("factor") if "factor" in seeded.columns else F.lit(1.0)
-    one = F.lit(1.0)
 
     def step(s: Column, i: Column) -> Column:
         date = F.date_add(F.col("last_date"), i + 1)
         dow = F.weekday(date)
         base = F.coalesce(F.col("blend")[dow], F.col("mean_sold"))
-        mult = F.coalesce(F.col("by_month")[F.month(date)], one)
+        mult = month_multiplier(F.col("by_month"), date)
         demand = base * mult * factor if how.scenario_last else base * factor * mult
-        held = demand * F.least(one, s["stock"] / F.lit(cfg.pressure))
-        sold = F.least(numeric.truncate(held).cast("double"), s["stock"])
+        sold = pressure_cap(demand, s["stock"], cfg)
         # Bind the estimate once; every later use would otherwise evaluate it again.
         return F.transform(F.array(sold), lambda est: after(s, i, date, dow, est))[0]
 

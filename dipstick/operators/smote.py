@@ -19,46 +19,73 @@ BLOCK = 256
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
-def _nearest(points: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(row, neighbour rows, squared distances) by blocks; ties go to the lower row."""
-    n = len(points)
-    for start in range(0, n, BLOCK):
-        stop = min(start + BLOCK, n)
-        d2 = np.zeros((stop - start, n))
+def _nearest(wanted: np.ndarray, points: np.ndarray, own: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(row of ``wanted``, rows of ``points``, squared distances), nearest first; ties go to the lower row.
+
+    ``own`` is the row of ``points`` that a wanted row itself is, or -1.
+    """
+    for start in range(0, len(wanted), BLOCK):
+        some = wanted[start : start + BLOCK]
+        d2 = np.zeros((len(some), len(points)))
         for f in range(points.shape[1]):
-            d2 += (points[start:stop, f, None] - points[None, :, f]) ** 2
-        d2[np.arange(stop - start), np.arange(start, stop)] = np.inf
-        cut = np.partition(d2, min(k, n - 1) - 1, axis=1)[:, min(k, n - 1) - 1]
-        for i in range(stop - start):
-            near = np.flatnonzero(d2[i] <= cut[i])
+            d2 += (some[:, f, None] - points[None, :, f]) ** 2
+        selves = own[start : start + BLOCK]
+        d2[np.flatnonzero(selves >= 0), selves[selves >= 0]] = np.inf
+        cut = np.partition(d2, min(k, len(points)) - 1, axis=1)[:, min(k, len(points)) - 1]
+        for i in range(len(some)):
+            near = np.flatnonzero((d2[i] <= cut[i]) & np.isfinite(d2[i]))
             near = near[np.argsort(d2[i][near], kind="stable")][:k]
             yield start + i, near, d2[i][near]
 
 
-def neighbours(minority: DataFrame, features: Sequence[str], k: int = 5) -> DataFrame:
-    """(station_id, Date, rank, neighbour, distance): the ``k`` nearest rows within a station.
+def numbered(minority: DataFrame, features: Sequence[str]) -> DataFrame:
+    """``_row``: a row's number within its station, by date; rows of one day by their features."""
+    order = Window.partitionBy("station_id").orderBy("Date", *features, F.xxhash64(*minority.columns))
+    return minority.withColumn("_row", F.row_number().over(order))
+
 
-    Stations are spread over tasks. A station's minority rows are some of its days, so a group is
-    bounded by the calendar; distances are computed a block of rows at a time and only the ``k``
-    kept ones leave the task, never the pairs.
+def neighbours(minority: DataFrame, features: Sequence[str], k: int = 5, block: int = 2048) -> DataFrame:
+    """(station_id, Date, row, rank, neighbour, neighbour_row, distance): the ``k`` nearest rows within a station.
+
+    A station's rows are dealt into blocks. Every block meets every block of its station in a task of its
+    own and keeps its ``k`` nearest there; a row's answers from all blocks are then merged by distance and
+    row. So a large station is many tasks of at most two blocks each, the pairs never leave a task, and
+    the result does not depend on the size of a block. Several rows of one day are told apart by ``row``.
     """
     features = list(features)
+    points = minority if "_row" in minority.columns else numbered(minority, features)
+    points = points.select("station_id", "Date", "_row", *[F.col(f).cast("double").alias(f) for f in features])
+    mine = F.expr(f"(_row - 1) div {block}").cast("int")
+    blocks = points.groupBy("station_id").agg(F.max(mine).alias("_last"))
+    dealt = points.withColumn("_mine", mine).join(blocks, "station_id").withColumn("_other", F.explode(F.sequence(F.lit(0), "_last")))
+    asked = dealt.select("station_id", "Date", "_row", *features, F.col("_mine").alias("_asks"), F.col("_other").alias("_answers"))
+    # Other names, for both sides come from one table.
+    renamed = [F.col(c).alias(f"o_{c}") for c in ("station_id", "Date", "_row", *features)]
+    offered = dealt.select(*renamed, F.col("_other").alias("o_asks"), F.col("_mine").alias("o_answers"))
+
+    def per_pair(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        left, right = left.sort_values("_row"), right.sort_values("o__row")
+        dates, rows, others = left["Date"].to_numpy(), left["_row"].to_numpy(), right["o__row"].to_numpy()
+        other_dates = right["o_Date"].to_numpy()
+        own = np.full(len(left), -1)
+        if rows[0] == others[0]:
+            own = np.arange(len(left))
+        found = _nearest(left[features].to_numpy(dtype=float), right[[f"o_{f}" for f in features]].to_numpy(dtype=float), own, k)
+        out = [
+            (left["station_id"].iat[0], dates[i], int(rows[i]), other_dates[j], int(others[j]), float(d))
+            for i, near, d2 in found
+            for j, d in zip(near, d2)
+        ]
+        return pd.DataFrame(out, columns=["station_id", "Date", "row", "neighbour", "neighbour_row", "d2"])
 
-    def per_station(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("Date", kind="stable")
-        dates = pdf["Date"].to_numpy()
-        out = []
-        if len(pdf) > 1:
-            for row, near, d2 in _nearest(pdf[features].to_numpy(dtype=float), k):
-                out.extend(
-                    (pdf["station_id"].iat[0], dates[row], rank, dates[j], float(np.sqrt(d)))
-                    for rank, (j, d) in enumerate(zip(near, d2), 1)
-                )
-        return pd.DataFrame(out, columns=["station_id", "Date", "rank", "neighbour", "distance"])
-
-    picked = minority.select("station_id", "Date", *[F.col(f).cast("double").alias(f) for f in features])
-    return picked.groupBy("station_id").applyInPandas(
-        per_station, "station_id string, Date date, rank int, neighbour date, distance double"
+    near = (
+        asked.groupBy("station_id", "_asks", "_answers")
+        .cogroup(offered.groupBy("o_station_id", "o_asks", "o_answers"))
+        .applyInPandas(per_pair, "station_id string, Date date, row int, neighbour date, neighbour_row int, d2 double")
+    )
+    rank = F.row_number().over(Window.partitionBy("station_id", "row").orderBy("d2", "neighbour_row"))
+    return near.withColumn("rank", rank).where(F.col("rank") <= k).select(
+        "station_id", "Date", "row", "rank", "neighbour", "neighbour_row", F.sqrt("d2").alias("distance")
     )
 
 
@@ -83,37 +110,37 @@ def synthetic_rows(train: DataFrame, features: Sequence[str], k: int = 5, seed:
     random number depends on keys only, so a task run again after a loss gives the same rows.
     """
     features = list(features)
-    minority = minority_rows(train, target)
+    minority = numbered(minority_rows(train, target), features)
     key = [F.lit(seed), F.col("station_id"), F.col("Date")]
-    turn = F.row_number().over(Window.partitionBy("station_id").orderBy(F.xxhash64(*key), "Date"))
+    turn = F.row_number().over(Window.partitionBy("station_id").orderBy(F.xxhash64(*key), "Date", "_row"))
     copies = F.expr("_deficit div _size") + F.when(F.col("_turn") <= F.expr("_deficit % _size"), 1).otherwise(0)
     bases = (
         minority.withColumn("_turn", turn)
         .withColumn("_copies", copies.cast("int"))
         .where(F.col("_copies") > 0)
         .withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-        .select("station_id", "Date", "copy", target, *features)
+        .select("station_id", "Date", "_row", "copy", target, *features)
     )
     # Up to k neighbours per row, so the array is bounded.
     near = (
         neighbours(minority, features, k)
-        .groupBy("station_id", "Date")
-        .agg(F.sort_array(F.collect_list(F.struct("rank", "neighbour"))).alias("_near"))
+        .groupBy("station_id", F.col("row").alias("_row"))
+        .agg(F.sort_array(F.collect_list(F.struct("rank", "neighbour_row"))).alias("_near"))
     )
     other = minority.select(
-        "station_id", F.col("Date").alias("_other"), *[F.col(f).alias(f"_{f}") for f in features]
+        "station_id", F.col("_row").alias("_other"), F.col("Date").alias("_other_date"), *[F.col(f).alias(f"_{f}") for f in features]
     )
-    draw = [F.lit(seed), F.col("station_id"), F.col("Date"), F.col("copy")]
+    draw = [F.lit(seed), F.col("station_id"), F.col("Date"), F.col("_row"), F.col("copy")]
     pick = F.floor(uniform(F.lit("pick"), *draw) * F.size("_near")).cast("int")
     step = uniform(F.lit("step"), *draw)
     return (
-        bases.join(near, ["station_id", "Date"])
-        .withColumns({"_other": F.get(F.col("_near")["neighbour"], pick), "u": step})
+        bases.join(near, ["station_id", "_row"])
+        .withColumns({"_other": F.get(F.col("_near")["neighbour_row"], pick), "u": step})
         .join(other, ["station_id", "_other"])
         .select(
             "station_id",
             F.col("Date").alias("base"),
-            F.col("_other").alias("neighbour"),
+            F.col("_other_date").alias("neighbour"),
             "copy",
             "u",
             target,
@@ -123,6 +150,17 @@ def synthetic_rows(train: DataFrame, features: Sequence[str], k: int = 5, seed:
 
 
 def balance(train: DataFrame, features: Sequence[str], k: int = 5, seed: int = 42, target: str = "Target") -> DataFrame:
-    """Training rows plus synthetic ones; both classes of every station are then equal in size."""
+    """Training rows plus synthetic ones; both classes of every station are then equal in size.
+
+    Not so where the smaller class has one row or none: there is no neighbour to move towards, and
+    ``unbalanced`` names those stations.
+    """
     columns = ["station_id", target, *[F.col(f).cast("double").alias(f) for f in features]]
     return train.select(*columns).unionByName(synthetic_rows(train, features, k, seed, target).select(*columns))
+
+
+def unbalanced(train: DataFrame, target: str = "Target") -> DataFrame:
+    """(station_id, n_rows, n_minority) of the stations that cannot be balanced."""
+    ones = F.count_if(F.col(target) == 1)
+    sizes = train.groupBy("station_id").agg(F.count("*").alias("n_rows"), F.least(ones, F.count("*") - ones).alias("n_minority"))
+    return sizes.where((F.col("n_minority") < 2) & (F.col("n_rows") > 2 * F.col("n_minority")))

@@ -154,3 +154,25 @@ def test_weekday_without_rows(spark):
     got = stats.sales_by_weekday(df).orderBy("DayOfWeek").collect()
     assert [r.avg_sold for r in got] == [3950, 5050, 4600, 3000, 6000, 0, 0]
     assert got[0].mean_of_means == 4520 and [r.DayOfWeek for r in got if r.is_best] == [4]
+
+
+@pytest.mark.parametrize("block", [3, 7, 64])
+def test_neighbours_do_not_depend_on_blocks(spark, block):
+    df = days(spark, [(i * 37 % 11, i * 53 % 7, 0, 1) for i in range(30)])
+    features = ["Opening_Stock", "Total_Sold"]
+    whole = smote.neighbours(df, features, 4).collect()
+    assert len(whole) == 30 * 4
+    assert sorted(smote.neighbours(df, features, 4, block).collect()) == sorted(whole)
+
+
+def test_balancing_with_rows_of_one_day(spark):
+    df = days(spark, [(100 * i, i, 50 * i, int(i < 6)) for i in range(20)]).withColumn("Date", F.expr("date_add(date'2024-01-01', int(dayofmonth(Date) div 4))"))
+    assert smote.synthetic_rows(df, ["Opening_Stock", "Total_Sold"]).count() == 8
+    counts = {r.Target: r["count"] for r in smote.balance(df, ["Opening_Stock", "Total_Sold"]).groupBy("Target").count().collect()}
+    assert counts == {0: 14, 1: 14}
+
+
+def test_stations_that_cannot_be_balanced_are_named(spark):
+    df = days(spark, [(100 * i, i, 50 * i, int(i < 1)) for i in range(20)])
+    assert [tuple(r)[1:] for r in smote.unbalanced(df).collect()] == [(20, 1)]
+    assert smote.unbalanced(days(spark, [(100 * i, i, 0, i % 2) for i in range(20)])).count() == 0
