@@ -69,14 +69,14 @@ def _ball(width: int, radius: int) -> list[int]:
     return [0] + ([1 << i for i in range(width)] if radius else [])
 
 
-def links(prints: DataFrame, distance: int = 4) -> DataFrame:
-    """(a, b), a < b: all pairs of different fingerprints at ``distance`` or fewer differing bits.
-
-    Multi-index hashing: a table holds every fingerprint under each of its segments; a fingerprint
-    enumerates the small Hamming ball around each of its segments and fetches the table rows there.
-    The whole distance is checked inside the join, so only links leave it. Segments are as wide as
-    the pigeonhole allows, so a bucket holds few unrelated fingerprints; a bucket that a family of
-    near copies fills is split by the adaptive skew join.
+def near_pairs(classes: DataFrame, distance: int = 4) -> DataFrame:
+    """(a, b, root_a, root_b), a < b: fingerprints of different roots at ``distance`` or fewer differing bits.
+
+    Multi-index hashing: a table holds every fingerprint of ``classes`` (fp, root) under each of its
+    segments; a fingerprint enumerates the small Hamming ball around each of its segments and fetches
+    the table rows there. The whole distance is checked inside the join. Segments are as wide as the
+    pigeonhole allows, so a bucket holds few unrelated fingerprints; a bucket that a family of near
+    copies fills is split by the adaptive skew join. A pair may come once for each shared segment.
     """
     table, probes = [], []
     for number, (shift, width, radius) in enumerate(segments(64, distance)):
@@ -84,12 +84,34 @@ def links(prints: DataFrame, distance: int = 4) -> DataFrame:
         name = F.lit(number << 48)
         table.append(name.bitwiseOR(value))
         probes += [name.bitwiseOR(value.bitwiseXOR(F.lit(mask))) for mask in _ball(width, radius)]
-    distinct = prints.select("fp").distinct()
-    left = distinct.select(F.col("fp").alias("a"), F.explode(F.array(*probes)).alias("key"))
-    right = distinct.select(F.col("fp").alias("b"), F.explode(F.array(*table)).alias("key"))
+    left = classes.select(F.col("fp").alias("a"), F.col("root").alias("root_a"), F.explode(F.array(*probes)).alias("key"))
+    right = classes.select(F.col("fp").alias("b"), F.col("root").alias("root_b"), F.explode(F.array(*table)).alias("key"))
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance
-    found = left.join(right, (left["key"] == right["key"]) & (F.col("a") < F.col("b")) & near)
-    return found.select("a", "b").distinct()
+    apart = (F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b"))
+    return left.join(right, (left["key"] == right["key"]) & apart & near).select("a", "b", "root_a", "root_b")
+
+
+def _rooted(classes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``classes`` with every root replaced by the smallest root that ``edges`` between roots reach."""
+    roots = kept(components(edges), "roots")
+    found = classes.join(roots.withColumnRenamed("root", "least"), classes["root"] == roots["node"], "left")
+    return kept(found.select("fp", F.coalesce("least", "root").alias("root")), "classes")
+
+
+def connected(prints: DataFrame, distance: int = 4) -> DataFrame:
+    """(fp, root) of every distinct fingerprint: one root for all that links join, directly or by others.
+
+    Two searches. In the first every fingerprint keeps one of its links only, the one to its largest
+    partner, so that a family of near copies leaves the join as a star, not as all its pairs. The
+    second looks at all pairs again and reports those whose roots still differ, as pairs of roots:
+    with them every link joins two fingerprints of one root, and none was lost. Both are combined
+    before their shuffle.
+    """
+    alone = kept(prints.select("fp").distinct().select("fp", F.col("fp").alias("root")), "classes")
+    stars = near_pairs(alone, distance).groupBy("a").agg(F.max("b").alias("b"))
+    joined = _rooted(alone, stars)
+    left = near_pairs(joined, distance).select(F.least("root_a", "root_b").alias("a"), F.greatest("root_a", "root_b").alias("b"))
+    return _rooted(joined, left.distinct())
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -135,11 +157,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, distance: int = 4, id_col
     where it has no other id (then it is NULL). An empty table gives no rows.
     """
     prints = kept(fingerprints(docs, shingle, id_col, text_col), "fingerprints")
-    roots = kept(components(links(prints, distance)), "roots")
-    classes = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    firsts = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
     # Written, so that the join by root reads plain rows and a large component is split there.
-    named = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    named = kept(named, "named")
+    named = kept(firsts.join(connected(prints, distance), "fp"), "named")
     least = kept(named.groupBy("root").agg(F.min("first").alias("component_id")), "least")
     answer = kept(named.join(least, "root").select("fp", "component_id"), "classes")
     shown = F.lpad(F.lower(F.hex("fp")), 16, "0")

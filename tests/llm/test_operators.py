@@ -270,15 +270,32 @@ def test_links_and_groups(spark):
     prints += [0, (1 << 64) - 1, 1 << 63]
     df = spark.createDataFrame([(i, p - (1 << 64) if p >> 63 else p) for i, p in enumerate(prints)], "doc_id bigint, fp bigint")
     for r in (0, 1, 2, 3, 4):
-        got = {(a % (1 << 64), b % (1 << 64)) for a, b in simhash.links(df, r).collect()}
+        got = {(a % (1 << 64), b % (1 << 64)) for a, b, *_ in simhash.near_pairs(df.select("fp", F.col("fp").alias("root")), r).collect()}
         want = {(a, b) for a in prints for b in prints if a != b and bin(a ^ b).count("1") <= r}
         assert {frozenset(p) for p in got} == {frozenset(p) for p in want}
+    for r in (2, 4):
+        roots = {f % (1 << 64): root for f, root in simhash.connected(df, r).collect()}
+        groups = plain.groups(prints, r)
+        assert len(roots) == len(set(prints))
+        assert len({(roots[p], g) for p, g in zip(prints, groups)}) == len(set(groups)) == len(set(roots.values()))
     chain = [(i, i + 1) for i in range(40)] + [(100, 90), (90, 95), (200, 100)]
     edges = spark.createDataFrame([(min(e), max(e)) for e in chain], "a bigint, b bigint")
     found = {r.node: r.root for r in simhash.components(edges).collect()}
     assert found == {i: 0 for i in range(41)} | {100: 90, 90: 90, 95: 90, 200: 90}
 
 
+def test_stars_alone_do_not_join_a_path(spark):
+    """Fingerprints in a row, each linked to its neighbours only, and numbered out of order."""
+    steps, path = 0, []
+    for i in range(12):
+        path.append(steps)
+        steps ^= 0b1111 << 4 * (5 * i % 12)
+    df = spark.createDataFrame([(i, p) for i, p in enumerate(path)], "doc_id bigint, fp bigint")
+    alone = df.select("fp", F.col("fp").alias("root"))
+    assert simhash.near_pairs(alone, 4).select("a", "b").distinct().count() >= len(path) - 1
+    assert len({r.root for r in simhash.connected(df, 4).collect()}) == len(set(plain.groups(path)))
+
+
 def test_near_duplicates(docs, rows):
     prints = [plain.fingerprint(r.text) for r in rows]
     roots = plain.groups(prints)
