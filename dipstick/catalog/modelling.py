@@ -212,6 +212,29 @@ def beats_majority(data):
     )
 
 
+# One tree over the month alone, of all rows, splits until no month is left with another class, so that SQL
+# knows what it predicts. (Leaves of one class are merged, so their shares are not those of single months.)
+_MONTH_TREE = """, part AS (SELECT *, month("Date") AS m, rn <= floor(count(*) OVER (PARTITION BY station_id) * CAST(0.8 AS DOUBLE)) AS train FROM ledger),
+weighed AS (SELECT m, Target, CAST((SELECT count(*) FROM part WHERE train) AS DOUBLE) / (2 * count(*) OVER (PARTITION BY Target)) AS w FROM part WHERE train),
+rates AS (SELECT m, coalesce(sum(w) FILTER (WHERE Target = 1), 0) / sum(w) AS p FROM weighed GROUP BY m)
+"""
+
+
+@query(
+    "m06_month_tree",
+    over(
+        LEDGER + _MONTH_TREE,
+        """SELECT station_id, "Date", Target, CAST(p > 0.5 AS INTEGER) AS prediction FROM part JOIN rates USING (m) WHERE NOT train""",
+    ),
+)
+def month_tree(data):
+    """Class of unseen days by a weighted forest of one tree over the month: fitting and scoring, exactly."""
+    table = timeline.chronological_split(data.ledger).withColumn("Month", F.month("Date"))
+    known, unseen = (table.where(F.col("split") == part) for part in ("train", "test"))
+    tree = model.fit_forest(known, ["Month"], trees=1, min_leaf=1, bootstrap=False)
+    return model.score(tree, unseen).select("station_id", "Date", "Target", "prediction")
+
+
 @query("m07_scored_days")
 def scored_days(data):
     """Class, probability and confidence of the unseen days."""

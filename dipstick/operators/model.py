@@ -39,11 +39,13 @@ def fit_importance_forest(df: DataFrame, features: Sequence[str], trees: int = 1
     return _pipeline(features, numTrees=trees, maxDepth=depth).fit(matrix(df, features, ["Target"]))
 
 
-def fit_forest(df: DataFrame, features: Sequence[str], trees: int = 200, depth: int = 12, min_leaf: int = 3) -> PipelineModel:
+def fit_forest(
+    df: DataFrame, features: Sequence[str], trees: int = 200, depth: int = 12, min_leaf: int = 3, bootstrap: bool = True
+) -> PipelineModel:
     """The refill classifier, with balanced class weights."""
     weighted = with_class_weights(df)
     return _pipeline(
-        features, numTrees=trees, maxDepth=depth, minInstancesPerNode=min_leaf, weightCol="weight"
+        features, numTrees=trees, maxDepth=depth, minInstancesPerNode=min_leaf, weightCol="weight", bootstrap=bootstrap
     ).fit(matrix(weighted, features, ["Target", "weight"]))
 
 

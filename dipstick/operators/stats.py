@@ -157,33 +157,14 @@ def _unpivot(df: DataFrame, keep: Sequence[str], columns: Sequence[str], key: st
 def describe(df: DataFrame, columns: Sequence[str] | None = None, digits: int = 2) -> DataFrame:
     """Count, mean, sample deviation, extremes and exact quartiles per numeric column, in one pass."""
     columns = list(columns or clean.numeric_columns(df))
-    quartiles = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
-    wide = df.groupBy("station_id").agg(
-        *[
-            e
-            for c in columns
-            for e in (
-                F.count(c).alias(f"{c}_n"),
-                F.avg(c).alias(f"{c}_mean"),
-                F.stddev_samp(c).alias(f"{c}_std"),
-                F.min(c).cast("double").alias(f"{c}_min"),
-                F.percentile(c, quartiles).alias(f"{c}_q"),
-                F.max(c).cast("double").alias(f"{c}_max"),
-            )
-        ]
+    quartiles = F.percentile("value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q")
+    found = _unpivot(df, ["station_id"], columns, "column").groupBy("station_id", "column").agg(
+        F.count("value").alias("count"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"),
+        F.min("value").alias("min"), quartiles, F.max("value").alias("max"),
     )
-
-    def r(x: Column) -> Column:
-        return numeric.half_even(x, digits)
-
-    rows = {
-        c: [
-            F.col(f"{c}_n"), r(F.col(f"{c}_mean")), r(F.col(f"{c}_std")), r(F.col(f"{c}_min")),
-            *[r(F.col(f"{c}_q")[i]) for i in range(3)], r(F.col(f"{c}_max")),
-        ]
-        for c in columns
-    }
-    return _long(wide, rows, ["count", "mean", "std", "min", "q25", "q50", "q75", "max"])
+    values = {"mean": F.col("mean"), "std": F.col("std"), "min": F.col("min")}
+    values |= {name: F.col("q")[i] for i, name in enumerate(("q25", "q50", "q75"))} | {"max": F.col("max")}
+    return found.select("station_id", "column", "count", *[numeric.half_even(v, digits).alias(n) for n, v in values.items()])
 
 
 def column_profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:

@@ -62,21 +62,37 @@ def _scanned_path() -> Column:
     return F.url_decode(F.regexp_replace(F.col("_metadata.file_path"), r"\+", "%2B"))
 
 
+def header_lines(spark: SparkSession, folder: str) -> dict[str, str]:
+    """The first filled line of every sheet, from one scan of all files; empty sheets have none."""
+    lines = (
+        spark.read.option("recursiveFileLookup", True)
+        .option("pathGlobFilter", "*.csv")
+        .text(folder)
+        .select("value", _scanned_path().alias("path"), F.col("_metadata.file_block_start").alias("block"))
+        .withColumn("place", F.monotonically_increasing_id())
+        .where(F.trim("value") != "")
+    )
+    first = lines.groupBy(_sheet_of(F.col("path"), folder).alias("sheet")).agg(
+        F.min_by("value", F.struct("path", "block", "place")).alias("line")
+    )
+    return {r.sheet: r.line for r in first.collect()}
+
+
 def scan_sheets(spark: SparkSession, folder: str, sheets: Sequence[str] | None = None) -> DataFrame:
     """All sheets by column name, absent columns NULL, with ``_sheet`` telling where a row came from.
 
-    Sheets with the same header share one scan, so the plan grows with the number of different
+    Sheets with the same header share one scan, so jobs and plan grow with the number of different
     headers, not of files. A sheet without a readable header is skipped.
     """
     root = folder.rstrip("/")
+    by_line: dict[str, list[str]] = defaultdict(list)
+    lines = header_lines(spark, folder)
+    for sheet in sheets if sheets is not None else sorted(lines):
+        if sheet in lines:
+            by_line[lines[sheet]].append(f"{root}/{sheet}")
     by_header: dict[tuple[str, ...], list[str]] = defaultdict(list)
-    for sheet in sheets if sheets is not None else list_sheets(spark, folder):
-        try:
-            header = tuple(spark.read.option("header", True).csv(f"{root}/{sheet}").columns)
-        except AnalysisException:
-            continue
-        if header:
-            by_header[header].append(f"{root}/{sheet}")
+    for paths in by_line.values():  # Spark's own reading of each different line
+        by_header[tuple(spark.read.option("header", True).csv(paths[0]).columns)] += paths
     if not by_header:
         raise ValueError(f"no readable sheet in {folder}")
     scans = [
