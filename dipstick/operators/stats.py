@@ -158,7 +158,9 @@ def describe(df: DataFrame, columns: Sequence[str] | None = None, digits: int =
     """Count, mean, sample deviation, extremes and exact quartiles per numeric column, in one pass."""
     columns = list(columns or clean.numeric_columns(df))
     quartiles = F.percentile("value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q")
-    found = _unpivot(df, ["station_id"], columns, "column").groupBy("station_id", "column").agg(
+    # Generated row by row, which keeps the partitioning by station; unpivot would lose it.
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in columns])
+    found = df.select("station_id", F.inline(cells)).groupBy("station_id", "column").agg(
         F.count("value").alias("count"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"),
         F.min("value").alias("min"), quartiles, F.max("value").alias("max"),
     )
