@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dipstick.llm import decontaminate, mixing, packing, queries, quality, simhash
@@ -17,26 +17,34 @@ def _same(left: DataFrame, right: DataFrame, columns: list[str]):
     return condition
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with a digest of all that a row holds: ids may be NULL or shared."""
+    return docs.withColumn("_digest", F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Documents that the quality rules keep. Rows are known by id and a digest of all they hold."""
-    keyed = docs.withColumn("_digest", F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
+    keyed = _keyed(docs)
     good = quality.judge(keyed, carry=["doc_id", "_digest"]).where("kept").select("doc_id", "_digest").distinct()
     return keyed.join(good, _same(keyed, good, ["doc_id", "_digest"]), "left_semi").drop("_digest")
 
 
 def simhash_near_duplicates(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """The document with the smallest id of every group; of rows that share that id, the first by text."""
-    groups = simhash.near_duplicates(docs)
-    first = groups.select(F.col("component_id").alias("doc_id")).distinct()
-    order = Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_first(), F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
-    chosen = docs.join(first, _same(docs, first, ["doc_id"]), "left_semi").withColumn("_turn", F.row_number().over(order))
-    return chosen.where("_turn = 1").drop("_turn")
+    """One row of every group: that of the smallest id, NULL last, and among rows of one id that of the smallest digest."""
+    keyed = _keyed(docs)
+    groups = simhash.near_duplicates(keyed, carry=["_digest"])
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "_digest")).alias("first")
+    chosen = groups.groupBy("root").agg(first).select("first.doc_id", "first._digest")
+    # Rows equal in all columns share their key; they are merged before their shuffle.
+    found = keyed.join(chosen, _same(keyed, chosen, ["doc_id", "_digest"]), "left_semi")
+    return found.dropDuplicates(["doc_id", "_digest"]).drop("_digest")
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
-    found = decontaminate.contaminated(docs, table(spark, folder, "benchmark")).select("doc_id").distinct()
-    return docs.join(found, docs["doc_id"] == found["doc_id"], "left_anti")
+    """Documents that hold no benchmark item. Rows are known by their digest, so that one without id goes too and no other of its id."""
+    keyed = _keyed(docs)
+    found = decontaminate.contaminated(keyed, table(spark, folder, "benchmark"), id_col="_digest").select("doc_id").distinct()
+    return keyed.join(found, keyed["_digest"] == found["doc_id"], "left_anti").drop("_digest")
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:

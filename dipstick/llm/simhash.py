@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -36,16 +36,19 @@ def fingerprint(text: str, shingle: int = 4) -> int:
     return int.from_bytes(np.packbits(2 * votes > len(hashes)).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, shingle: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp) of every row, ``fp`` as a signed 64-bit number. NULL texts count as empty."""
+def fingerprints(docs: DataFrame, shingle: int = 4, id_col: str = "doc_id", text_col: str = "text", carry: Sequence[str] = ()) -> DataFrame:
+    """(doc_id, fp) and the columns ``carry`` of every row, ``fp`` as a signed 64-bit number. NULL texts count as empty."""
+    others = [f"of_{c}" for c in carry]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
             found = np.array([fingerprint(t, shingle) for t in batch.column(1).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], ["doc_id", "fp"])
+            columns = [batch.column(0), pa.array(found.view(np.int64)), *[batch.column(i + 2) for i in range(len(others))]]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "fp", *others])
 
-    plain = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), lower_ascii(text_of(text_col)).alias("text"))
-    return plain.mapInArrow(work, "doc_id bigint, fp bigint")
+    plain = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), lower_ascii(text_of(text_col)).alias("text"), *[F.col(f"`{c}`").alias(f"of_{c}") for c in carry])
+    kinds = "".join(f", `{c}` {kind}" for c, kind in plain.dtypes[2:])
+    return plain.mapInArrow(work, f"doc_id bigint, fp bigint{kinds}")
 
 
 def segments(bits: int, distance: int) -> list[tuple[int, int, int]]:
@@ -147,20 +150,23 @@ def components(edges: DataFrame) -> DataFrame:
     )
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 4, distance: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fingerprint, component_id) of every row.
+def near_duplicates(docs: DataFrame, shingle: int = 4, distance: int = 4, id_col: str = "doc_id", text_col: str = "text", carry: Sequence[str] = ()) -> DataFrame:
+    """(doc_id, fingerprint, component_id) of every row; with ``carry`` also its root and these columns.
 
     Rows of one fingerprint are one class, so copies never meet in pairs: links run between distinct
     fingerprints, and the smallest id of a class is found by a combined minimum. ``component_id`` is
     the smallest id reachable over links. Texts without words have fingerprint zero and are linked
     like others. Repeated rows are answered row by row; NULL ids take part but name a component only
-    where it has no other id (then it is NULL). An empty table gives no rows.
+    where it has no other id (then it is NULL). An id that unrelated rows share can name two
+    components; ``root``, the fingerprint that stands for a component, is its own. An empty table
+    gives no rows.
     """
-    prints = kept(fingerprints(docs, shingle, id_col, text_col), "fingerprints")
+    more = ["root"] if carry else []
+    prints = kept(fingerprints(docs, shingle, id_col, text_col, carry), "fingerprints")
     firsts = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
     # Written, so that the join by root reads plain rows and a large component is split there.
     named = kept(firsts.join(connected(prints, distance), "fp"), "named")
     least = kept(named.groupBy("root").agg(F.min("first").alias("component_id")), "least")
-    answer = kept(named.join(least, "root").select("fp", "component_id"), "classes")
+    answer = kept(named.join(least, "root").select("fp", "component_id", *more), "classes")
     shown = F.lpad(F.lower(F.hex("fp")), 16, "0")
-    return prints.join(answer, "fp").select("doc_id", shown.alias("fingerprint"), "component_id")
+    return prints.join(answer, "fp").select("doc_id", shown.alias("fingerprint"), "component_id", *more, *[F.col(f"`of_{c}`").alias(c) for c in carry])

@@ -68,3 +68,23 @@ def test_one_of_each_group_stays(spark):
     roots = plain.groups([prints[i] for i in ids])
     kept = corpus_pipeline.simhash_near_duplicates(spark, docs, FOLDER).collect()
     assert sorted(r.doc_id for r in kept) == sorted({ids[g] for g in roots}) and not math.isnan(len(kept))
+
+
+def test_rows_without_an_id_of_their_own_stay(spark):
+    tops = ["river", "copper", "violin", "orchard", "glacier", "harbour"]
+    texts = [" ".join(f"{top}{(i * i + k) % 97}" for i in range(60)) for k, top in enumerate(tops)]
+    assert len(set(plain.groups([plain.fingerprint(t) for t in texts]))) == len(texts)
+    ids = [None, None, 7, 7, 7, 8]
+    rows = [(i, t, "en", "s", 1) for i, t in zip(ids, texts)]
+    rows += [(None, texts[5], "en", "s", 2), (None, texts[0], "en", "s", 1), (9, texts[1], "en", "s", 1)]  # copies
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    left = [(r.doc_id, r.text) for r in corpus_pipeline.simhash_near_duplicates(spark, docs, FOLDER).collect()]
+    assert sorted(left, key=str) == sorted([(i, t) for i, t in zip([None, 9, 7, 7, 7, 8], texts)], key=str)
+
+
+def test_contaminated_rows_go_by_row(spark):
+    item = spark.read.parquet(f"{FOLDER}/benchmark.parquet").where(F.length("text") > 80).first().text
+    rows = [(None, f"so {item} end"), (None, "a clean text"), (5, item), (5, "another clean text")]
+    docs = spark.createDataFrame([(*r, "en", "s", 1) for r in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    left = corpus_pipeline.benchmark_decontamination(spark, docs, FOLDER).collect()
+    assert sorted(r.text for r in left) == ["a clean text", "another clean text"]
