@@ -36,7 +36,7 @@ def _multipliers(n: int) -> np.ndarray:
 
 
 class Canonical:
-    """Tokens of texts in canonical form: hashes of the plain form, of the form with names, and kinds."""
+    """Tokens of texts in canonical form: hashes of the plain form, of the form with names, of the words themselves, and kinds."""
 
     def __init__(self, limit: int = 1 << 20):
         self.limit = limit
@@ -44,7 +44,7 @@ class Canonical:
 
     def _reset(self) -> None:
         self.known: dict[str, int] = {}
-        self.hashes, self.kinds = array("Q"), array("b")
+        self.hashes, self.kinds, self.own = array("Q"), array("b"), array("Q")
 
     def _code(self, token: str) -> tuple[int, int]:
         if token in ".!?\n":
@@ -57,7 +57,7 @@ class Canonical:
         return xxhash.xxh64_intdigest(low), NAME if token[0].isupper() else WORD
 
     def __call__(self, texts: list[str]):
-        """(tokens, document, plain hashes, hashes with names, kinds) without sentence ends.
+        """(tokens, document, plain hashes, hashes with names, literal hashes, kinds, number or unit word) without sentence ends.
 
         A unit counts as one only after a number, a name only inside a sentence.
         """
@@ -69,11 +69,13 @@ class Canonical:
             self.known[token] = len(self.hashes)
             self.hashes.append(code)
             self.kinds.append(kind)
+            self.own.append(xxhash.xxh64_intdigest(token.lower()))
         tokens = np.array(list(chain.from_iterable(found)), object)
         n = len(tokens)
         at = np.fromiter(map(self.known.__getitem__, tokens), np.int64, n)
         plain, kind = np.array(self.hashes, np.uint64)[at], np.array(self.kinds, np.int8)[at]
         doc = np.repeat(np.arange(len(texts)), [len(each) for each in found])
+        own, typed = np.array(self.own, np.uint64)[at], (kind == NUMBER) | (kind == UNIT)
         starts = np.ones(n, bool)
         starts[1:] = (kind[:-1] == STOP) | (doc[1:] != doc[:-1])
         after = np.zeros(n, bool)
@@ -84,7 +86,7 @@ class Canonical:
         named = plain.copy()
         named[kind == NAME] = np.uint64(_MARK[NAME])
         real = kind != STOP
-        return tokens[real], doc[real], plain[real], named[real], kind[real]
+        return tokens[real], doc[real], plain[real], named[real], own[real], kind[real], typed[real]
 
 
 def _rolling(hashes: np.ndarray, length: int) -> np.ndarray:
@@ -97,23 +99,32 @@ def _rolling(hashes: np.ndarray, length: int) -> np.ndarray:
     return out ^ (out >> np.uint64(29))
 
 
-def _windows(canon: Canonical, texts: list[str], lengths: list[int], literal: float):
-    """For each length and form: the tokens, all windows' hashes, and which windows are templates."""
-    tokens, doc, plain, named, kind = canon(texts)
+def _windows(canon: Canonical, texts: list[str], wanted: list[tuple[int, int]], literal: float):
+    """For each wanted (length, form): the tokens, all windows' hashes, and which windows are templates.
+
+    Form 0 has placeholders for numbers and units, form 1 for names too; both need a share of
+    ``literal`` words. Form 2 has none: it takes the windows with a number or unit word as they stand.
+    """
+    tokens, doc, plain, named, own, kind, typed = canon(texts)
     first = np.searchsorted(doc, np.arange(len(texts)))
     place = np.arange(len(doc)) - first[doc] if len(doc) else doc
-    for length in lengths:
+    forms = ((plain, (kind == NUMBER) | (kind == UNIT)), (named, kind != WORD), (own, np.zeros(len(doc), bool)))
+    for length, form in wanted:
         n = len(doc) - length + 1
         if n <= 0:
             continue
-        inside = doc[:n] == doc[length - 1 :]
-        for form, hashes, slot in ((0, plain, (kind == NUMBER) | (kind == UNIT)), (1, named, kind != WORD)):
-            held = np.concatenate([[0], np.cumsum(slot)])
-            slots = held[length:] - held[:-length]
-            ok = inside & (slots <= (1 - literal) * length)
-            if form:  # without a name this form is the plain one
-                names = np.concatenate([[0], np.cumsum(kind == NAME)])
-                ok &= names[length:] > names[:-length]
+        hashes, slot = forms[form]
+
+        def held(marks: np.ndarray) -> np.ndarray:
+            sums = np.concatenate([[0], np.cumsum(marks)])
+            return sums[length:] - sums[:-length]
+
+        ok = doc[:n] == doc[length - 1 :]
+        if form < 2:
+            ok &= held(slot) <= (1 - literal) * length
+        if form:  # without a name, or a number or unit word, this form is the plain one
+            ok &= held(typed if form == 2 else kind == NAME) > 0
+        if ok.any():
             yield tokens, doc, place, length, form, _rolling(hashes, length), slot, ok
 
 
@@ -130,10 +141,11 @@ _SCHEMA = pa.schema(
 _DDL = "id bigint, row bigint, size bigint, place bigint, length bigint, form bigint, hash bigint, canon string, slots array<string>"
 
 
-def windows(rows: DataFrame, window: int, lengths: list[int] | None, literal: float, filters: dict[int, bytes] | None) -> DataFrame:
+def windows(rows: DataFrame, window: int, wanted: list[tuple[int, int]] | None, literal: float, filters: dict[int, bytes] | None) -> DataFrame:
     """The template windows of ``rows`` (id, text): a row for each, or for each that the filter lets by.
 
-    ``lengths`` None: a text shorter than ``window`` is one window of its own length (benchmark items).
+    ``wanted`` tells lengths and forms. None: all forms, and a text shorter than ``window`` is one
+    window of its own length (benchmark items).
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,14 +157,14 @@ def windows(rows: DataFrame, window: int, lengths: list[int] | None, literal: fl
         for batch in pieces(batches, 500):
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             out = []
-            if lengths is None:
+            if wanted is None:
                 sizes = [sum(t not in ".!?\n" for t in _TOKEN.findall(text)) for text in texts]
                 groups: dict[int, list[int]] = {}
                 for i, size in enumerate(sizes):
                     groups.setdefault(min(size, window), []).append(i)
-                jobs = [([n], where) for n, where in groups.items() if n]
+                jobs = [([(n, form) for form in range(3)], where) for n, where in groups.items() if n]
             else:
-                sizes, jobs = None, [(lengths, list(range(len(texts))))]
+                sizes, jobs = None, [(wanted, list(range(len(texts))))]
             for sizes_wanted, where in jobs:
                 some = [texts[i] for i in where]
                 for tokens, doc, place, length, form, hashes, slot, ok in _windows(canon, some, sizes_wanted, literal):
@@ -184,14 +196,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 8, cover:
 
     Words are lower-cased; numbers, units after a number and names inside a sentence become typed
     placeholders. Every run of ``window`` canonical words is a template window, in a form that keeps
-    names and, where it has any, one that does not. Windows of documents and items are joined by
+    names and, where it has any, one that does not; where it holds a number or unit word it is also
+    taken as it stands, so that a literal copy is found however many numbers it has. Windows of documents and items are joined by
     hash and compared word by word. Then slots are checked: within a document and an item one value
     must always stand for the same other value, both ways, or the windows that disagree are left
     out. A document is reported with an item when its remaining windows cover ``cover`` words of the
     item, or all of a shorter one. That finds whole and partial copies, and re-asked questions with
     other numbers and names. ``same_slots`` tells the copies.
 
-    Windows with over half of placeholders are not used. Before the join, tasks drop windows whose
+    Windows with over half of placeholders are used as they stand only. Before the join, tasks drop windows whose
     bit is missing in a filter of fixed size made from all items; the join decides. A window that many
     documents hold is split by the adaptive join, or its side is broadcast by measured size.
 
@@ -200,9 +213,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 8, cover:
     """
     items = benchmark.select(F.col(item_col).cast("bigint").alias("id"), text_of(item_text).alias("text"))
     item_windows = kept(windows(items, window, None, literal, None), "item-windows")
-    lengths = sorted({window, *[int(r[0]) for r in item_windows.select("length").where(F.col("length") < window).distinct().collect()]})
+    wanted = sorted((int(r[0]), int(r[1])) for r in item_windows.select("length", "form").distinct().collect())
     texts = docs.select(F.col(id_col).cast("bigint").alias("id"), text_of(text_col).alias("text"))
-    seen = windows(texts, window, lengths, literal, window_filter(item_windows))
+    seen = windows(texts, window, wanted, literal, window_filter(item_windows))
     named = {"id": "doc_id", "row": "doc_row", "place": "doc_place", "slots": "doc_slots"}
     left = seen.select("length", "form", "hash", "canon", *[F.col(a).alias(b) for a, b in named.items()])
     right = item_windows.select(

@@ -261,6 +261,16 @@ def test_templates_and_slots(spark):
     assert by_doc[0, 1].same_slots and not by_doc[1, 1].same_slots and by_doc[3, 2].n_covered == 6
 
 
+def test_items_of_numbers(spark):
+    bench = spark.createDataFrame([(1, "Compute 17 * 23 + 4 * 9 - 6"), (2, " ".join(str(n * n) for n in range(20)))], "item_id bigint, text string")
+    texts = [
+        "please compute 17 * 23 + 4 * 9 - 6 now", "compute 17 * 23 + 4 * 9 - 7", "so " + " ".join(str(n * n) for n in range(14)),
+        " ".join(str(n * n) for n in range(12)), " ".join(str(n * n + 1) for n in range(20)),
+    ]
+    found = decontaminate.contaminated(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), bench).collect()
+    assert {(r.doc_id, r.item_id, r.n_covered, r.same_slots) for r in found} == {(0, 1, 6, True), (2, 2, 14, True)}
+
+
 def test_links_and_groups(spark):
     rng = np.random.default_rng(4)
     prints = []
