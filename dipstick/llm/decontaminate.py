@@ -10,7 +10,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from dipstick.llm.common import by_value, kept, pieces, text_of, worker_memo
@@ -191,6 +191,19 @@ def window_filter(items: DataFrame) -> dict[int, bytes]:
     return {k: found.get(k, bytes(size // 8)) for k in range((1 << FILTER_BITS) // size)}
 
 
+def _agreeing(hits: DataFrame, key: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The hits less those with a slot whose value stands for two within ``key``, one way or the other; and these values."""
+    slots = hits.select(*key, F.explode(F.arrays_zip("item_slots", "doc_slots")).alias("s")).select(*key, "s.item_slots", "s.doc_slots").distinct()
+    n = F.count("*").alias("n")
+    one = slots.groupBy(*key, F.col("item_slots").alias("value")).agg(n).where("n > 1").select(*key, "value", F.lit("item").alias("side"))
+    other = slots.groupBy(*key, F.col("doc_slots").alias("value")).agg(n).where("n > 1").select(*key, "value", F.lit("doc").alias("side"))
+    values = kept(one.unionByName(other), "slots-that-disagree")
+    bad = values.groupBy(*key).agg(*[F.collect_set(F.when(F.col("side") == side, F.col("value"))).alias(f"bad_{side}") for side in ("item", "doc")])
+    none = F.array().cast("array<string>")
+    good = ~F.arrays_overlap("item_slots", F.coalesce("bad_item", none)) & ~F.arrays_overlap("doc_slots", F.coalesce("bad_doc", none))
+    return hits.join(bad, key, "left").where(good).drop("bad_item", "bad_doc"), values
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 8, cover: int = 13, literal: float = 0.5, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """(doc_id, item_id, n_windows, n_covered, item_words, same_slots): documents that hold a benchmark item.
 
@@ -198,9 +211,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 8, cover:
     placeholders. Every run of ``window`` canonical words is a template window, in a form that keeps
     names and, where it has any, one that does not; where it holds a number or unit word it is also
     taken as it stands, so that a literal copy is found however many numbers it has. Windows of documents and items are joined by
-    hash and compared word by word. Then slots are checked: within a document and an item one value
-    must always stand for the same other value, both ways, or the windows that disagree are left
-    out. A document is reported with an item when its remaining windows cover ``cover`` words of the
+    hash and compared word by word. Then slots are checked: one value must always stand for the same
+    other value, both ways, or the windows that disagree are left out. That is asked of all windows
+    of a document and an item together and, where some disagree, of each occurrence by itself: of
+    each diagonal (place in the document less place in the item), and of neighbouring diagonals up
+    to ``window // 2`` and up to ``2 * window`` words apart, for copies with words put in or left
+    out. Covers are counted likewise. A document is reported with an item when its remaining windows cover ``cover`` words of the
     item, or all of a shorter one. That finds whole and partial copies, and re-asked questions with
     other numbers and names. ``same_slots`` tells the copies.
 
@@ -227,28 +243,30 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 8, cover:
         left.join(right, ["hash", "length", "form", "canon"]).select(*pair, "doc_place", "item_place", "length", "doc_slots", "item_slots"),
         "template-hits",
     )
-    # One value may stand for one other value only, within a document and an item, both ways.
-    slots = hits.select(*pair, F.explode(F.arrays_zip("item_slots", "doc_slots")).alias("s")).select(*pair, "s.item_slots", "s.doc_slots").distinct()
-    row = ["doc_row", "item_row"]
-    one = slots.groupBy(*row, F.col("item_slots").alias("value")).agg(F.count("*").alias("n")).where("n > 1")
-    other = slots.groupBy(*row, F.col("doc_slots").alias("value")).agg(F.count("*").alias("n")).where("n > 1")
-    bad_item = one.groupBy(*row).agg(F.collect_set("value").alias("bad_item"))
-    bad_doc = other.groupBy(*row).agg(F.collect_set("value").alias("bad_doc"))
-    none = F.array().cast("array<string>")
-    checked = (
-        hits.join(bad_item, row, "left")
-        .join(bad_doc, row, "left")
-        .where(
-            ~F.arrays_overlap("item_slots", F.coalesce("bad_item", none)) & ~F.arrays_overlap("doc_slots", F.coalesce("bad_doc", none))
-        )
-    )
+    row, apart = ["doc_row", "item_row"], ["slack", "number"]
+    at_once, disagree = _agreeing(hits, row)
+    # Of pairs that hold together as a whole every occurrence does; the others are read again by occurrence.
+    again = hits.join(disagree.select(*row).distinct(), row, "left_semi").withColumn("delta", F.col("doc_place") - F.col("item_place"))
+    along = Window.partitionBy(*row).orderBy("delta")
+    gap = F.coalesce(F.col("delta") - F.lag("delta").over(along), F.lit(0))
+    diagonals = again.select(*row, "delta").distinct().withColumn("gap", gap)
+    slacks = (0, window // 2, 2 * window)
+    numbers = [F.sum((F.col("gap") > slack).cast("int")).over(along).alias(f"n{slack}") for slack in slacks]
+    readings = F.explode(F.array(*[F.struct(F.lit(slack).alias("slack"), F.col(f"n{slack}").alias("number")) for slack in slacks]))
+    numbered = diagonals.select(*row, "delta", *numbers).select(*row, "delta", readings.alias("r")).select(*row, "delta", "r.*")
+    one_by_one, _ = _agreeing(kept(again.join(numbered, [*row, "delta"]), "occurrences"), [*row, *apart])
     places = F.explode(F.sequence(F.col("item_place"), F.col("item_place") + F.col("length") - 1))
     same = F.col("doc_slots") == F.col("item_slots")
-    covered = (
-        checked.select(*pair, "doc_place", same.alias("same"), places.alias("covered"))
-        .groupBy(*pair)
-        .agg(F.count_distinct("doc_place").alias("n_windows"), F.count_distinct("covered").alias("n_covered"), F.min("same").alias("same_slots"))
-        .where(F.col("n_covered") >= F.least(F.lit(cover), F.col("item_words")))
-    )
+
+    def covered(checked: DataFrame, key: list[str]) -> DataFrame:
+        return (
+            checked.select(*key, "doc_place", same.alias("same"), places.alias("covered"))
+            .groupBy(*key)
+            .agg(F.count_distinct("doc_place").alias("n_windows"), F.count_distinct("covered").alias("n_covered"), F.min("same").alias("same_slots"))
+            .where(F.col("n_covered") >= F.least(F.lit(cover), F.col("item_words")))
+            .drop(*apart)
+        )
+
+    found = covered(at_once, pair).unionByName(covered(one_by_one, [*pair, *apart]))
     best = F.max(F.struct("n_covered", "n_windows", "same_slots", "item_words")).alias("best")
-    return covered.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.n_windows", "best.n_covered", "best.item_words", "best.same_slots")
+    return found.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.n_windows", "best.n_covered", "best.item_words", "best.same_slots")

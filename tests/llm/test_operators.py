@@ -271,6 +271,21 @@ def test_items_of_numbers(spark):
     assert {(r.doc_id, r.item_id, r.n_covered, r.same_slots) for r in found} == {(0, 1, 6, True), (2, 2, 14, True)}
 
 
+def test_slots_are_checked_by_occurrence(spark):
+    item = "a farmer buys 3 brown hens for 7 coins and then sells 9 eggs for 4 coins on every market day"
+    other, third = (item.translate(str.maketrans("3794", digits)) for digits in ("5286", "8123"))
+    drill = "add 3 red balls to 5 blue balls then add 4 red balls to 9 blue balls then add 6 red balls to 2 blue balls then stop"
+    redrill = drill.translate(str.maketrans("354962", "781352"))
+    bench = spark.createDataFrame([(1, item), (2, drill)], "item_id bigint, text string")
+    split = third.replace("coins and", "coins and also")
+    texts = [
+        f"{item} some words between {other}", f"{other} some words between {third}", drill, redrill, f"{other} some words between {split}",
+        item.replace("brown hens for 7", "brown hens for 3").replace("eggs for 4", "eggs for 7").replace("9 eggs", "3 eggs"),
+    ]
+    found = decontaminate.contaminated(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), bench).collect()
+    assert {(r.doc_id, r.item_id, r.same_slots) for r in found} == {(0, 1, True), (1, 1, False), (2, 2, True), (3, 2, False), (4, 1, False)}
+
+
 def test_links_and_groups(spark):
     rng = np.random.default_rng(4)
     prints = []
