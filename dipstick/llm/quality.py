@@ -21,8 +21,9 @@ BLANK = " \t\n\x0b\x0c\r"
 WINDOW = 8
 MIN_WORDS = 20
 REPEAT_PERCENT = 30
-# The transformed statistics and the spread that each is granted even where a group has none.
-FLOORS = {"x_length": 0.25, "x_symbols": 0.1, "x_lines": 0.3, "x_repeats": 0.25, "x_shouting": 0.1}
+# The transformed statistics and the spread that each is granted even where a group has none. The cut lies at
+# six floors, so those of x_lines (at most 1) and x_repeats (at most the root of 0.3) are under a sixth of that.
+FLOORS = {"x_length": 0.25, "x_symbols": 0.1, "x_lines": 0.15, "x_repeats": 0.08, "x_shouting": 0.1}
 COUNTS = "n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, n_lines bigint, n_shouted bigint"
 
 

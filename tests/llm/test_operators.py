@@ -238,6 +238,24 @@ def test_outliers_go_and_clean_texts_stay(spark):
     assert {r.doc_id for r in quality.judge(df).where("kept").collect()} == set(range(len(clean)))
 
 
+def test_each_statistic_rejects_alone(spark):
+    rng = random.Random(6)
+    word = lambda n=5: "".join(rng.choices("abcdefghij", k=n))
+    clean = [" ".join(word(rng.randint(4, 6)) for _ in range(rng.randint(60, 300))) for _ in range(80)]
+    run = [word() for _ in range(14)]
+    odd = {
+        "length": " ".join(word(40) for _ in range(100)),
+        "symbols": " ".join(word(4) + "#" for _ in range(100)),
+        "lines": "\n".join("\n".join(["menus"] * 7 + [word()]) for _ in range(20)),  # every eight words hold a new one
+        "repeats": " ".join([*run, *(word() for _ in range(72)), *run]),
+        "shouting": " ".join(word().upper() for _ in range(100)),
+    }
+    table = [(str(i), t, "en", "s") for i, t in enumerate(clean)] + [(name, t, "en", "s") for name, t in odd.items()]
+    df = spark.createDataFrame(table, "doc_id string, text string, lang string, source string")
+    judged = {r.doc_id: r for r in quality.judge(df).collect()}
+    assert not any(r.base_failed for r in judged.values()) and {i for i, r in judged.items() if not r.kept} == set(odd)
+
+
 def test_contaminated(spark, docs, rows):
     bench = spark.read.parquet(f"{FOLDER}/benchmark.parquet")
     items = [(r.item_id, r.text) for r in bench.collect()]
