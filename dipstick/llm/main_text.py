@@ -369,8 +369,9 @@ def extract(pages: DataFrame, share: float = 0.8, least: int = 5) -> DataFrame:
     of the host's different pages, ``least`` pages or more, is template; all others are slots, whose
     varying text is content. Elements that HTML itself or their names mark as menu, header, footer,
     sidebar, notice, advert, form, script, style or comment are taken out beforehand; where a page
-    has article or main elements, content is what they hold. Should template make up over half of
-    what is left of a page, the host's pages are copies of one text, and it stays.
+    has article or main elements, content is what they hold. The slots are the answer, be they short
+    or empty. Only where a host's different pages have at most half as many different slot contents
+    as there are pages, they are copies of one text, and it stays on all of them.
 
     One row per host (its seed and its template) meets the pages: broadcast while its measured size
     allows, else by a join that is split where a host is hot. Copies of a page count once. Trees that
@@ -405,18 +406,24 @@ def extract(pages: DataFrame, share: float = 0.8, least: int = 5) -> DataFrame:
 
     def content(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
-            texts = []
+            texts, wholes = [], []
             for host, page, seed, template in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 constant = {(t["node"], t["text"]) for t in template or ()}
                 found, numbers = _aligned(page, host, seed if constant else None)
-                slots = [text for (_, text), n in zip(found, numbers) if (n, _hash(text)) not in constant] if constant else None
-                texts_all = [text for _, text in found]
-                if slots is None or 2 * sum(map(len, slots)) < sum(map(len, texts_all)):
-                    slots = texts_all
+                slots = [text for (_, text), n in zip(found, numbers) if (n, _hash(text)) not in constant]
                 texts.append("\n".join(slots))
-            columns = [batch.column(4), batch.column(5), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, ["page_id", "url", "text", "n_chars"])
+                wholes.append("\n".join(text for _, text in found) if len(slots) < len(found) else None)
+            columns = [batch.column(0), batch.column(4), batch.column(5), pa.array(texts, pa.string()), pa.array(wholes, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, ["host", "page_id", "url", "slots", "whole"])
 
     wrapped = rows.join(wrappers, "host", "left").select("host", "html", "seed", "template", "page_id", "url")
     kinds = dict(pages.dtypes)
-    return wrapped.mapInArrow(content, f"page_id {kinds['page_id']}, url {kinds['url']}, text string, n_chars bigint")
+    taken = kept(wrapped.mapInArrow(content, f"host string, page_id {kinds['page_id']}, url {kinds['url']}, slots string, whole string"), "contents")
+    whole = F.coalesce("whole", "slots")
+    # Pages and their slot contents, each counted once, by hosts where template was taken out.
+    cut = taken.where(F.col("whole").isNotNull()).select("host").distinct()
+    each = taken.join(cut, "host", "left_semi").select("host", F.xxhash64(whole).alias("page"), F.xxhash64("slots").alias("content")).distinct()
+    contents = each.groupBy("host", "content").agg(F.count("*").alias("n")).groupBy("host").agg(F.count("*").alias("n_contents"), F.sum("n").alias("n_pages"))
+    copies = kept(contents.where("2 * n_contents <= n_pages").select("host", F.lit(True).alias("copies")), "copies")
+    text = F.when(F.col("copies"), whole).otherwise(F.col("slots")).alias("text")
+    return taken.join(copies, "host", "left").select("page_id", "url", text).withColumn("n_chars", F.length("text").cast("bigint"))

@@ -376,6 +376,20 @@ def test_wrapper(spark):
     assert [text[i] for i in range(18, 23)] == ["", "loose <b> text", "", "plain words", "deep"]
 
 
+def test_short_articles_lose_their_template(spark):
+    menu = "".join(f"<div>Section {k} of our large site with a long name</div>" for k in range(9))
+    short = [f"<html><body>{menu}<p>Short {i}</p></body></html>" for i in range(9)] + [f"<html><body>{menu}<p></p></body></html>"]
+    notes = [f"<div class=n{k}>Note {k}</div>" for k in range(6)]
+    full = "".join(notes)
+    same = [f"<html><body>{full}<p>One text</p></body></html>", *(f"<html><body>{full.replace(x, '')}<p>One text</p></body></html>" for x in notes)]
+    rows = [("http://short.org/", h) for h in short] + [("http://same.org/", h) for h in same]
+    df = spark.createDataFrame([(i, u, h) for i, (u, h) in enumerate(rows)], "page_id bigint, url string, html string")
+    got = {r.page_id: (r.text, r.n_chars) for r in main_text.extract(df).collect()}
+    assert [got[i] for i in range(10)] == [(f"Short {i}", 7) for i in range(9)] + [("", 0)]
+    # Pages that differ by a missing part of their template only are copies of one text, which stays.
+    assert all(got[i][0].endswith("One text") and "Note" in got[i][0] for i in range(10, 17))
+
+
 def test_tree_matching_by_the_plain_table():
     rng = random.Random(5)
 
