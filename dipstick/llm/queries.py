@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from dipstick.llm import (
     boilerplate,
+    conversations,
     decontaminate,
     language_model,
     licences,
@@ -77,6 +78,10 @@ def op10_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(table(spark, folder, "documents"), tokenizer("word_bpe_49k.json"))
 
 
+def op12_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    return conversations.repair(table(spark, folder, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -90,6 +95,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_decontaminate,
         op9_simhash_groups,
         op10_token_files,
+        op12_conversation_repair,
     )
 }
 ORACLES: dict[str, str] = {"op3_source_mix": sql.SOURCE_MIX, "op4_licence_scan": sql.licence_scan(), "op5_site_lines": sql.SITE_LINES}
