@@ -19,6 +19,7 @@ from dipstick.llm import (
     quality,
     simhash,
     sql,
+    syncmers,
     token_counts,
 )
 from dipstick.session import fresh_path
@@ -82,6 +83,10 @@ def op12_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
     return conversations.repair(table(spark, folder, "conversations"))
 
 
+def op13_document_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    return syncmers.compare_edited(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -96,6 +101,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_simhash_groups,
         op10_token_files,
         op12_conversation_repair,
+        op13_document_fingerprints,
     )
 }
 ORACLES: dict[str, str] = {"op3_source_mix": sql.SOURCE_MIX, "op4_licence_scan": sql.licence_scan(), "op5_site_lines": sql.SITE_LINES}
