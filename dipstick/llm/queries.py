@@ -21,6 +21,7 @@ from dipstick.llm import (
     sql,
     syncmers,
     token_counts,
+    whitening,
 )
 from dipstick.session import fresh_path
 from dipstick.sources.tables import table
@@ -79,6 +80,10 @@ def op10_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(table(spark, folder, "documents"), tokenizer("word_bpe_49k.json"))
 
 
+def op11_embedding_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whiten(table(spark, folder, "embeddings"))
+
+
 def op12_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
     return conversations.repair(table(spark, folder, "conversations"))
 
@@ -100,6 +105,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_decontaminate,
         op9_simhash_groups,
         op10_token_files,
+        op11_embedding_whitening,
         op12_conversation_repair,
         op13_document_fingerprints,
     )
