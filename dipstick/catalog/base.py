@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import cached_property
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 
-from dipstick.operators import features, forecast, profile
+from dipstick.operators import features, forecast, forest, model, profile
 from dipstick.plans import training
 from dipstick.session import fresh_path, materialise_by
 from dipstick.sources import sinks, tables
@@ -60,16 +61,26 @@ class Inputs:
     def seeded(self) -> DataFrame:
         return forecast.seeded_state(self.features, self.multipliers)
 
+    @cached_property
+    def ranking(self) -> PipelineModel:
+        """The full-size ranking forest, fitted once per session."""
+        return training.ranking_forest(self.prepared)
+
     @cached_property
     def ranked(self) -> DataFrame:
-        """Feature importances of the full-size ranking forest, fitted once per session."""
-        return training.rank_features(self.prepared)
+        """Its feature importances."""
+        return model.importance_table(self.ranking)
 
     @cached_property
     def trained(self) -> training.Trained:
         """The classifier, fitted once per session."""
         return training.train(self.prepared)
 
+    @cached_property
+    def nodes(self) -> DataFrame:
+        """The classifier's trees as a table of nodes."""
+        return forest.node_table(self.trained.model)
+
     @cached_property
     def ledger_csv(self) -> str:
         return sinks.write_csv(self.ledger, self.path("ledger-csv"))

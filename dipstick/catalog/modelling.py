@@ -12,7 +12,7 @@ from dipstick.catalog.sources import scored
 from dipstick.catalog.sql import DECIDED, FEATURES, LEDGER, SCORED, over, rnd, walk
 from dipstick.config import ENGINEERED, PRODUCTS
 from dipstick.functions import numeric
-from dipstick.operators import clean, features, forecast, metrics, model, profile, smote, timeline
+from dipstick.operators import clean, features, forecast, forest, metrics, model, profile, smote, timeline
 from dipstick.plans import reports
 
 
@@ -46,6 +46,21 @@ def importances_hold(data):
     )
 
 
+_CANDIDATES = ("Cash", "Card", "DayOfWeek", "Day_Num", "HSD1_Sold", "HSD2_Sold", "HSD3_Sold", "Is_Festival_Month", "Is_Monsoon_Month",
+               "Is_Weekend", "MS_Sold", "Month", "Online", "Opening_Stock", "Prev_Closing", "Quarter", "Rolling_7d_Sales", "Total_Sold", "Year")
+
+
+@query(
+    "m02_importances_by_nodes",
+    "SELECT Feature, true AS as_ranked FROM (VALUES " + ", ".join(f"('{f}')" for f in _CANDIDATES) + ") AS t(Feature)",
+)
+def importances_by_nodes(data):
+    """Importances recomputed from the impurity of nodes and their children, beside those of the fitted model."""
+    names = data.ranking.stages[0].getInputCols()
+    again = forest.importances(forest.node_table(data.ranking), names).withColumnRenamed("Importance", "again")
+    return data.ranked.join(again, "Feature").select("Feature", (F.abs(F.col("Importance") - F.col("again")) < 1e-6).alias("as_ranked"))
+
+
 # Product litres over total litres stand for importances: exact, and different per station.
 _SHARES = """, shares AS (SELECT station_id, f AS Feature, s AS Importance FROM (
   SELECT station_id, unnest(['MS_Sold', 'HSD1_Sold', 'HSD2_Sold', 'HSD3_Sold']) AS f,
@@ -235,6 +250,41 @@ def month_tree(data):
     return model.score(tree, unseen).select("station_id", "Date", "Target", "prediction")
 
 
+@query(
+    "m06_node_table",
+    "SELECT CAST(t AS INTEGER) AS tree, CAST(1 AS BIGINT) AS leaves_over_splits, true AS children_found, true AS weights_add_up, true AS leaves_large_enough FROM range(200) AS r(t)",
+)
+def node_table(data):
+    """The classifier as a table of nodes: each of its 200 trees is one binary tree whose weights add up."""
+    return forest.structure(data.nodes, 3)
+
+
+def _by_nodes(data, rows: DataFrame, keep: tuple[str, ...]) -> DataFrame:
+    fitted = data.trained.model
+    return forest.score_by_nodes(data.nodes, rows, fitted.stages[0].getInputCols(), fitted.stages[-1].getNumTrees, forest.depth(fitted), keep)
+
+
+def _beside(found: DataFrame, again: DataFrame, keep: tuple[str, ...]) -> DataFrame:
+    other = again.select(*keep, *[F.col(c).alias(f"_{c}") for c in ("prediction", "score", "confidence")])
+    near = [F.abs(F.col(c) - F.col(f"_{c}")) < 1e-9 for c in ("score", "confidence")]
+    even = F.abs(F.col("score") - 0.5) < 1e-9
+    return found.join(other, list(keep)).select(*keep, (near[0] & near[1] & (even | (F.col("prediction") == F.col("_prediction")))).alias("as_scored"))
+
+
+@query(
+    "m07_scores_by_nodes",
+    over(
+        LEDGER,
+        """, part AS (SELECT *, rn > floor(count(*) OVER (PARTITION BY station_id) * CAST(0.8 AS DOUBLE)) AS test FROM ledger)
+        SELECT station_id, "Date", Target, true AS as_scored FROM part WHERE test""",
+    ),
+)
+def scores_by_nodes(data):
+    """Every unseen day walked through the node table by joins: class, probability and confidence as the model gives them."""
+    keep = ("station_id", "Date", "Target")
+    return _beside(data.trained.scored, _by_nodes(data, data.trained.unseen, keep), keep)
+
+
 @query("m07_scored_days")
 def scored_days(data):
     """Class, probability and confidence of the unseen days."""
@@ -282,6 +332,17 @@ def walk_scores_hold(data):
     )
 
 
+@query(
+    "f15_scores_by_nodes",
+    over(walk(30, stop=True), 'SELECT station_id, "Date", true AS as_scored FROM path'),
+)
+def walk_scores_by_nodes(data):
+    """Every simulated day walked through the node table by joins, beside the model's own scores."""
+    rows = forecast.feature_rows(forecast.walk(data.seeded, forecast.PREDICT), profile.weekday_profile(data.features))
+    keep = ("station_id", "Date")
+    return _beside(model.score(data.trained.model, rows, keep), _by_nodes(data, rows, keep), keep)
+
+
 @query(
     "f15_prediction_with_model",
     over(

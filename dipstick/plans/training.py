@@ -17,15 +17,21 @@ from dipstick.session import materialise
 class Trained:
     model: PipelineModel
     features: list[str]
+    unseen: DataFrame
     scored: DataFrame
     metrics: DataFrame
     multipliers: DataFrame
 
 
+def ranking_forest(prepared: DataFrame, trees: int = 100, depth: int = 30) -> PipelineModel:
+    """The forest over all candidate columns."""
+    names = clean.numeric_columns(clean.candidate_features(prepared))
+    return model.fit_importance_forest(prepared, names, trees, depth)
+
+
 def rank_features(prepared: DataFrame, trees: int = 100, depth: int = 30) -> DataFrame:
     """Importance table of the candidate columns."""
-    names = clean.numeric_columns(clean.candidate_features(prepared))
-    return model.importance_table(model.fit_importance_forest(prepared, names, trees, depth))
+    return model.importance_table(ranking_forest(prepared, trees, depth))
 
 
 def select_features(prepared: DataFrame, least: float = 0.01) -> DataFrame:
@@ -65,6 +71,7 @@ def train(
     return Trained(
         model=fitted,
         features=names,
+        unseen=unseen,
         scored=scored,
         metrics=metrics.metrics_record(scored),
         multipliers=profile.monthly_multipliers(table, cap=False),
