@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dipstick.catalog.base import query
@@ -9,6 +10,7 @@ from dipstick.catalog.sql import LEDGER, MULTIPLIERS, PROFILE, over, rnd
 from dipstick.config import PRODUCTS
 from dipstick.functions import numeric
 from dipstick.operators import forecast, profile, smote, stats
+from dipstick.session import materialise
 from dipstick.sources import artefacts, readers
 
 
@@ -102,30 +104,39 @@ def all_weekdays(data):
 
 _NEIGHBOUR_FEATURES = ("Opening_Stock", "Total_Sold", "MS_Sold", "HSD1_Sold", "HSD2_Sold", "HSD3_Sold")
 
-NEIGHBOURS_SQL = over(
-    LEDGER,
-    """, part AS (SELECT *, CASE WHEN rn <= floor(count(*) OVER (PARTITION BY station_id) * CAST(0.8 AS DOUBLE)) THEN 1 ELSE 0 END AS train FROM ledger),
+_DISTANCE = " + ".join(f"(a.{f} - b.{f}) * (a.{f} - b.{f})" for f in _NEIGHBOUR_FEATURES)
+_NEAREST = LEDGER + f""", part AS (SELECT *, CASE WHEN rn <= floor(count(*) OVER (PARTITION BY station_id) * CAST(0.8 AS DOUBLE)) THEN 1 ELSE 0 END AS train FROM ledger),
     minority AS MATERIALIZED (SELECT p.* FROM part p JOIN (
       SELECT station_id, CASE WHEN count(*) FILTER (WHERE Target = 1) <= count(*) FILTER (WHERE Target = 0) THEN 1 ELSE 0 END AS c
-      FROM part WHERE train = 1 GROUP BY 1) s ON p.station_id = s.station_id AND p.Target = s.c WHERE train = 1)
-    SELECT a.station_id, a."Date", b."Date" AS neighbour, """
-    + rnd("sqrt(CAST(" + " + ".join(f"(a.{f} - b.{f}) * (a.{f} - b.{f})" for f in _NEIGHBOUR_FEATURES) + " AS DOUBLE))", 6)
-    + """ AS distance, CAST(row_number() OVER (PARTITION BY a.station_id, a."Date" ORDER BY """
-    + " + ".join(f"(a.{f} - b.{f}) * (a.{f} - b.{f})" for f in _NEIGHBOUR_FEATURES)
-    + """, b."Date") AS INTEGER) AS rank
+      FROM part WHERE train = 1 GROUP BY 1) s ON p.station_id = s.station_id AND p.Target = s.c WHERE train = 1),
+    nearest AS MATERIALIZED (SELECT a.station_id, a."Date", b."Date" AS neighbour, {rnd(f'sqrt(CAST({_DISTANCE} AS DOUBLE))', 6)} AS distance,
+      CAST(row_number() OVER (PARTITION BY a.station_id, a."Date" ORDER BY {_DISTANCE}, b."Date") AS INTEGER) AS rank
     FROM minority a JOIN minority b ON a.station_id = b.station_id AND a."Date" <> b."Date"
-    QUALIFY rank <= 5""",
-)
+    QUALIFY rank <= 5)"""
 
 
-@query("m04_neighbours", NEIGHBOURS_SQL)
-@query("j07_neighbour_join", NEIGHBOURS_SQL)
-def minority_neighbours(data):
+def _neighbours(data) -> DataFrame:
     split = stats.timeline.chronological_split(data.ledger)
     minority = smote.minority_rows(split.where(F.col("split") == "train"))
-    return smote.neighbours(minority, _NEIGHBOUR_FEATURES).select(
-        "station_id", "Date", "rank", "neighbour", numeric.half_even(F.col("distance"), 6).alias("distance")
-    )
+    return smote.neighbours(minority, _NEIGHBOUR_FEATURES)
+
+
+@query("m04_neighbours", over(_NEAREST, "SELECT * FROM nearest"))
+def minority_neighbours(data):
+    return _neighbours(data).select("station_id", "Date", "rank", "neighbour", numeric.half_even(F.col("distance"), 6).alias("distance"))
+
+
+@query(
+    "j07_neighbour_join",
+    over(
+        _NEAREST,
+        """SELECT a.station_id, a."Date", a.rank, a.neighbour, b.rank AS rank_back, a.distance
+        FROM nearest a JOIN nearest b ON a.station_id = b.station_id AND a."Date" = b.neighbour AND a.neighbour = b."Date" WHERE a."Date" < a.neighbour""",
+    ),
+)
+def neighbour_join(data):
+    """Pairs of refill days each of which is among the other's nearest: the neighbour table joined with itself."""
+    return smote.mutual_neighbours(materialise(_neighbours(data), "near")).withColumn("distance", numeric.half_even(F.col("distance"), 6))
 
 
 @query(

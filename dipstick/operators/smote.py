@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import sys
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from dipstick.session import materialise
 from dipstick.sources.synthetic import uniform
 
 BLOCK = 256
@@ -44,51 +46,129 @@ def numbered(minority: DataFrame, features: Sequence[str]) -> DataFrame:
     return minority.withColumn("_row", F.row_number().over(order))
 
 
-def neighbours(minority: DataFrame, features: Sequence[str], k: int = 5, block: int = 2048) -> DataFrame:
-    """(station_id, Date, row, rank, neighbour, neighbour_row, distance): the ``k`` nearest rows within a station.
+def curve(features: Sequence[str]) -> Column:
+    """Place of a row on a Z-order curve through its station's values: rows near on it are near in every feature."""
+    station = Window.partitionBy("station_id")
+    bits = max(1, min(10, 60 // len(features)))
+    cells = []
+    for f in features:
+        low, high = F.min(f).over(station), F.max(f).over(station)
+        cells.append(F.floor(F.coalesce(F.try_divide(F.col(f) - low, high - low), F.lit(0.0)) * (2**bits - 1)).cast("bigint"))
+    place = F.lit(0).cast("bigint")
+    for bit in range(bits):
+        for i, cell in enumerate(cells):
+            place = place + F.shiftleft(F.shiftright(cell, bit).bitwiseAND(F.lit(1).cast("bigint")), bit * len(cells) + i)
+    return place
 
-    A station's rows are dealt into blocks. Every block meets every block of its station in a task of its
-    own and keeps its ``k`` nearest there; a row's answers from all blocks are then merged by distance and
-    row. So a large station is many tasks of at most two blocks each, the pairs never leave a task, and
-    the result does not depend on the size of a block. Several rows of one day are told apart by ``row``.
-    """
-    features = list(features)
+
+def _gap(features: Sequence[str], low: str, high: str, other_low: str, other_high: str) -> Column:
+    """Squared distance of two boxes, feature by feature in the order in which points are compared."""
+    total = F.lit(0.0)
+    for f in features:
+        apart = F.greatest(F.lit(0.0), F.col(f"{other_low}{f}") - F.col(f"{high}{f}"), F.col(f"{low}{f}") - F.col(f"{other_high}{f}"))
+        total = total + apart * apart
+    return total
+
+
+FOUND = "station_id string, Date date, row int, neighbour date, neighbour_row int, d2 double"
+
+
+def _answers(left: pd.DataFrame, right: pd.DataFrame, features: Sequence[str], own: np.ndarray, k: int) -> pd.DataFrame:
+    left_dates, rows, right_dates, others = left["Date"].to_numpy(), left["_row"].to_numpy(), right["o_Date"].to_numpy(), right["o__row"].to_numpy()
+    found = _nearest(left[features].to_numpy(dtype=float), right[[f"o_{f}" for f in features]].to_numpy(dtype=float), own, k)
+    out = [
+        (left["station_id"].iat[0], left_dates[i], int(rows[i]), right_dates[j], int(others[j]), float(d))
+        for i, near, d2 in found
+        for j, d in zip(near, d2)
+    ]
+    return pd.DataFrame(out, columns=["station_id", "Date", "row", "neighbour", "neighbour_row", "d2"])
+
+
+def blocks(minority: DataFrame, features: Sequence[str], block: int) -> DataFrame:
+    """(station_id, Date, _row, features, _block): a station's rows cut along the curve, so that blocks are compact."""
     points = minority if "_row" in minority.columns else numbered(minority, features)
     points = points.select("station_id", "Date", "_row", *[F.col(f).cast("double").alias(f) for f in features])
-    mine = F.expr(f"(_row - 1) div {block}").cast("int")
-    blocks = points.groupBy("station_id").agg(F.max(mine).alias("_last"))
-    dealt = points.withColumn("_mine", mine).join(blocks, "station_id").withColumn("_other", F.explode(F.sequence(F.lit(0), "_last")))
-    asked = dealt.select("station_id", "Date", "_row", *features, F.col("_mine").alias("_asks"), F.col("_other").alias("_answers"))
-    # Other names, for both sides come from one table.
-    renamed = [F.col(c).alias(f"o_{c}") for c in ("station_id", "Date", "_row", *features)]
-    offered = dealt.select(*renamed, F.col("_other").alias("o_asks"), F.col("_mine").alias("o_answers"))
-
-    def per_pair(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        left, right = left.sort_values("_row"), right.sort_values("o__row")
-        dates, rows, others = left["Date"].to_numpy(), left["_row"].to_numpy(), right["o__row"].to_numpy()
-        other_dates = right["o_Date"].to_numpy()
-        own = np.full(len(left), -1)
-        if rows[0] == others[0]:
-            own = np.arange(len(left))
-        found = _nearest(left[features].to_numpy(dtype=float), right[[f"o_{f}" for f in features]].to_numpy(dtype=float), own, k)
-        out = [
-            (left["station_id"].iat[0], dates[i], int(rows[i]), other_dates[j], int(others[j]), float(d))
-            for i, near, d2 in found
-            for j, d in zip(near, d2)
-        ]
-        return pd.DataFrame(out, columns=["station_id", "Date", "row", "neighbour", "neighbour_row", "d2"])
+    along = F.row_number().over(Window.partitionBy("station_id").orderBy("_curve", "_row"))
+    known = reduce(lambda a, b: a & b, [F.col(f).isNotNull() & ~F.isnan(f) for f in features])
+    return points.where(known).withColumn("_curve", curve(features)).withColumn("_block", ((along - 1) / block).cast("int")).drop("_curve")
 
-    near = (
-        asked.groupBy("station_id", "_asks", "_answers")
-        .cogroup(offered.groupBy("o_station_id", "o_asks", "o_answers"))
-        .applyInPandas(per_pair, "station_id string, Date date, row int, neighbour date, neighbour_row int, d2 double")
+
+def asked_elsewhere(points: DataFrame, inside: DataFrame, features: Sequence[str], k: int) -> DataFrame:
+    """The rows of ``points`` that must also be compared with another block, once for each: ``_other``.
+
+    A row has its ``k``-th distance from its own block. Another block can hold a nearer row, or one as
+    near, only if its bounding box is not farther than that. Pairs of blocks whose boxes are farther
+    apart than the largest such distance are dropped before rows are looked at.
+    """
+    reach = inside.groupBy("station_id", F.col("row").alias("_row")).agg(
+        F.when(F.count("*") < k, float("inf")).otherwise(F.max("d2")).alias("_reach")
     )
+    reaching = points.join(reach, ["station_id", "_row"], "left").fillna(float("inf"), ["_reach"])
+    sides = [f(c).alias(f"{name}{c}") for c in features for f, name in ((F.min, "l_"), (F.max, "h_"))]
+    boxes = reaching.groupBy("station_id", "_block").agg(F.max("_reach").alias("_farthest"), *sides)
+    others = boxes.select("station_id", F.col("_block").alias("_other"), *[F.col(f"{s}{c}").alias(f"o{s}{c}") for c in features for s in ("l_", "h_")])
+    near = (F.col("_block") != F.col("_other")) & (_gap(features, "l_", "h_", "ol_", "oh_") <= F.col("_farthest"))
+    pairs = boxes.join(others, "station_id").where(near).drop(*[f"{s}{c}" for c in features for s in ("l_", "h_")], "_farthest")
+    met = reaching.join(pairs, ["station_id", "_block"]).where(_gap(features, "", "", "ol_", "oh_") <= F.col("_reach"))
+    return met.select("station_id", "Date", "_row", *features, "_block", "_other")
+
+
+def neighbours(minority: DataFrame, features: Sequence[str], k: int = 5, block: int = 2048) -> DataFrame:
+    """(station_id, Date, row, rank, neighbour, neighbour_row, distance): the ``k`` nearest rows within a station.
+
+    Exact, with pruned blocks. A station's rows are cut into compact blocks. Every row is compared
+    with its own block; with another one only if that block's bounding box is within the row's
+    ``k``-th distance so far (``asked_elsewhere``), in a task of at most two blocks, and a row's answers
+    are merged by distance and row. The result does not depend on the size of a block. Several rows
+    of one day are told apart by ``row``. Rows with an unknown feature neither ask nor answer.
+    """
+    features = list(features)
+    points = blocks(minority, features, block)
+
+    def own_block(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("_row")
+        return _answers(rows, rows.rename(columns=lambda c: f"o_{c}"), features, np.arange(len(rows)), k)
+
+    def other_block(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left) or not len(right):
+            return pd.DataFrame(columns=["station_id", "Date", "row", "neighbour", "neighbour_row", "d2"])
+        return _answers(left.sort_values("_row"), right.sort_values("o__row"), features, np.full(len(left), -1), k)
+
+    def answered(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("station_id", "_block").applyInPandas(own_block, FOUND)
+
+    sizes = minority.groupBy("station_id").count()
+    if sizes.where(F.col("count") > block).isEmpty():  # every station is one block: nothing is left to compare
+        near = answered(points)
+    else:
+        points = materialise(points, "points")
+        inside = materialise(answered(points), "near")
+        asked = materialise(asked_elsewhere(points, inside, features, k), "asked")
+        wanted = asked.select("station_id", F.col("_block").alias("o__asks"), F.col("_other").alias("_block")).distinct()
+        renamed = [F.col(c).alias(f"o_{c}") for c in ("station_id", "Date", "_row", *features)]
+        offered = points.join(wanted, ["station_id", "_block"]).select(*renamed, "o__asks", F.col("_block").alias("o__answers"))
+        across = (
+            asked.groupBy("station_id", "_block", "_other")
+            .cogroup(offered.groupBy("o_station_id", "o__asks", "o__answers"))
+            .applyInPandas(other_block, FOUND)
+        )
+        near = inside.unionByName(across)
     rank = F.row_number().over(Window.partitionBy("station_id", "row").orderBy("d2", "neighbour_row"))
     return near.withColumn("rank", rank).where(F.col("rank") <= k).select(
         "station_id", "Date", "row", "rank", "neighbour", "neighbour_row", F.sqrt("d2").alias("distance")
     )
 
 
+def mutual_neighbours(near: DataFrame) -> DataFrame:
+    """(station_id, Date, rank, neighbour, rank_back, distance) of pairs each of which is among the other's nearest, earlier row first."""
+    back = near.select(
+        "station_id", F.col("row").alias("neighbour_row"), F.col("neighbour_row").alias("row"), F.col("rank").alias("rank_back")
+    )
+    return near.join(back, ["station_id", "row", "neighbour_row"]).where(F.col("row") < F.col("neighbour_row")).select(
+        "station_id", "Date", "rank", "neighbour", "rank_back", "distance"
+    )
+
+
 def minority_rows(train: DataFrame, target: str = "Target") -> DataFrame:
     """Rows of each station's smaller class, with the deficit to the larger one."""
     counts = train.groupBy("station_id").agg(
