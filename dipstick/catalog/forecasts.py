@@ -10,7 +10,7 @@ from dipstick.catalog.sql import DECIDED, LEDGER, LEDGER_COLUMNS, PROFILE, SCORE
 from dipstick.config import PREP, PRODUCTS, SERVE
 from dipstick.functions import calendar, numeric, text
 from dipstick.operators import forecast, metrics, profile, smote
-from dipstick.operators.rollforward import roll_forward
+from dipstick.operators.rollforward import roll_forward, roll_forward_by_pointers
 from dipstick.plans import reports, training
 from dipstick.sources import tables
 
@@ -251,11 +251,20 @@ def drawdown_from_prediction(data):
     return path.withColumns({c: numeric.half_even(F.col(c), 4) for c in ("opening", "closing")})
 
 
-@query("f18_roll_forward", over(LEDGER, 'SELECT station_id, "Date", Total_Sold, Opening_Stock, Closing_Stock, Target FROM ledger'))
+_ROLLED = over(LEDGER, 'SELECT station_id, "Date", Total_Sold, Opening_Stock, Closing_Stock, Target FROM ledger')
+
+
+@query("f18_roll_forward", _ROLLED)
 def rolled(data):
     return roll_forward(data.ledger.select("station_id", "Date", "Total_Sold"))
 
 
+@query("f18_roll_forward_by_pointers", _ROLLED)
+def rolled_by_pointers(data):
+    """The same from running sums and doubled pointers, without an array of days."""
+    return roll_forward_by_pointers(data.ledger.select("station_id", "Date", "Total_Sold"))
+
+
 @query("f18_ledger_build", over(LEDGER, f"SELECT {LEDGER_COLUMNS} FROM ledger"))
 def ledger_build(data):
     """The whole bridge from raw order lines, not the written ledger."""
