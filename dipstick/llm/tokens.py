@@ -26,6 +26,8 @@ _PLAIN = re.compile(" ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
 _HIDDEN = [b for b in range(256) if not (0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or 0xAE <= b)]
 _LETTERS = {b: 0x100 + i for i, b in enumerate(_HIDDEN)}
 
+_SPELLED = np.array([_LETTERS.get(b, b) for b in range(256)], "<u4")
+
 
 def _layout(spec: dict) -> str | None:
     """How the tokenizer splits texts: ``spaced`` byte-level words, lower-case ``words``, or unknown."""
@@ -44,7 +46,7 @@ class PieceEncoder:
 
     Both known layouts never merge across a boundary between white space and a word, nor between a
     letter or digit and the ASCII punctuation that ends a word. So a text's ids are those of its
-    pieces, and the library sees every distinct piece once. Texts where this does not hold (special
+    pieces, a piece's are those of its word and its tail, and the library sees each of these once. Texts where this does not hold (special
     strings, white space beyond ASCII) and tokenizers of another layout are encoded whole. At most
     ``limit`` pieces are remembered; then the memory starts anew, which changes no result.
     """
@@ -61,45 +63,72 @@ class PieceEncoder:
 
     def _reset(self) -> None:
         self.known: dict = {}
+        self.units: dict[str, int] = {}
         self.ids, self.ends = array("I"), array("q", [0])
 
     def _split(self, text: str) -> Sequence:
+        """Pieces of a text; a text that must be encoded whole is a tuple of itself, as a single piece."""
         if self.layout is None:
-            return (text,)
+            return ((text,),)
         if self.layout == "spaced":
             if any(s in text for s in self.special) or not text.isascii() and _WIDE.search(text):
-                return (text,)
+                return ((text,),)
             return _CHUNK.findall(text)
         # Lower-casing first saves pieces; beyond ASCII it need not commute with the normal form.
         low = text.lower() if text.isascii() else text
         if any(s in low for s in self.special):
-            return (text,)
+            return ((text,),)
         return low.encode().split()
 
     def _whole(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _words(self, words: list[str]) -> list[list[int]]:
+        """Ids of plain words, put into the model's letters in one go."""
+        joined = "\n".join(words)
+        low = joined if self.layout == "spaced" else joined.lower()
+        letters = _SPELLED[np.frombuffer(low.encode(), np.uint8)].tobytes().decode("utf-32-le")
+        tokenize = self.model.tokenize
+        return [[t.id for t in tokenize(w)] for w in letters.split(chr(_LETTERS[10]))]
+
+    def _store(self, ids: list[list[int]]) -> range:
+        """Rows of lists of ids that are appended to the memory."""
+        first = len(self.ends) - 1
+        self.ends.extend((np.cumsum([len(i) for i in ids], dtype=np.int64) + len(self.ids)).tolist())
+        self.ids.extend(chain.from_iterable(ids))
+        return range(first, first + len(ids))
+
     def _learn(self, new) -> None:
-        stems, tails, found = {}, {}, {}
-        for piece in new:
-            text = piece if isinstance(piece, str) else piece.decode()
+        whole = [p for p in new if type(p) is tuple]
+        if whole:
+            self.known.update(zip(whole, self._store(self._whole([p[0] for p in whole]))))
+        pieces = [p for p in new if type(p) is not tuple]
+        if not pieces:
+            return
+        # Words hold no line break, so they are decoded in one go.
+        texts = pieces if self.layout == "spaced" else b"\n".join(pieces).decode().split("\n")
+        stems, tails = [], []
+        for text in texts:
             stem = text.rstrip(string.punctuation)
-            if self.layout is None or not stem or not stem[-1].isalnum() or any(s in text for s in self.special):
+            if not stem or not stem[-1].isalnum():
                 stem = text
-            stems[piece], tails[piece] = stem, text[len(stem) :]
-        odd = []
-        for unit in {*stems.values(), *tails.values()}:
-            if self.layout and _PLAIN.fullmatch(unit):
-                word = unit if self.layout == "spaced" else unit.lower()
-                found[unit] = [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(_LETTERS))]
+            stems.append(stem)
+            tails.append(text[len(stem) :])
+        units = {*stems, *tails} - self.units.keys()
+        plain = [u for u in units if _PLAIN.fullmatch(u)]
+        odd = list(units.difference(plain))
+        for some, ids in ((plain, self._words), (odd, self._whole)):
+            if some:
+                self.units.update(zip(some, self._store(ids(some))))
+        row, known, ids, ends = self.units, self.known, self.ids, self.ends
+        for piece, stem, tail in zip(pieces, stems, tails):
+            if tail:
+                known[piece] = len(ends) - 1
+                for at in (row[stem], row[tail]):
+                    ids.extend(ids[ends[at] : ends[at + 1]])
+                ends.append(len(ids))
             else:
-                odd.append(unit)
-        found.update(zip(odd, self._whole(odd)))
-        for piece in new:
-            self.known[piece] = len(self.ends) - 1
-            self.ids.extend(found[stems[piece]])
-            self.ids.extend(found[tails[piece]])
-            self.ends.append(len(self.ids))
+                known[piece] = row[stem]
 
     def _rows(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
         if len(self.known) > self.limit:
