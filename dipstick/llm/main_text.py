@@ -51,8 +51,11 @@ class Node:
         self.tag, self.sign, self.children, self.text, self.number, self.main = tag, sign, [], [], -1, False
 
 
-def _boilerplate(tag: str, attrs: str) -> tuple[bool, str]:
-    """Whether an element's kind, role or names mark it as no content; and its class for matching."""
+def _boilerplate(tag: str, attrs: str, inside: bool = False) -> tuple[bool, str]:
+    """Whether an element's kind, role or names mark it as no content; and its class for matching.
+
+    Inside the main part only a whole name marks (``related``, not ``related-work``): there the wrapper decides.
+    """
     if tag in DROPPED:
         return True, ""
     if not attrs or attrs.isspace():
@@ -68,7 +71,8 @@ def _boilerplate(tag: str, attrs: str) -> tuple[bool, str]:
             return True, ""
         if name in ("class", "id"):
             if tag not in ("body", "html", "article", "main") or name == "class" and tag == "article":
-                if MARKS.intersection(_PART.findall(_CAMEL.sub(r"\1 \2", value).lower())):
+                low = value.lower().split() if inside else _PART.findall(_CAMEL.sub(r"\1 \2", value).lower())
+                if MARKS.intersection(low):
                     return True, ""
             if name == "class":
                 sign = value.lower()
@@ -124,7 +128,7 @@ def parse(page: str) -> Node:
                         break
                 elif stack[i].tag in HOLDS or stack[i].tag == "tr":
                     break
-        marked, sign = _boilerplate(tag, attrs)
+        marked, sign = _boilerplate(tag, attrs, bool(attrs) and any(n.main for n in stack))
         node = Node(tag, sign)
         node.main = tag in ("article", "main") or 'role="main"' in attrs
         if marked:
@@ -406,24 +410,30 @@ def extract(pages: DataFrame, share: float = 0.8, least: int = 5) -> DataFrame:
 
     def content(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
-            texts, wholes = [], []
+            wholes, cuts, hashes = [], [], []
             for host, page, seed, template in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 constant = {(t["node"], t["text"]) for t in template or ()}
                 found, numbers = _aligned(page, host, seed if constant else None)
-                slots = [text for (_, text), n in zip(found, numbers) if (n, _hash(text)) not in constant]
-                texts.append("\n".join(slots))
-                wholes.append("\n".join(text for _, text in found) if len(slots) < len(found) else None)
-            columns = [batch.column(0), batch.column(4), batch.column(5), pa.array(texts, pa.string()), pa.array(wholes, pa.string())]
-            yield pa.RecordBatch.from_arrays(columns, ["host", "page_id", "url", "slots", "whole"])
+                cut = [i for i, ((_, text), n) in enumerate(zip(found, numbers)) if (n, _hash(text)) in constant]
+                whole, gone = "\n".join(text for _, text in found), set(cut)
+                slots = "\n".join(text for i, (_, text) in enumerate(found) if i not in gone) if cut else whole
+                wholes.append(whole)
+                cuts.append(cut or None)
+                hashes.append((_hash(whole), _hash(slots)))
+            numbers = [pa.array([h[i] for h in hashes], pa.int64()) for i in range(2)]
+            columns = [batch.column(0), batch.column(4), batch.column(5), pa.array(wholes, pa.string()), pa.array(cuts, pa.list_(pa.int32())), *numbers]
+            yield pa.RecordBatch.from_arrays(columns, ["host", "page_id", "url", "whole", "cut", "page", "content"])
 
     wrapped = rows.join(wrappers, "host", "left").select("host", "html", "seed", "template", "page_id", "url")
     kinds = dict(pages.dtypes)
-    taken = kept(wrapped.mapInArrow(content, f"host string, page_id {kinds['page_id']}, url {kinds['url']}, slots string, whole string"), "contents")
-    whole = F.coalesce("whole", "slots")
-    # Pages and their slot contents, each counted once, by hosts where template was taken out.
-    cut = taken.where(F.col("whole").isNotNull()).select("host").distinct()
-    each = taken.join(cut, "host", "left_semi").select("host", F.xxhash64(whole).alias("page"), F.xxhash64("slots").alias("content")).distinct()
+    stored = f"host string, page_id {kinds['page_id']}, url {kinds['url']}, whole string, cut array<int>, page bigint, content bigint"
+    taken = kept(wrapped.mapInArrow(content, stored), "contents")
+    # Pages and their slot contents, each counted once by its hash, by hosts where template was taken out.
+    cut = taken.where("cut IS NOT NULL").select("host").distinct()
+    each = taken.select("host", "page", "content").distinct().join(cut, "host", "left_semi")
     contents = each.groupBy("host", "content").agg(F.count("*").alias("n")).groupBy("host").agg(F.count("*").alias("n_contents"), F.sum("n").alias("n_pages"))
     copies = kept(contents.where("2 * n_contents <= n_pages").select("host", F.lit(True).alias("copies")), "copies")
-    text = F.when(F.col("copies"), whole).otherwise(F.col("slots")).alias("text")
+    # No block holds a line end, so the blocks of a text are its lines.
+    slots = F.array_join(F.filter(F.split("whole", "\n"), lambda _, i: ~F.array_contains("cut", i)), "\n")
+    text = F.when(F.col("copies") | F.col("cut").isNull(), F.col("whole")).otherwise(slots).alias("text")
     return taken.join(copies, "host", "left").select("page_id", "url", text).withColumn("n_chars", F.length("text").cast("bigint"))
