@@ -24,6 +24,7 @@ TEMPLATES = {
     "all-rights-reserved": "all rights reserved",
 }
 GRAM = 3
+SLOTS = 2048  # of the table of lower bits that thins grams before their join
 
 
 def words_of(text: Column) -> Column:
@@ -52,6 +53,21 @@ def template_places(spark: SparkSession, phrases: dict[str, str], templates: dic
     )
 
 
+def _candidates(words: Column, places: DataFrame, k: int) -> Column:
+    """(at, gram, said) of the grams whose lower bits some template gram has, each with its own words only.
+
+    Grams are thinned inside the array, so that no row holds a text's words besides one gram's: the work
+    stays in proportion to the length of a text.
+    """
+    low = F.lit(SLOTS - 1).cast("bigint")
+    used = {r[0] for r in places.select(F.col("gram").bitwiseAND(low)).distinct().collect()}  # of fixed templates
+    yes, no = F.lit(True), F.lit(False)
+    known = F.array(*[yes if i in used else no for i in range(SLOTS)])
+    numbered = F.transform(grams(words, k), lambda g, i: F.struct(i.alias("at"), g.alias("gram")))
+    left = F.filter(numbered, lambda x: F.get(known, x["gram"].bitwiseAND(low).cast("int")))
+    return F.transform(left, lambda x: F.struct(x["at"].alias("at"), x["gram"].alias("gram"), F.concat_ws(" ", F.slice(words, x["at"] + 1, k)).alias("said")))
+
+
 def scan(docs: DataFrame, phrases: dict[str, str] | None = None, templates: dict[str, str] | None = None, coverage: float = 0.7, drift: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_words, n_base, first_word, last_word, base_labels, labels, score) of every row.
 
@@ -76,11 +92,11 @@ def scan(docs: DataFrame, phrases: dict[str, str] | None = None, templates: dict
         raise ValueError(f"templates need {k} words: {short}")
     text = text_of(text_col)
     base = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("digest"), words_of(text).alias("words"))
-    placed = base.select("id", "digest", "words", F.posexplode(grams(F.col("words"), k)).alias("at", "gram"))
-    table = F.broadcast(template_places(spark, phrases, templates, k))
+    places = template_places(spark, phrases, templates, k)
+    placed = base.select("id", "digest", F.inline(_candidates(F.col("words"), places, k)))
     hits = (
-        placed.join(table, "gram")
-        .where(F.concat_ws(" ", F.slice("words", F.col("at") + 1, k)) == F.col("gram_text"))
+        placed.join(F.broadcast(places), "gram")
+        .where(F.col("said") == F.col("gram_text"))
         .select("id", "digest", "template", "label", "phrase", "places", "place", (F.col("at") - F.col("place")).alias("diagonal"))
     )
     key = ["id", "digest"]
