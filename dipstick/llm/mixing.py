@@ -24,9 +24,9 @@ def quality_weight(text: Column, words: Column) -> Column:
     return F.lit(HIGH) - F.lit(HIGH - LOW) * F.least(F.lit(1.0), symbols / F.greatest(words, F.lit(1)))
 
 
-def uniform(seed: int, key: Column) -> Column:
+def uniform(seed: int, key: Column, text: Column) -> Column:
     """A number strictly between 0 and 1 from a digest of the key: the same in every run."""
-    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(key.cast("string"), F.lit(""))))
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(key.cast("string"), F.lit("")), F.md5(text)))
     return (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 0.5) / float(2**52)
 
 
@@ -73,8 +73,10 @@ def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.
     of buckets along the keys, bucket totals are summed up first, and running sums then start inside
     each bucket. A bucket's share of a source is at most HIGH / LOW times the mean.
 
-    NULL texts have size 0 and are taken 0 times; NULL sources are one source; rows of equal id and
-    size take places one after the other; an empty table gives no rows.
+    NULL texts have size 0 and are taken 0 times; NULL sources are one source; keys come from
+    the id and the whole text, so rows that share an id or have none are drawn apart from each other and
+    alike in every run; rows of equal id and text take places one after the other; an empty table
+    gives no rows.
     """
     text = F.col("text")
     plain = docs.select(
@@ -88,7 +90,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.
         "doc_id",
         "source",
         "size",
-        (-F.log(uniform(seed, F.col("doc_id"))) / quality_weight(text, F.col("size"))).alias("key"),
+        (-F.log(uniform(seed, F.col("doc_id"), text)) / quality_weight(text, F.col("size"))).alias("key"),
         *extra,
     )
     sized = kept(sized, "sized")

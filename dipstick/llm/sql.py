@@ -9,7 +9,7 @@ _BLANK = "[^\\x20\\x09-\\x0D]+"
 SOURCE_MIX = f"""
 WITH sized AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{_BLANK}')) AS size, coalesce(text, '') AS t,
-         (('0x' || substr(md5('42:' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496.0 AS u
+         (('0x' || substr(md5('42:' || coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496.0 AS u
   FROM documents
 ), keyed AS (
   SELECT doc_id, source, size,

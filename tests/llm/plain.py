@@ -74,7 +74,7 @@ def mix(rows, weights=(3, 1, 2), share=1.5, most=2.0):
         for doc, text, source in rows:
             if source == s:
                 n = len(words(text))
-                u = (int(hashlib.md5(f"42:{'' if doc is None else doc}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+                u = (int(hashlib.md5(f"42:{'' if doc is None else doc}:{hashlib.md5((text or '').encode()).hexdigest()}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
                 symbols = sum((text or "").count(c) for c in "#*$%&|<>")
                 keyed.append((-math.log(u) / (1 - 0.5 * min(1, symbols / max(n, 1))), -1 if doc is None else doc, n, doc))
         epochs = goal[s] // max(sizes[s], 1)

@@ -431,3 +431,33 @@ def test_empty_tables(spark):
         main_text.extract(pages),
     ):
         assert df.count() == 0
+
+
+def test_names_inside_the_article_mark_only_as_a_whole(spark):
+    kept = '<div class="side-effects">Known effects.</div><p class="share-price">The price rose.</p><section id="related-work">Others did this.</section>'
+    page = f'<div class="side-bar">Menu</div><article><p>Intro</p>{kept}<div class="related">More to read</div></article>'
+    df = spark.createDataFrame([(1, "http://a.example/x", page)], "page_id bigint, url string, html string")
+    assert main_text.extract(df).first().text == "Intro\nKnown effects.\nThe price rose.\nOthers did this."
+
+
+def test_mix_of_rows_without_an_id_does_not_depend_on_the_layout(spark):
+    rows = [(None if i % 3 else i, f"word{i} " * (1 + i % 5), "s") for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    one, other = (sorted((r.row.text, r.copies) for r in mixing.mix(d, carry=True).collect()) for d in (docs, docs.repartition(7, "text")))
+    assert one == other and len({c for _, c in one}) > 1
+
+
+def test_licence_scan_of_a_very_long_text(spark):
+    """Four times the words take about four times as long, not sixteen."""
+    import time
+
+    def seconds(words):
+        docs = spark.range(1).selectExpr("id AS doc_id", f"concat(repeat('word and other ', {words // 3}), 'under the mit license') AS text")
+        start = time.perf_counter()
+        row = licences.scan(docs).first()
+        assert (row.n_base, row.first_word, row.base_labels) == (1, words // 3 * 3, "mit")
+        return time.perf_counter() - start
+
+    seconds(3000)
+    short, long = seconds(100_000), seconds(400_000)
+    assert long < 5 * short + 5
