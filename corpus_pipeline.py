@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
 from dipstick.llm import decontaminate, mixing, packing, queries, quality, simhash
 from dipstick.session import fresh_path
@@ -17,38 +18,53 @@ def _same(left: DataFrame, right: DataFrame, columns: list[str]):
     return condition
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """``docs`` with a digest of all that a row holds: ids may be NULL or shared."""
-    return docs.withColumn("_digest", F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
+def _hashable(docs: DataFrame, column: str):
+    """A column as a hash takes it: a map as its entries in order of their text."""
+    c = F.col(f"`{column}`")
+    return F.sort_array(F.transform(F.map_entries(c), lambda e: F.to_json(e))) if isinstance(docs.schema[column].dataType, MapType) else c
+
+
+def _keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with a digest of all that a row holds, and the digest's name: ids may be NULL or shared."""
+    name = "_digest"
+    while name in docs.columns:
+        name += "_"
+    return docs.withColumn(name, F.xxhash64(*[_hashable(docs, c) for c in docs.columns])), name
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Documents that the quality rules keep. Rows are known by id and a digest of all they hold."""
-    keyed = _keyed(docs)
-    good = quality.judge(keyed, carry=["doc_id", "_digest"]).where("kept").select("doc_id", "_digest").distinct()
-    return keyed.join(good, _same(keyed, good, ["doc_id", "_digest"]), "left_semi").drop("_digest")
+    """Documents that the quality rules keep. Rows are known by id and a digest of all they hold.
+
+    NULL and empty texts have no words and go; equal rows share a verdict; an empty table stays empty.
+    """
+    keyed, digest = _keyed(docs)
+    good = quality.judge(keyed, carry=["doc_id", digest]).where("kept").select("doc_id", digest).distinct()
+    return keyed.join(good, _same(keyed, good, ["doc_id", digest]), "left_semi").drop(digest)
 
 
 def simhash_near_duplicates(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """One row of every group: that of the smallest id, NULL last, and among rows of one id that of the smallest digest."""
-    keyed = _keyed(docs)
-    groups = simhash.near_duplicates(keyed, carry=["_digest"])
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "_digest")).alias("first")
-    chosen = groups.groupBy("root").agg(first).select("first.doc_id", "first._digest")
+    keyed, digest = _keyed(docs)
+    groups = simhash.near_duplicates(keyed, carry=[digest])
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", digest)).alias("first")
+    chosen = groups.groupBy("root").agg(first).select("first.doc_id", f"first.{digest}")
     # Rows equal in all columns share their key; they are merged before their shuffle.
-    found = keyed.join(chosen, _same(keyed, chosen, ["doc_id", "_digest"]), "left_semi")
-    return found.dropDuplicates(["doc_id", "_digest"]).drop("_digest")
+    found = keyed.join(chosen, _same(keyed, chosen, ["doc_id", digest]), "left_semi")
+    return found.dropDuplicates(["doc_id", digest]).drop(digest)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Documents that hold no benchmark item. Rows are known by their digest, so that one without id goes too and no other of its id."""
-    keyed = _keyed(docs)
-    found = decontaminate.contaminated(keyed, table(spark, folder, "benchmark"), id_col="_digest").select("doc_id").distinct()
-    return keyed.join(found, keyed["_digest"] == found["doc_id"], "left_anti").drop("_digest")
+    """Documents that hold no benchmark item. Rows are known by a 64-bit digest alone, so that one without id goes too and no other of its id.
+
+    NULL and empty texts hold nothing and stay, as do all rows where the benchmark is empty.
+    """
+    keyed, digest = _keyed(docs)
+    found = decontaminate.contaminated(keyed, table(spark, folder, "benchmark"), id_col=digest).select("doc_id").distinct()
+    return keyed.join(found, keyed[digest] == found["doc_id"], "left_anti").drop(digest)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Documents as often as the mix takes them: repeated rows are the epochs."""
+    """Documents as often as the mix takes them: repeated rows are the epochs. A text without words is taken by no mix."""
     mixed = mixing.mix(docs, carry=True).where("copies > 0")
     return mixed.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("_epoch")).select("row.*")
 
