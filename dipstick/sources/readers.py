@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 import re
 from collections import defaultdict
 from collections.abc import Iterable, Sequence
@@ -18,6 +19,7 @@ from dipstick.operators import clean, features
 
 SHEET_SUFFIXES = (".xlsx", ".xls", ".xlsm")
 MIN_SHEET_ROWS = 5
+HEAD_BLOCK = 1 << 16  # bytes read at a time in search of a header
 FEW_ROWS = 500
 
 
@@ -62,27 +64,80 @@ def _scanned_path() -> Column:
     return F.url_decode(F.regexp_replace(F.col("_metadata.file_path"), r"\+", "%2B"))
 
 
-def header_lines(spark: SparkSession, folder: str) -> dict[str, str]:
-    """The first filled line of every sheet, from one scan of all files; empty sheets have none."""
-    lines = (
-        spark.read.option("recursiveFileLookup", True)
+def sheet_heads(spark: SparkSession, folder: str) -> DataFrame:
+    """(sheet, path, line, damaged) of every file: its first filled line, from its first block alone.
+
+    A file is opened by the task it is dealt to and read only up to the end of that line. ``damaged``
+    is set where the bytes read are no text: they hold a NUL or are not UTF-8.
+    """
+    files = (
+        spark.read.format("binaryFile")
+        .option("recursiveFileLookup", True)
         .option("pathGlobFilter", "*.csv")
-        .text(folder)
-        .select("value", _scanned_path().alias("path"), F.col("_metadata.file_block_start").alias("block"))
-        .withColumn("place", F.monotonically_increasing_id())
-        .where(F.trim("value") != "")
-    )
-    first = lines.groupBy(_sheet_of(F.col("path"), folder).alias("sheet")).agg(
-        F.min_by("value", F.struct("path", "block", "place")).alias("line")
+        .load(folder)
+        .select(_sheet_of(F.col("path"), folder).alias("sheet"), "path")
     )
-    return {r.sheet: r.line for r in first.collect()}
+    block = HEAD_BLOCK
+
+    def read(batches):
+        from urllib.parse import quote
+
+        import pyarrow as pa
+        from pyarrow import fs
+
+        def head(path: str) -> tuple[str | None, bool]:
+            if path.startswith("file:"):
+                system, place = fs.LocalFileSystem(), "/" + path[5:].lstrip("/")
+            else:
+                system, place = fs.FileSystem.from_uri(quote(path, safe=":/@"))
+            seen = b""
+            with system.open_input_stream(place) as file:
+                while True:
+                    more = file.read(block)
+                    seen += more
+                    lines = seen.splitlines(keepends=True)
+                    whole = [x for x in lines if x.endswith((b"\n", b"\r")) or not more]
+                    filled = next((x for x in whole if x.strip(b"\xef\xbb\xbf \t\r\n")), None)
+                    if filled is not None or not more:
+                        break
+            try:
+                text = None if filled is None else filled.decode("utf-8-sig").rstrip("\r\n")
+            except UnicodeDecodeError:
+                return None, True
+            return (None, True) if b"\0" in seen else (text, False)
+
+        for batch in batches:
+            found = [head(p) for p in batch.column(1).to_pylist()]
+            columns = [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.bool_())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], ["sheet", "path", "line", "damaged"])
+
+    return files.mapInArrow(read, "sheet string, path string, line string, damaged boolean")
+
+
+def header_lines(spark: SparkSession, folder: str) -> dict[str, str]:
+    """The first filled line of every sheet that can be read; empty and damaged sheets have none."""
+    first = sheet_heads(spark, folder).groupBy("sheet").agg(F.min_by("line", F.when(F.col("line").isNotNull(), F.col("path"))).alias("line"), F.bool_or("damaged").alias("damaged"))
+    return {r.sheet: r.line for r in first.where("line IS NOT NULL AND NOT damaged").collect()}
+
+
+def damaged_sheets(spark: SparkSession, folder: str) -> DataFrame:
+    """(sheet) of the sheets that a scan skips because a file of theirs is no text."""
+    return sheet_heads(spark, folder).where("damaged").select("sheet").distinct()
+
+
+def header_names(line: str, case_sensitive: bool = False) -> tuple[str, ...]:
+    """Column names of a header line without escapes as a CSV scan gives them: unnamed ones by place, repeated ones numbered."""
+    names = next(csv.reader([line]))
+    folded = names if case_sensitive else [n.lower() for n in names]
+    return tuple(f"_c{i}" if not n else f"{n}{i}" if folded.count(folded[i]) > 1 else n for i, n in enumerate(names))
 
 
 def scan_sheets(spark: SparkSession, folder: str, sheets: Sequence[str] | None = None) -> DataFrame:
     """All sheets by column name, absent columns NULL, with ``_sheet`` telling where a row came from.
 
     Sheets with the same header share one scan, so jobs and plan grow with the number of different
-    headers, not of files. A sheet without a readable header is skipped.
+    headers, not of files. Only headers are read beforehand. An empty sheet is skipped, as is one
+    that is no text; ``damaged_sheets`` lists these.
     """
     root = folder.rstrip("/")
     by_line: dict[str, list[str]] = defaultdict(list)
@@ -91,8 +146,13 @@ def scan_sheets(spark: SparkSession, folder: str, sheets: Sequence[str] | None =
         if sheet in lines:
             by_line[lines[sheet]].append(f"{root}/{sheet}")
     by_header: dict[tuple[str, ...], list[str]] = defaultdict(list)
-    for paths in by_line.values():  # Spark's own reading of each different line
-        by_header[tuple(spark.read.option("header", True).csv(paths[0]).columns)] += paths
+    case_sensitive = spark.conf.get("spark.sql.caseSensitive") == "true"
+    for line, paths in by_line.items():
+        if '""' in line or "\\" in line:  # escapes are left to Spark's own reading
+            names = tuple(spark.read.option("header", True).csv(paths[0]).columns)
+        else:
+            names = header_names(line, case_sensitive)
+        by_header[names] += paths
     if not by_header:
         raise ValueError(f"no readable sheet in {folder}")
     scans = [
