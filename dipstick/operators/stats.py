@@ -361,23 +361,49 @@ def correlations(df: DataFrame, features: Sequence[str], target: str = "Target",
     )
 
 
+def _cross_products(df: DataFrame, features: Sequence[str]) -> DataFrame:
+    """One row per station and pattern of known features: count, sums, products, least and largest values.
+
+    The products of all pairs of a row are added in one buffer, so a row stays one row, and every task
+    sends one buffer a station. Values are taken from those of some row: sums near zero keep their digits.
+    """
+    xs = [F.col(f).cast("double") for f in features]
+    origin = df.select(F.struct(*[x.alias(f"x{i}") for i, x in enumerate(xs)])).limit(1).scalar()
+    moved = [F.coalesce(x - F.coalesce(origin[f"x{i}"], F.lit(0.0)), F.lit(0.0)).alias(f"x{i}") for i, x in enumerate(xs)]
+    known = F.array(*[x.isNotNull() for x in xs]).alias("known")
+    pairs = [(i, j) for i in range(len(features)) for j in range(i + 1)]
+    return df.select("station_id", known, *moved).groupBy("station_id", "known").agg(
+        F.count("*").cast("double").alias("n"),
+        *[f(f"x{i}").alias(f"{name}{i}") for f, name in ((F.sum, "s"), (F.min, "lo"), (F.max, "hi")) for i in range(len(features))],
+        *[F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"p{i}_{j}") for i, j in pairs],
+    )
+
+
 def correlation_matrix(df: DataFrame, features: Sequence[str], digits: int = 6) -> DataFrame:
-    """Long-form matrix; each pair of features is computed once, the mirror half comes from it."""
+    """Long-form matrix over complete pairs; each pair of features is computed once, the mirror half comes from it."""
     pairs = [(i, j) for i in range(len(features)) for j in range(i + 1)]
-    both = F.array(
+    cells = {"lo_x": "lo{0}", "hi_x": "hi{0}", "lo_y": "lo{1}", "hi_y": "hi{1}", "x": "s{0}", "y": "s{1}", "xx": "p{0}_{0}", "yy": "p{1}_{1}", "xy": "p{0}_{1}"}
+    each = F.array(
         *[
             F.struct(
-                F.lit(i).alias("i"), F.lit(j).alias("j"),
-                F.col(features[i]).cast("double").alias("x"), F.col(features[j]).cast("double").alias("y"),
+                F.lit(i).alias("i"), F.lit(j).alias("j"), (F.col("known")[i] & F.col("known")[j]).alias("both"), "n",
+                *[F.col(c.format(i, j)).alias(name) for name, c in cells.items()],
             )
             for i, j in pairs
         ]
     )
-    lower = (
-        df.select("station_id", F.inline(both))
-        .groupBy("station_id", "i", "j")
-        .agg(numeric.half_even(numeric.pearson(F.col("x"), F.col("y")), digits).alias("correlation"))
+    # Patterns that lack one of the two take no part, but leave a row of the pair.
+    spread = _cross_products(df, features).select("station_id", F.inline(each))
+    found = spread.groupBy("station_id", "i", "j").agg(
+        *[F.sum(F.when(F.col("both"), F.col(c))).alias(c) for c in ("n", "x", "y", "xx", "yy", "xy")],
+        *[f(F.when(F.col("both"), F.col(f"{name}_{v}"))).alias(f"{name}_{v}") for f, name in ((F.min, "lo"), (F.max, "hi")) for v in "xy"],
     )
+    n = F.col("n")
+    shared = F.col("xy") - F.col("x") * F.col("y") / n
+    own = F.sqrt(F.col("xx") - F.col("x") * F.col("x") / n) * F.sqrt(F.col("yy") - F.col("y") * F.col("y") / n)
+    varies = (F.col("lo_x") < F.col("hi_x")) & (F.col("lo_y") < F.col("hi_y"))
+    value = F.when(varies, F.try_divide(shared, own))
+    lower = found.select("station_id", "i", "j", numeric.half_even(value, digits).alias("correlation"))
     here, there = F.struct("i", "j"), F.struct(F.col("j").alias("i"), F.col("i").alias("j"))
     sides = F.when(F.col("i") == F.col("j"), F.array(here)).otherwise(F.array(here, there))
     name = F.array(*[F.lit(f) for f in features])
