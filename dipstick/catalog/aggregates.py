@@ -9,7 +9,7 @@ from dipstick.catalog.sql import FEATURES, LEDGER, LEDGER_COLUMNS, MULTIPLIERS,
 from dipstick.catalog.windows import GAPPY, gappy
 from dipstick.config import EXPECTED_COLUMNS, PRODUCTS, SALES
 from dipstick.functions import numeric
-from dipstick.operators import profile, stats, timeline
+from dipstick.operators import profile, quantiles, stats, timeline
 from dipstick.plans import training
 
 _MONTHS = "['Jan', 'Feb', 'Mar', 'Apr', 'May', 'Jun', 'Jul', 'Aug', 'Sep', 'Oct', 'Nov', 'Dec']"
@@ -328,6 +328,25 @@ _BOUNDS = ", bounds AS (SELECT station_id, " + ", ".join(
 ) + " FROM ledger GROUP BY 1)"
 
 
+_SHARES = (0.01, 0.25, 0.5, 0.75, 0.99)
+
+
+@query(
+    "a24_quantiles_by_ranges",
+    over(
+        LEDGER,
+        " UNION ALL ".join(
+            f"""SELECT station_id, '{c}' AS "column", CAST({q} AS DOUBLE) AS share, {rnd(f'quantile_cont(CAST({c} AS DOUBLE), {q})', 4)} AS value FROM ledger GROUP BY 1"""
+            for c in SALES
+            for q in _SHARES
+        ),
+    ),
+)
+def quantiles_by_ranges(data):
+    """Quartiles and capping bounds by counted ranges: the same values, and no buffer of distinct ones."""
+    return quantiles.exact_quantiles(data.ledger, SALES, _SHARES).withColumn("value", numeric.half_even(F.col("value"), 4))
+
+
 @query(
     "a24_winsorise",
     over(
