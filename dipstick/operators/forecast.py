@@ -37,9 +37,10 @@ def last_state(df: DataFrame, cfg: Tank = SERVE) -> DataFrame:
     """One row per station: last day, seed stock, last lags, recent sales, days since refill.
 
     Everything comes from the last seven rows and two aggregates; the history is not collected.
-    A ledger without closing stock starts from ``cfg.unknown_closing``.
+    A ledger without closing stock starts from ``cfg.unknown_closing``; its last closing is then the seed stock itself.
     """
-    if "Closing_Stock" not in df.columns:
+    known = "Closing_Stock" in df.columns
+    if not known:
         df = df.withColumn("Closing_Stock", F.lit(cfg.unknown_closing))
     # The seed trims the label, the count of days since a refill does not.
     if "Refill_Required" in df.columns:
@@ -63,7 +64,8 @@ def last_state(df: DataFrame, cfg: Tank = SERVE) -> DataFrame:
         F.avg("Total_Sold").alias("mean_sold"),
     )
     return state.select(
-        "station_id", "last_date", seed_stock(cfg).alias("seed_stock"), "last_closing", "recent_sales",
+        "station_id", "last_date", seed_stock(cfg).alias("seed_stock"),
+        (F.col("last_closing") if known else seed_stock(cfg)).alias("last_closing"), "recent_sales",
         F.element_at("recent_sales", -1).alias("lag1"),
         F.coalesce(F.try_element_at("recent_sales", F.lit(-2)), F.element_at("recent_sales", -1)).alias("lag2"),
         "days_since", "mean_sold",

@@ -302,6 +302,14 @@ def test_padded_label_fills_the_tank_but_is_no_refill_row(spark):
     assert (state.seed_stock, state.days_since) == (12000, 2)
 
 
+@pytest.mark.parametrize("label, stock", [("Yes", 12000), ("No", 3000)])
+def test_last_closing_of_a_ledger_without_closing_stock(spark, label, stock):
+    """After a refill day the lag of the closing stock starts from the full tank as well."""
+    df = spark.createDataFrame([("s", D(2024, 1, 1), 100, label)], "station_id string, Date date, Total_Sold bigint, Refill_Required string")
+    state = forecast.last_state(df, SERVE).first()
+    assert (state.seed_stock, state.last_closing) == (stock, stock)
+
+
 def test_report_rows(ledger):
     f = features.normalise(ledger)
     walked = forecast.walk(forecast.seeded_state(f), forecast.SIMULATE)
