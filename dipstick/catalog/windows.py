@@ -8,7 +8,7 @@ from dipstick.catalog.base import query
 from dipstick.catalog.sql import FEATURES, LEDGER, LEDGER_COLUMNS, PROFILE, STATE, over, rnd, walk
 from dipstick.config import SERVE
 from dipstick.functions import numeric
-from dipstick.operators import clean, features, forecast, profile, timeline
+from dipstick.operators import blocks, clean, features, forecast, profile, timeline
 from dipstick.sources import readers, sinks
 
 _W = 'PARTITION BY station_id ORDER BY "Date"'
@@ -31,6 +31,19 @@ def rolling_mean(data):
     )
 
 
+@query(
+    "w01_rolling_mean_by_blocks",
+    over(
+        LEDGER,
+        f"""SELECT station_id, "Date", {rnd('r', 2)} AS rolling FROM (
+          SELECT *, avg(Total_Sold) OVER ({_W} ROWS BETWEEN 6 PRECEDING AND CURRENT ROW) AS r FROM ledger)""",
+    ),
+)
+def rolling_mean_by_blocks(data):
+    """The same with a station's days dealt into blocks of 90 days, each with the six rows before it."""
+    return blocks.trailing_mean(data.ledger.select("station_id", "Date", "Total_Sold"), "Total_Sold", "rolling", 7, 2, 90).drop("Total_Sold")
+
+
 _LAG_SQL = over(
     LEDGER,
     """SELECT station_id, "Date", {x} AS {name} FROM (SELECT *,
@@ -261,6 +274,12 @@ def _fill_sql(columns: str) -> str:
     )
 
 
+@query("w19_last_known_by_blocks", _fill_sql("last_value(Closing_Stock IGNORE NULLS) OVER w AS Closing_Stock"))
+def last_known_by_blocks(data):
+    """The same with a station's days dealt into blocks of 90 days."""
+    return blocks.last_known(gappy(data.ledger), ["Closing_Stock"], 90).select("station_id", "Date", "Closing_Stock")
+
+
 @query("w19_last_known", _fill_sql("last_value(Closing_Stock IGNORE NULLS) OVER w AS Closing_Stock"))
 def last_known(data):
     return gappy(data.ledger).select("station_id", "Date", timeline.last_known("Closing_Stock").alias("Closing_Stock"))
