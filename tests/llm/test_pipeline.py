@@ -88,3 +88,13 @@ def test_contaminated_rows_go_by_row(spark):
     docs = spark.createDataFrame([(*r, "en", "s", 1) for r in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
     left = corpus_pipeline.benchmark_decontamination(spark, docs, FOLDER).collect()
     assert sorted(r.text for r in left) == ["a clean text", "another clean text"]
+
+
+def test_columns_named_like_the_digest_and_maps_stay(spark):
+    words = "the quick brown fox jumps over a lazy dog and then some other animals come along to see what is going on here today"
+    rows = [(i, f"{words} {i} {'abc ' * i}", "en", "s", 1, f"mine {i}", {"b": i, "a": 1}) for i in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint, _digest string, about map<string,int>")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, FOLDER)
+        found = out.collect()
+        assert out.columns == docs.columns and found and all(r._digest == f"mine {r.doc_id}" and r.about == {"b": r.doc_id, "a": 1} for r in found)
