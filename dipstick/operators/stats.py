@@ -382,18 +382,20 @@ def _cross_products(df: DataFrame, features: Sequence[str]) -> DataFrame:
 def correlation_matrix(df: DataFrame, features: Sequence[str], digits: int = 6) -> DataFrame:
     """Long-form matrix over complete pairs; each pair of features is computed once, the mirror half comes from it."""
     pairs = [(i, j) for i in range(len(features)) for j in range(i + 1)]
-    cells = {"lo_x": "lo{0}", "hi_x": "hi{0}", "lo_y": "lo{1}", "hi_y": "hi{1}", "x": "s{0}", "y": "s{1}", "xx": "p{0}_{0}", "yy": "p{1}_{1}", "xy": "p{0}_{1}"}
-    each = F.array(
-        *[
-            F.struct(
-                F.lit(i).alias("i"), F.lit(j).alias("j"), (F.col("known")[i] & F.col("known")[j]).alias("both"), "n",
-                *[F.col(c.format(i, j)).alias(name) for name, c in cells.items()],
-            )
-            for i, j in pairs
-        ]
-    )
+    at = {pair: n for n, pair in enumerate(pairs)}
+    packed = _cross_products(df, features).select(
+        "station_id", "known", "n",
+        *[F.array(*[f"{name}{i}" for i in range(len(features))]).alias(name) for name in ("s", "lo", "hi")],
+        F.array(*[f"p{i}_{j}" for i, j in pairs]).alias("p"),
+        F.explode(F.array(*[F.struct(*[F.lit(v).alias(c) for c, v in zip(("i", "j", "xx", "yy", "xy"), (i, j, at[i, i], at[j, j], at[i, j]))]) for i, j in pairs])).alias("at"),
+    )
+    i, j = F.col("at.i"), F.col("at.j")
     # Patterns that lack one of the two take no part, but leave a row of the pair.
-    spread = _cross_products(df, features).select("station_id", F.inline(each))
+    spread = packed.select(
+        "station_id", i.alias("i"), j.alias("j"), (F.get("known", i) & F.get("known", j)).alias("both"), "n",
+        F.get("s", i).alias("x"), F.get("s", j).alias("y"), *[F.get("p", F.col(f"at.{c}")).alias(c) for c in ("xx", "yy", "xy")],
+        *[F.get(end, k).alias(f"{end}_{v}") for end in ("lo", "hi") for v, k in (("x", i), ("y", j))],
+    )
     found = spread.groupBy("station_id", "i", "j").agg(
         *[F.sum(F.when(F.col("both"), F.col(c))).alias(c) for c in ("n", "x", "y", "xx", "yy", "xy")],
         *[f(F.when(F.col("both"), F.col(f"{name}_{v}"))).alias(f"{name}_{v}") for f, name in ((F.min, "lo"), (F.max, "hi")) for v in "xy"],
