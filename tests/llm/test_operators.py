@@ -198,13 +198,74 @@ def test_log_bilinear_is_normalised_and_learns(spark):
         at = rng.randrange(30)
         texts.append(" ".join(nouns[(at + k) % 30] for k in range(60)))
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
-    rows = language_model.score(df, vocabulary_size=40, dim=16, rounds=60).where("held_out").collect()
+    rows = language_model.score(df, vocabulary_size=40, dim=16, rounds=8, slices=1).where("held_out").collect()
     assert sum(r.score for r in rows) > 0.8 * sum(r.base_score for r in rows)
-    model = language_model.LogBilinear(9, 4, np.arange(9.0))
-    model.load(np.random.default_rng(1).normal(size=len(model.flat())))
-    one, two, norm = model.tables()
-    total = np.exp(one[:, None, :] + two[None, :, :] - norm[:, :, None]).sum(axis=2)
-    assert total == pytest.approx(np.ones((9, 9)))
+    assert all(r.n_own == r.n_tokens for r in rows)
+
+
+def _any_model(size: int, dim: int = 5):
+    model = language_model.LogBilinear(dim, np.arange(float(size)))
+    return model.load(np.random.default_rng(1).normal(size=len(model.flat())))
+
+
+@pytest.mark.parametrize("size", [2, 3, 23, 400])
+def test_log_bilinear_is_normalised_over_all_words(size):
+    words = np.arange(size)
+    for a, b in ((0, 1), (size - 1, 0)):
+        found = _any_model(size).log_probs(np.full(size, a), np.full(size, b), words, block=7)
+        assert np.exp(found).sum() == pytest.approx(1, abs=1e-5)
+
+
+def test_log_probabilities_against_plain_sums():
+    model, rng = _any_model(40), np.random.default_rng(3)
+    one, two, word = rng.integers(0, 40, (3, 200))
+    p = {k: v.astype(float) for k, v in model.parts.items()}
+    want = []
+    for a, b, w in zip(one, two, word):
+        q = np.append(p["first"][a] + p["second"][b], 1)
+        classes = [0 if x == 0 else 1 + (x - 1) // model.width for x in range(40)]
+        e = [math.exp(q @ p["out"][40 + c]) for c in range(max(classes) + 1)]
+        own = classes[w]
+        inside = sum(math.exp(q @ p["out"][x]) for x in range(40) if classes[x] == own)
+        want.append(math.log(e[own] / sum(e)) + q @ p["out"][w] - math.log(inside))
+    assert model.log_probs(one, two, word, block=64) == pytest.approx(want, abs=1e-4)
+
+
+def test_scores_do_not_depend_on_the_partitioning(spark, docs):
+    def scored(df):
+        rows = language_model.score(df, share=100, shard_tokens=500).select("doc_id", "n_tokens", "base_score", "score").collect()
+        return sorted(map(tuple, rows), key=lambda r: (str(r[0]), *r[1:3]))
+
+    few, many = scored(docs.coalesce(1)), scored(docs.repartition(7))
+    assert [r[:2] for r in few] == [r[:2] for r in many]
+    assert [r[3] for r in few] == pytest.approx([r[3] for r in many], rel=1e-6)
+
+
+def test_copies_are_dealt_over_shards(spark):
+    """One text is most of the corpus; its tokens weigh as much as its rows would, in every shard."""
+    texts = [(2 * i + 1, "a b c d" if i % 4 else f"e f g{i % 8}") for i in range(400)]
+    df = spark.createDataFrame(texts, "doc_id bigint, text string")
+    rows = language_model.score(df, share=100, shard_tokens=100, rounds=4).collect()
+    assert len(rows) == 400
+    by_text = {}
+    for r in rows:
+        by_text.setdefault(texts[(r.doc_id - 1) // 2][1], set()).add((round(r.score, 9), round(r.base_score, 9)))
+    assert all(len(v) == 1 for v in by_text.values())
+    [(own, base)] = by_text["a b c d"]
+    assert own > 0.6 * base
+
+
+def test_vocabulary_grows_with_the_corpus(spark):
+    def own_words(n):
+        rng = random.Random(2)
+        draws = [int(rng.paretovariate(1)) for _ in range(n)]
+        rows = [(i, " ".join(f"w{w}" for w in draws[50 * i : 50 * i + 50])) for i in range(n // 50)]
+        df = spark.createDataFrame(rows, "doc_id bigint, text string")
+        got = language_model.score(df, share=2).agg(F.sum("n_own"), F.sum("n_tokens")).first()
+        return got[0] / got[1]
+
+    small, large = own_words(2000), own_words(40000)
+    assert 0.5 < small < large
 
 
 def test_common_words_do_not_change_scores(docs):
