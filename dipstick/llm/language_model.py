@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dipstick.llm.common import by_value, kept, lower_ascii, pieces, text_of
+from dipstick.llm.common import by_value, kept, pieces, text_of
 
 by_value(__name__)
 
@@ -22,8 +22,13 @@ ALPHA = 0.1
 LN10 = math.log(10)
 
 
-def tokens_of(text: str) -> list[bytes]:
-    return [*text.encode().split(), END]
+def tokens_of(text: bytes) -> list[bytes]:
+    """Words of a text in UTF-8; lower case and white space of bytes are those of ASCII."""
+    return [*text.lower().split(), END]
+
+
+def _texts(batch: pa.RecordBatch) -> list[bytes]:
+    return batch.column(1).cast(pa.binary()).to_pylist()
 
 
 def held_out(doc_id) -> bool:
@@ -31,7 +36,7 @@ def held_out(doc_id) -> bool:
 
 
 def _plain(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).alias("doc_id"), lower_ascii(text_of(text_col)).alias("text"))
+    return docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
 
 
 def word_counts(plain: DataFrame, flush: int = 500_000) -> DataFrame:
@@ -47,7 +52,7 @@ def word_counts(plain: DataFrame, flush: int = 500_000) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*part), schema)], schema=schema)
 
         for batch in pieces(batches):
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for doc_id, text in zip(batch.column(0).to_pylist(), _texts(batch)):
                 if not held_out(doc_id):
                     seen.update(tokens_of(text))
             if len(seen) > flush:
@@ -88,6 +93,10 @@ class LogBilinear:
     def class_of(self, codes: np.ndarray) -> np.ndarray:
         return np.where(codes == 0, 0, 1 + (codes - 1) // self.width)
 
+    def order(self, codes: np.ndarray) -> np.ndarray:
+        """Order of codes, ties as they stand; two bytes are sorted by their digits."""
+        return np.argsort(codes.astype(np.uint16) if len(self.log_noise) <= 1 << 16 else codes, kind="stable")
+
     def flat(self) -> np.ndarray:
         return np.concatenate([p.ravel() for p in self.parts.values()])
 
@@ -122,7 +131,7 @@ class LogBilinear:
             return weight / (1 + np.exp(np.clip(np.einsum("ij,ij->i", q, vectors) - self.log_noise[rows] - offset, -30, 30)))
 
         for one, two, word, weight in batches:
-            order = np.argsort(word, kind="stable")
+            order = self.order(word)
             one, two, word, weight = one[order], two[order], word[order], weight[order].astype(np.float32)
             seen += float(weight.sum(dtype=np.float64))
             q = self.predict(one, two)
@@ -131,9 +140,10 @@ class LogBilinear:
             present = classes[runs]
 
             rows = size + classes
-            some = pull(q, out[rows], rows, weight)
-            back = some[:, None] * out[rows]
-            touched = [(size + present, np.add.reduceat(some[:, None] * q, runs))]
+            vectors = out[rows]
+            some = pull(q, vectors, rows, weight)
+            back = some[:, None] * vectors
+            touched = [(size + present, np.stack([some[a:b] @ q[a:b] for a, b in zip(runs, [*runs[1:], len(word)])]))]
             drawn = size + np.minimum(np.searchsorted(self.class_cum, rng.random(noise)), len(self.class_cum) - 1)
             some = force(q, out[drawn], drawn) * weight[:, None]
             back += some @ out[drawn]
@@ -151,14 +161,15 @@ class LogBilinear:
             inner = int(np.searchsorted(word, 1))
             if inner < len(word):
                 q_in, w = q[inner:], word[inner:]
-                some = pull(q_in, out[w], w, weight[inner:])
-                back[inner:] += some[:, None] * out[w]
+                vectors = out[w]
+                some = pull(q_in, vectors, w, weight[inner:])
+                back[inner:] += some[:, None] * vectors
                 at = _runs(w)
                 touched.append((w[at], np.add.reduceat(some[:, None] * q_in, at)))
 
             grads = {"first": (one, back[:, :-1]), "second": (two, back[:, :-1]), "out": tuple(np.concatenate(x) for x in zip(*touched))}
             for name, (rows, g) in grads.items():
-                order = np.argsort(rows, kind="stable")
+                order = self.order(rows)
                 at = _runs(rows[order])
                 rows, g = rows[order][at], np.add.reduceat(g[order], at)
                 total = sums[name][rows] + g * g
@@ -166,19 +177,19 @@ class LogBilinear:
                 self.parts[name][rows] += np.float32(rate) * g / np.sqrt(total)
         return seen
 
-    def log_probs(self, one: np.ndarray, two: np.ndarray, word: np.ndarray, block: int = 1 << 14) -> np.ndarray:
+    def log_probs(self, one: np.ndarray, two: np.ndarray, word: np.ndarray, block: int = 1 << 15) -> np.ndarray:
         """Normalised log-probability of every token."""
         out, size, found = self.parts["out"], self.size, np.empty(len(word))
         for at in range(0, len(word), block):
-            order = np.argsort(word[at : at + block], kind="stable") + at
+            order = self.order(word[at : at + block]) + at
             q, w = self.predict(one[order], two[order]), word[order]
             classes = self.class_of(w)
-            got = _log_softmax_at(q @ out[size:].T, classes)
+            got = np.concatenate([_log_softmax_at(out[size:] @ q[a : a + 2048].T, classes[a : a + 2048]) for a in range(0, len(w), 2048)])
             runs = _runs(classes)
             for start, end in zip(runs, [*runs[1:], len(w)]):
                 if c := classes[start]:
                     low, high = self.starts[c], self.starts[c + 1]
-                    got[start:end] += _log_softmax_at(q[start:end] @ out[low:high].T, w[start:end] - low)
+                    got[start:end] += _log_softmax_at(out[low:high] @ q[start:end].T, w[start:end] - low)
             found[order] = got
         return found
 
@@ -188,11 +199,12 @@ def _runs(ordered: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
 
 
-def _log_softmax_at(scores: np.ndarray, column: np.ndarray) -> np.ndarray:
-    own = scores[np.arange(len(scores)), column]
-    top = scores.max(axis=1)
-    scores -= top[:, None]
-    return own - top - np.log(np.exp(scores, out=scores).sum(axis=1))
+def _log_softmax_at(scores: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """Log share of the named row in each column: sums run down the columns, next to each other in memory."""
+    own = scores[row, np.arange(scores.shape[1])]
+    top = scores.max(axis=0)
+    scores -= top
+    return own - top - np.log(np.exp(scores, out=scores).sum(axis=0))
 
 
 def _contexts(codes: np.ndarray, lengths: np.ndarray, end: int):
@@ -217,7 +229,7 @@ def _added(parts: pa.Table) -> tuple[np.ndarray, float]:
 
 
 def train_model(
-    texts: DataFrame, counts: np.ndarray, n_train: int, dim: int, rounds: int, slices: int, shard_tokens: int, batch_size: int = 1 << 14
+    texts: DataFrame, counts: np.ndarray, n_train: int, dim: int, rounds: int, slices: int, shard_tokens: int, batch_size: int = 1 << 15
 ) -> LogBilinear:
     """Trains on ``texts`` (codes binary), rows of 32-bit codes, all of them ``rounds`` times.
 
@@ -340,7 +352,7 @@ def score(
             known[i] = table.get(w, 0)
         logs = np.log10(known + ALPHA)
         for batch in pieces(batches):
-            ids, texts = batch.column(0).to_pylist(), [tokens_of(t) for t in batch.column(1).to_pylist()]
+            ids, texts = batch.column(0).to_pylist(), [tokens_of(t) for t in _texts(batch)]
             lengths = np.fromiter(map(len, texts), np.int64, len(texts))
             words = list(chain.from_iterable(texts))
             at = np.fromiter(map(place.get, words, repeat(0)), np.int64, len(words))
