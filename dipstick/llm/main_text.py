@@ -365,19 +365,41 @@ def host_of(url: Column) -> Column:
     return F.nullif(host, F.lit(""))
 
 
-def extract(pages: DataFrame, share: float = 0.8, least: int = 5) -> DataFrame:
+# Containers and their classes; what a page says stands inside them.
+_CONTAINER = r"""(?i)<(?:body|header|nav|main|article|section|aside|footer|div|form|table)\b(?:[^>]*?\bclass\s*=\s*(?:"[^">]*"|'[^'>]*'|[^\s>"']+))?"""
+
+
+def layout_of(html: Column) -> Column:
+    """Hash of the set of containers in the markup with their classes, numbers left out: pages of one layout share it."""
+    found = F.array_sort(F.array_distinct(F.regexp_extract_all(html, F.lit(_CONTAINER), F.lit(0))))
+    return F.xxhash64(F.regexp_replace(F.array_join(found, ""), "[0-9]+", ""))
+
+
+def _of_layout(table: str) -> Column:
+    """A page's entry among its host's, by its layout, else that of the host's commonest layout."""
+
+    def entry(layout: str) -> Column:
+        return F.get(F.filter(table, lambda s: s["layout"] == F.col(layout)), F.lit(0))
+
+    return F.coalesce(entry("layout"), entry("usual"))
+
+
+def extract(pages: DataFrame, share: float = 0.8, least: int = 5, layouts: int = 20) -> DataFrame:
     """(page_id, url, text, n_chars) of every row: the article, its blocks joined by line ends.
 
-    A host's first page (smallest id with markup) is its seed. Every page's element tree is aligned
-    with the seed's by simple tree matching. An element that has one and the same text on ``share``
-    of the host's different pages, ``least`` pages or more, is template; all others are slots, whose
+    A layout is the set of a page's containers and their classes. The commonest layout of a host, and each other that
+    at least ``least`` different pages and one in ``layouts`` of the host's have, has the first of its pages (smallest id)
+    as seed; pages of rarer layouts go with the commonest. So an odd first page, or a second
+    layout, does not hide the template of the rest. Every page's element tree is aligned
+    with its seed's by simple tree matching. An element that has one and the same text on ``share``
+    of the different pages of that seed, ``least`` pages or more, is template; all others are slots, whose
     varying text is content. Elements that HTML itself or their names mark as menu, header, footer,
     sidebar, notice, advert, form, script, style or comment are taken out beforehand; where a page
     has article or main elements, content is what they hold. The slots are the answer, be they short
-    or empty. Only where a host's different pages have at most half as many different slot contents
+    or empty. Only where the different pages of a seed have at most half as many different slot contents
     as there are pages, they are copies of one text, and it stays on all of them.
 
-    One row per host (its seed and its template) meets the pages: broadcast while its measured size
+    One row per host (its seeds, no more than ``layouts`` + 1, and their templates) meets the pages: broadcast while its measured size
     allows, else by a join that is split where a host is hot. Copies of a page count once. Trees that
     nest deeper than ``DEPTH`` are flattened there, as browsers do.
 
@@ -385,28 +407,36 @@ def extract(pages: DataFrame, share: float = 0.8, least: int = 5) -> DataFrame:
     repeated rows are answered row by row; an empty table gives no rows.
     """
     rows = pages.select(F.col("page_id"), F.col("url"), host_of(F.col("url").cast("string")).alias("host"), text_of("html").alias("html"))
+    marked = rows.where(F.col("host").isNotNull() & F.col("html").contains("<")).withColumn("layout", layout_of(F.col("html")))
+    sizes = marked.select("host", "layout", F.xxhash64("html").alias("page")).distinct().groupBy("host", "layout").agg(F.count("*").alias("n"))
+    sizes = kept(sizes, "layouts")
+    hosts = sizes.groupBy("host").agg(F.max_by("layout", F.struct("n", "layout")).alias("usual"), F.sum("n").alias("n_pages"))
+    large = (F.col("layout") == F.col("usual")) | ((F.col("n") >= least) & (F.col("n") * layouts >= F.col("n_pages")))
+    chosen = kept(sizes.join(hosts, "host").where(large).select("host", "layout", "usual"), "chosen-layouts")
     first = F.min_by("html", F.struct("page_id", F.xxhash64("html"))).alias("seed")
-    seeds = kept(rows.where(F.col("host").isNotNull() & F.col("html").contains("<")).groupBy("host").agg(first), "seeds")
-    seeded = rows.join(seeds, "host", "left")
+    seeds = kept(marked.join(chosen, ["host", "layout"]).groupBy("host", "layout", "usual").agg(first), "seeds")
+    by_host = seeds.groupBy("host").agg(F.first("usual").alias("usual"), F.collect_list(F.struct("layout", "seed")).alias("seeds"))
+    seeded = marked.join(kept(by_host, "host-seeds"), "host").select("host", "html", _of_layout("seeds").alias("own"))
 
     def survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
             out = []
-            for host, page, seed in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            for host, page, seed, layout in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 found, numbers = _aligned(page, host, seed)
                 whole = _hash("\n".join(text for _, text in found))
-                out += [(host, -1, 0, whole)] + [(host, n, _hash(text), whole) for (_, text), n in zip(found, numbers) if n >= 0]
-            columns = list(zip(*out)) or [[]] * 4
-            kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["host", "node", "text", "page"])
-
-    seen = seeded.where(F.col("seed").isNotNull()).select("host", "html", "seed").mapInArrow(survey, "host string, node bigint, text bigint, page bigint")
-    counts = kept(seen.distinct().groupBy("host", "node", "text").agg(F.count("*").alias("n")), "slots")
-    totals = counts.where("node = -1").select("host", F.col("n").alias("n_pages"))
-    constant = counts.where("node >= 0").join(totals, "host").where((F.col("n") >= least) & (F.col("n") >= F.lit(share) * F.col("n_pages")))
+                out += [(host, layout, -1, 0, whole)] + [(host, layout, n, _hash(text), whole) for (_, text), n in zip(found, numbers) if n >= 0]
+            columns = list(zip(*out)) or [[]] * 5
+            kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["host", "layout", "node", "text", "page"])
+
+    seen = seeded.select("host", "html", "own.seed", "own.layout").mapInArrow(survey, "host string, layout bigint, node bigint, text bigint, page bigint")
+    counts = kept(seen.distinct().groupBy("host", "layout", "node", "text").agg(F.count("*").alias("n")), "slots")
+    totals = counts.where("node = -1").select("host", "layout", F.col("n").alias("n_pages"))
+    constant = counts.where("node >= 0").join(totals, ["host", "layout"]).where((F.col("n") >= least) & (F.col("n") >= F.lit(share) * F.col("n_pages")))
     # At most 1 / share texts for each element of the seed.
-    template = constant.groupBy("host").agg(F.collect_list(F.struct("node", "text")).alias("template"))
-    wrappers = kept(seeds.join(template, "host", "left"), "wrappers")
+    template = constant.groupBy("host", "layout").agg(F.collect_list(F.struct("node", "text")).alias("template"))
+    entry = F.collect_list(F.struct("layout", "seed", "template")).alias("wrappers")
+    wrappers = kept(seeds.join(template, ["host", "layout"], "left").groupBy("host").agg(F.first("usual").alias("usual"), entry), "wrappers")
 
     def content(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
@@ -421,19 +451,21 @@ def extract(pages: DataFrame, share: float = 0.8, least: int = 5) -> DataFrame:
                 cuts.append(cut or None)
                 hashes.append((_hash(whole), _hash(slots)))
             numbers = [pa.array([h[i] for h in hashes], pa.int64()) for i in range(2)]
-            columns = [batch.column(0), batch.column(4), batch.column(5), pa.array(wholes, pa.string()), pa.array(cuts, pa.list_(pa.int32())), *numbers]
-            yield pa.RecordBatch.from_arrays(columns, ["host", "page_id", "url", "whole", "cut", "page", "content"])
+            columns = [batch.column(0), batch.column(6), batch.column(4), batch.column(5), pa.array(wholes, pa.string()), pa.array(cuts, pa.list_(pa.int32())), *numbers]
+            yield pa.RecordBatch.from_arrays(columns, ["host", "layout", "page_id", "url", "whole", "cut", "page", "content"])
 
-    wrapped = rows.join(wrappers, "host", "left").select("host", "html", "seed", "template", "page_id", "url")
+    wrapped = rows.withColumn("layout", layout_of(F.col("html"))).join(wrappers, "host", "left").withColumn("own", _of_layout("wrappers"))
+    wrapped = wrapped.select("host", "html", "own.seed", "own.template", "page_id", "url", "own.layout")
     kinds = dict(pages.dtypes)
-    stored = f"host string, page_id {kinds['page_id']}, url {kinds['url']}, whole string, cut array<int>, page bigint, content bigint"
+    stored = f"host string, layout bigint, page_id {kinds['page_id']}, url {kinds['url']}, whole string, cut array<int>, page bigint, content bigint"
     taken = kept(wrapped.mapInArrow(content, stored), "contents")
-    # Pages and their slot contents, each counted once by its hash, by hosts where template was taken out.
-    cut = taken.where("cut IS NOT NULL").select("host").distinct()
-    each = taken.select("host", "page", "content").distinct().join(cut, "host", "left_semi")
-    contents = each.groupBy("host", "content").agg(F.count("*").alias("n")).groupBy("host").agg(F.count("*").alias("n_contents"), F.sum("n").alias("n_pages"))
-    copies = kept(contents.where("2 * n_contents <= n_pages").select("host", F.lit(True).alias("copies")), "copies")
+    # Pages and their slot contents, each counted once by its hash, by seeds where template was taken out.
+    group = ["host", "layout"]
+    cut = taken.where("cut IS NOT NULL").select(*group).distinct()
+    each = taken.select(*group, "page", "content").distinct().join(cut, group, "left_semi")
+    contents = each.groupBy(*group, "content").agg(F.count("*").alias("n")).groupBy(*group).agg(F.count("*").alias("n_contents"), F.sum("n").alias("n_pages"))
+    copies = kept(contents.where("2 * n_contents <= n_pages").select(*group, F.lit(True).alias("copies")), "copies")
     # No block holds a line end, so the blocks of a text are its lines.
     slots = F.array_join(F.filter(F.split("whole", "\n"), lambda _, i: ~F.array_contains("cut", i)), "\n")
     text = F.when(F.col("copies") | F.col("cut").isNull(), F.col("whole")).otherwise(slots).alias("text")
-    return taken.join(copies, "host", "left").select("page_id", "url", text).withColumn("n_chars", F.length("text").cast("bigint"))
+    return taken.join(copies, group, "left").select("page_id", "url", text).withColumn("n_chars", F.length("text").cast("bigint"))

@@ -437,6 +437,26 @@ def test_wrapper(spark):
     assert [text[i] for i in range(18, 23)] == ["", "loose <b> text", "", "plain words", "deep"]
 
 
+def _site(host, layout, ids):
+    """Pages without article elements: menu and notice differ by layout, the text by page."""
+    shells = {
+        "a": "<body><div class='top'>Home Shop Help</div><div class='text'><p>{}</p></div><div class='end'>All rights of shop A</div></body>",
+        "b": "<body><table class='grid'><tr><td>Left links and more</td><td><p>{}</p></td></tr></table><div class='last'>Sent to you by B</div></body>",
+        "error": "<body><div class='oops'>Not here</div></body>",
+    }
+    return [(i, f"http://{host}/{i}", shells[layout].format(f"Story number {i} of its own kind, word{i * 7} and word{i * 11}.")) for i in ids]
+
+
+def test_odd_first_page_and_two_layouts(spark):
+    pages = _site("one.org", "error", [1]) + _site("one.org", "a", range(2, 12))
+    pages += _site("two.org", "a", range(100, 112)) + _site("two.org", "b", range(112, 120))
+    df = spark.createDataFrame(pages, "page_id bigint, url string, html string")
+    text = {r.page_id: r.text for r in main_text.extract(df).collect()}
+    for i in [*range(2, 12), *range(100, 120)]:
+        assert text[i] == f"Story number {i} of its own kind, word{i * 7} and word{i * 11}.", (i, text[i])
+    assert text[1] == "Not here"
+
+
 def test_short_articles_lose_their_template(spark):
     menu = "".join(f"<div>Section {k} of our large site with a long name</div>" for k in range(9))
     short = [f"<html><body>{menu}<p>Short {i}</p></body></html>" for i in range(9)] + [f"<html><body>{menu}<p></p></body></html>"]
