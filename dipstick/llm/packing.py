@@ -40,9 +40,10 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     n = len(ids)
     padded = np.concatenate([ids.astype(np.uint64), np.zeros(240, np.uint64)])
     bits = np.zeros(len(padded), np.uint8)
-    rest, step = padded.copy(), 32
+    rest = padded.astype(np.min_scalar_type(padded.max()))  # small ids are measured in few bytes
+    step = rest.dtype.itemsize * 4
     while step:
-        high = rest >> np.uint64(step)
+        high = rest >> rest.dtype.type(step)
         bits += (high > 0).astype(np.uint8) * np.uint8(step)
         rest = np.where(high > 0, high, rest)
         step //= 2
@@ -54,7 +55,10 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             by = min(width, int(COUNTS[selector]) - width)
             running = np.maximum(running[: len(running) - by], running[by:])
             width += by
-        choice[running[:n] <= WIDTHS[selector]] = selector
+        fits = running[:n] <= WIDTHS[selector]
+        if not fits.any():  # nor will more ids in fewer bits
+            break
+        choice[fits] = selector
     step_of, starts, at = COUNTS[choice].astype(np.uint8).tobytes(), [], 0
     while at < n:
         starts.append(at)
@@ -175,7 +179,7 @@ def write_ids(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int, id
         for batch in pieces(batches):
             if writer is None:
                 writer = ShardWriter(system.open_output_stream(path))
-            ids, lengths = encoder.encode(batch.column(1).to_pylist())
+            ids, lengths = encoder.encode(batch.column(1))
             ids = np.insert(ids.astype(np.uint64), np.cumsum(lengths), np.uint64(end_id))
             writer.add(batch.column(0).to_pylist(), ids, lengths + 1)
         if writer is not None:

@@ -6,11 +6,14 @@ import json
 import os
 import re
 import string
+import unicodedata
 from array import array
 from collections.abc import Sequence
 from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from dipstick.llm.common import by_value
 
@@ -41,14 +44,24 @@ def _layout(spec: dict) -> str | None:
     return None
 
 
+def _ends_word(letter: str) -> bool:
+    """Whether this is still a letter or digit at its end in normal form and lower case, where some become letter and mark."""
+    return unicodedata.normalize("NFC", letter).lower()[-1:].isalnum()
+
+
+def _strings(values: pa.Array) -> list[str]:
+    return values.to_numpy(zero_copy_only=False).tolist()
+
+
 class PieceEncoder:
     """Encodes texts as the ``tokenizers`` library does, from the ids of their pieces.
 
     Both known layouts never merge across a boundary between white space and a word, nor between a
-    letter or digit and the ASCII punctuation that ends a word. So a text's ids are those of its
+    letter or digit (in normal form) and the ASCII punctuation that ends a word. So a text's ids are those of its
     pieces, a piece's are those of its word and its tail, and the library sees each of these once. Texts where this does not hold (special
-    strings, white space beyond ASCII) and tokenizers of another layout are encoded whole. At most
-    ``limit`` pieces are remembered; then the memory starts anew, which changes no result.
+    strings, white space beyond ASCII) and tokenizers of another layout are encoded whole. The words of many texts are
+    split, coded and cut by Arrow, so that Python meets each of them once a call. At most about
+    ``limit`` words, or 8 ids for each, are remembered; then the memory starts anew, which changes no result.
     """
 
     def __init__(self, content: str, limit: int = 1 << 20):
@@ -62,23 +75,30 @@ class PieceEncoder:
         self._reset()
 
     def _reset(self) -> None:
-        self.known: dict = {}
-        self.units: dict[str, int] = {}
-        self.ids, self.ends = array("I"), array("q", [0])
-
-    def _split(self, text: str) -> Sequence:
-        """Pieces of a text; a text that must be encoded whole is a tuple of itself, as a single piece."""
-        if self.layout is None:
-            return ((text,),)
-        if self.layout == "spaced":
-            if any(s in text for s in self.special) or not text.isascii() and _WIDE.search(text):
-                return ((text,),)
-            return _CHUNK.findall(text)
-        # Lower-casing first saves pieces; beyond ASCII it need not commute with the normal form.
-        low = text.lower() if text.isascii() else text
-        if any(s in low for s in self.special):
-            return ((text,),)
-        return low.encode().split()
+        self.units: dict[str, int] = {"": 0}  # the first row is the empty tail
+        self.ids, self.ends = array("I"), array("q", [0, 0])
+
+    def _split(self, texts: Sequence[str]) -> tuple[pa.Array, np.ndarray, dict[int, str]]:
+        """Pieces of all texts, their number for every text, and the texts to encode whole by place; these have no pieces that count."""
+        if self.layout == "words":
+            texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+            # Lower-casing first saves pieces; beyond ASCII it need not commute with the normal form.
+            low = pc.if_else(pc.string_is_ascii(texts), pc.ascii_lower(texts), texts)
+            odd = np.zeros(len(texts), bool)
+            for s in self.special:
+                odd |= pc.match_substring(low, s).to_numpy(zero_copy_only=False)
+            lists = pc.ascii_split_whitespace(pc.if_else(pa.array(odd), "", low))
+            whole = {i: texts[i].as_py() for i in np.flatnonzero(odd).tolist()}
+            return lists.flatten(), pc.list_value_length(lists).to_numpy(zero_copy_only=False), whole
+        whole, split = {}, []
+        for i, text in enumerate(texts.to_pylist() if isinstance(texts, pa.Array) else texts):
+            if self.layout is None or any(s in text for s in self.special) or not text.isascii() and _WIDE.search(text):
+                whole[i] = text
+                split.append(())
+            else:
+                split.append(_CHUNK.findall(text))
+        counts = np.fromiter(map(len, split), np.int64, len(split))
+        return pa.array(list(chain.from_iterable(split)), pa.string()), counts, whole
 
     def _whole(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -98,45 +118,39 @@ class PieceEncoder:
         self.ids.extend(chain.from_iterable(ids))
         return range(first, first + len(ids))
 
-    def _learn(self, new) -> None:
-        whole = [p for p in new if type(p) is tuple]
-        if whole:
-            self.known.update(zip(whole, self._store(self._whole([p[0] for p in whole]))))
-        pieces = [p for p in new if type(p) is not tuple]
-        if not pieces:
-            return
-        # Words hold no line break, so they are decoded in one go.
-        texts = pieces if self.layout == "spaced" else b"\n".join(pieces).decode().split("\n")
-        stems, tails = [], []
-        for text in texts:
-            stem = text.rstrip(string.punctuation)
-            if not stem or not stem[-1].isalnum():
-                stem = text
-            stems.append(stem)
-            tails.append(text[len(stem) :])
-        units = {*stems, *tails} - self.units.keys()
-        plain = [u for u in units if _PLAIN.fullmatch(u)]
-        odd = list(units.difference(plain))
+    def _learn(self, new: set[str]) -> None:
+        plain = [u for u in new if _PLAIN.fullmatch(u)]
+        odd = list(new.difference(plain))
         for some, ids in ((plain, self._words), (odd, self._whole)):
             if some:
                 self.units.update(zip(some, self._store(ids(some))))
-        row, known, ids, ends = self.units, self.known, self.ids, self.ends
-        for piece, stem, tail in zip(pieces, stems, tails):
-            if tail:
-                known[piece] = len(ends) - 1
-                for at in (row[stem], row[tail]):
-                    ids.extend(ids[ends[at] : ends[at + 1]])
-                ends.append(len(ids))
-            else:
-                known[piece] = row[stem]
+
+    def _halves(self, pieces: pa.Array) -> np.ndarray:
+        """Rows of the word and the tail of every piece, side by side; what is new is learned first."""
+        stems = pc.ascii_rtrim(pieces, string.punctuation)
+        last = pc.utf8_slice_codeunits(stems, -1).dictionary_encode()
+        ends = np.array([_ends_word(c) for c in _strings(last.dictionary)], bool)[last.indices.to_numpy()]
+        stems = pc.if_else(pa.array(ends), stems, pieces)
+        cut = np.flatnonzero(pc.not_equal(stems, pieces).to_numpy(zero_copy_only=False))
+        tails = [p[len(s) :] for p, s in zip(_strings(pieces.take(pa.array(cut))), _strings(stems.take(pa.array(cut))))]
+        coded = stems.dictionary_encode()
+        words = _strings(coded.dictionary)
+        self._learn({*words, *tails} - self.units.keys())
+        rows = np.zeros((len(pieces), 2), np.int64)
+        rows[:, 0] = np.fromiter(map(self.units.__getitem__, words), np.int64, len(words))[coded.indices.to_numpy()]
+        rows[cut, 1] = [self.units[t] for t in tails]
+        return rows
 
     def _rows(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.known) > self.limit:
+        if len(self.ends) > self.limit or len(self.ids) > 8 * self.limit:
             self._reset()
-        split = [self._split(t) for t in texts]
-        self._learn(set().union(*split) - self.known.keys())
-        counts = np.fromiter(map(len, split), np.int64, len(split))
-        rows = np.fromiter(map(self.known.__getitem__, chain.from_iterable(split)), np.int64, int(counts.sum()))
+        pieces, counts, whole = self._split(texts)
+        coded = pieces.dictionary_encode()
+        rows, counts = self._halves(coded.dictionary)[coded.indices.to_numpy()].ravel(), 2 * counts
+        if whole:
+            places = np.array(list(whole))
+            rows = np.insert(rows, np.cumsum(counts)[places], self._store(self._whole(list(whole.values()))))
+            counts[places] += 1
         return rows, counts
 
     def lengths(self, texts: Sequence[str]) -> np.ndarray:

@@ -1,5 +1,6 @@
 """Operators against plain versions, on the test tables and on rows with every oddity."""
 
+import itertools
 import math
 import random
 import re
@@ -8,6 +9,7 @@ from pathlib import Path
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -70,6 +72,28 @@ def test_pieces_give_the_library_ids(path):
         assert encoder.lengths(texts[start : start + 500]).tolist() == [len(w) for w in want[start : start + 500]]
 
 
+@pytest.mark.parametrize("path", [BYTES, WORDS])
+def test_words_and_tails_are_remembered_apart(path):
+    """Work and memory go with different words, not with their pairings with punctuation; columns are taken as they come."""
+    words, tails = ["".join(w) for w in itertools.product("abc", "def", "ghi")], ["".join(t) for t in itertools.product(".,;!", repeat=2)]
+    texts = ["", *(f"{w}{t}" for w in words for t in tails), "<|endoftext|> \n", " ", "a\tB\n"]
+    encoder, library = PieceEncoder(Path(path).read_text()), Tokenizer.from_file(path)
+    ids, lengths = encoder.encode(pa.array(["left out", *texts, "left out"]).slice(1, len(texts)))
+    want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert lengths.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+    assert len(encoder.ends) < len(words) + len(tails) + 12
+    assert [len(part) for part in encoder.encode([])] == [0, 0]
+
+
+@pytest.mark.parametrize("path", [BYTES, WORDS])
+def test_letters_that_become_letter_and_mark(path):
+    """Lower case or normal form may end such a word in a mark, which is one piece with the punctuation behind it."""
+    texts = [f"a{c}. {c}!" for c in "\u0130\u0958\u0a33\u0b5c\ufb1d\ufb4e\u1e96\u01f0\u00df\ufb03"]
+    encoder, library = PieceEncoder(Path(path).read_text()), Tokenizer.from_file(path)
+    ids, _ = encoder.encode(texts)
+    assert ids.tolist() == [i for t in texts for i in library.encode(t, add_special_tokens=False).ids]
+
+
 def test_token_counts_and_their_cache(spark, docs, rows, tmp_path):
     cache, library = str(tmp_path / "cache"), Tokenizer.from_file(BYTES)
     counted = token_counts.count_tokens(docs, BYTES, cache, limit=100)
