@@ -16,6 +16,9 @@ from dipstick.session import materialise
 # White space as the contracts define it, in a Java pattern and for Python's bytes.split().
 WHITE = r"\x20\x09-\x0D"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+# Bytes of an Arrow batch of whole texts. The JVM holds a batch twice, as vectors and as a message, in buffers that double.
+TEXT_BATCH = 4 << 20
+_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def by_value(module: str) -> None:
@@ -26,9 +29,19 @@ def by_value(module: str) -> None:
 by_value(__name__)
 
 
-def kept(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once to the shared folder and read again: lineage ends there, sizes are known."""
-    return materialise(df, name)
+def kept(df: DataFrame, name: str, texts: bool = False) -> DataFrame:
+    """``df`` written once to the shared folder and read again: lineage ends there, sizes are known.
+
+    With ``texts`` rows go to Python in batches of ``TEXT_BATCH`` bytes, unless the session names a size of its own.
+    """
+    conf = df.sparkSession.conf
+    if not texts or conf.get(_BATCH_BYTES, None) is not None:
+        return materialise(df, name)
+    conf.set(_BATCH_BYTES, str(TEXT_BATCH))
+    try:
+        return materialise(df, name)
+    finally:
+        conf.unset(_BATCH_BYTES)
 
 
 def text_of(column: str) -> Column:
@@ -40,15 +53,25 @@ def lower_ascii(text: Column) -> Column:
 
 
 def worker_memo(key, make: Callable):
-    """What ``make`` returned for ``key`` the first time in this Python worker, which serves many tasks."""
-    store = sys.modules.setdefault("_dipstick_worker", types.ModuleType("_dipstick_worker")).__dict__
+    """What ``make`` returned for ``key`` the first time in this Python worker, which serves many tasks.
+
+    One operator's keys are equal or start alike; what others left in the worker is dropped.
+    """
+    store = sys.modules.setdefault("_dipstick_worker", types.ModuleType("_dipstick_worker")).__dict__.setdefault("memo", {})
     if key not in store:
+        owner = lambda k: k[0] if isinstance(k, tuple) else k
+        for other in [k for k in store if owner(k) != owner(key)]:
+            del store[other]
         store[key] = make()
     return store[key]
 
 
 def pieces(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
-    """The batches cut into small ones, so that a task holds few texts as Python objects at a time."""
+    """The batches cut into small ones, so that a task holds few texts as Python objects at a time.
+
+    At the end Arrow gives back what it holds unused: the worker lives on.
+    """
     for batch in batches:
         for start in range(0, batch.num_rows, rows):
             yield batch.slice(start, rows)
+    pa.default_memory_pool().release_unused()

@@ -38,7 +38,7 @@ def _multipliers(n: int) -> np.ndarray:
 class Canonical:
     """Tokens of texts in canonical form: hashes of the plain form, of the form with names, of the words themselves, and kinds."""
 
-    def __init__(self, limit: int = 1 << 20):
+    def __init__(self, limit: int = 1 << 18):
         self.limit = limit
         self._reset()
 
@@ -242,6 +242,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 8, cover:
     hits = kept(
         left.join(right, ["hash", "length", "form", "canon"]).select(*pair, "doc_place", "item_place", "length", "doc_slots", "item_slots"),
         "template-hits",
+        texts=True,
     )
     row, apart = ["doc_row", "item_row"], ["slack", "number"]
     at_once, disagree = _agreeing(hits, row)

@@ -194,7 +194,7 @@ def write_ids(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int, id
         .repartitionByRange(F.col("id"), digest)
         .sortWithinPartitions(F.col("id"), digest, F.col("text"))
     )
-    return kept(ordered.mapInArrow(encode, "shard int, path string, n_docs bigint, n_ids bigint, n_bytes bigint"), "shards")
+    return kept(ordered.mapInArrow(encode, "shard int, path string, n_docs bigint, n_ids bigint, n_bytes bigint"), "shards", texts=True)
 
 
 def read_ids(shards: DataFrame, folder: str) -> DataFrame:

@@ -162,7 +162,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, distance: int = 4, id_col
     gives no rows.
     """
     more = ["root"] if carry else []
-    prints = kept(fingerprints(docs, shingle, id_col, text_col, carry), "fingerprints")
+    prints = kept(fingerprints(docs, shingle, id_col, text_col, carry), "fingerprints", texts=True)
     firsts = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
     # Written, so that the join by root reads plain rows and a large component is split there.
     named = kept(firsts.join(connected(prints, distance), "fp"), "named")

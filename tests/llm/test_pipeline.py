@@ -5,11 +5,13 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from dipstick.llm import quality, queries
+from dipstick.llm import common, decontaminate, packing, quality, queries, simhash
 from llm import plain
 from llm.test_operators import _factor
 
@@ -98,3 +100,53 @@ def test_columns_named_like_the_digest_and_maps_stay(spark):
         out = stage(spark, docs, FOLDER)
         found = out.collect()
         assert out.columns == docs.columns and found and all(r._digest == f"mine {r.doc_id}" and r.about == {"b": r.doc_id, "a": 1} for r in found)
+
+
+def test_whole_texts_go_to_python_in_small_batches(spark):
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes]), pa.array([batch.num_rows])], ["bytes", "n"])
+
+    key, texts = "spark.sql.execution.arrow.maxBytesPerBatch", spark.range(0, 6000, 1, 1).select(F.repeat(F.lit("word "), 600).alias("text"))
+    sent = texts.mapInArrow(sizes, "bytes bigint, n bigint")
+    seen = common.kept(sent, "batches", texts=True).collect()
+    assert sum(r["n"] for r in seen) == 6000 and max(r["bytes"] for r in seen) < 1.1 * common.TEXT_BATCH
+    assert spark.conf.get(key, None) is None
+    spark.conf.set(key, str(1 << 20))  # a session's own size stands
+    try:
+        assert max(r["bytes"] for r in common.kept(sent, "batches", texts=True).collect()) < 1.1 * (1 << 20)
+        assert spark.conf.get(key) == str(1 << 20)
+    finally:
+        spark.conf.unset(key)
+    with pytest.raises(Exception, match="division|DIVIDE"):  # nor does a failure leave the setting behind
+        common.kept(texts.select(F.raise_error(F.lit("division"))), "batches", texts=True)
+    assert spark.conf.get(key, None) is None
+
+
+@pytest.mark.parametrize("module", [quality, simhash, decontaminate, packing])
+def test_stages_with_texts_ask_for_small_batches(spark, module, monkeypatch):
+    asked, plain_kept = [], module.kept
+    monkeypatch.setattr(module, "kept", lambda df, name, texts=False: (asked.append((name, texts)), plain_kept(df, name, texts))[1])
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").limit(30)
+    stage = {quality: "quality_rules", simhash: "simhash_near_duplicates", decontaminate: "benchmark_decontamination", packing: "token_files"}[module]
+    dict(corpus_pipeline.STAGES)[stage](spark, docs, FOLDER).count()
+    assert [name for name, texts in asked if texts] == [{quality: "text-counts", simhash: "fingerprints", decontaminate: "template-hits", packing: "shards"}[module]]
+
+
+def test_a_worker_remembers_one_operator(monkeypatch):
+    monkeypatch.delitem(common.sys.modules, "_dipstick_worker", raising=False)
+    first = common.worker_memo("canonical", list)
+    assert common.worker_memo("canonical", list) is first
+    both = [common.worker_memo(("encoder", i), list) for i in range(2)]
+    assert [common.worker_memo(("encoder", i), list) for i in range(2)] == both and all(common.worker_memo(("encoder", i), list) is both[i] for i in range(2))
+    assert common.worker_memo("canonical", list) is not first
+
+
+def test_canonical_words_are_forgotten_in_time():
+    canon = decontaminate.Canonical()
+    words = ["".join(chr(97 + i // 26**k % 26) for k in range(4)) for i in range(400_000)]
+    for at in range(0, len(words), 50_000):
+        canon([" ".join(words[at : at + 50_000])])
+    assert len(canon.known) <= (1 << 18) + 50_000
+    again, fresh = canon([" ".join(words[:9])]), decontaminate.Canonical()([" ".join(words[:9])])
+    assert all((a == b).all() for a, b in zip(again, fresh))
