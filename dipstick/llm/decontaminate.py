@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 import re
-from array import array
+import sys
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +17,10 @@ from dipstick.llm.common import by_value, kept, pieces, text_of, worker_memo
 by_value(__name__)
 
 WORD, NUMBER, UNIT, NAME, STOP = 0, 1, 2, 3, 4
-_TOKEN = re.compile(r"[^\W\d_]+|\d+(?:[.,]\d+)*|[.!?\n]")
+# Classes of code points: words are runs of letters, numbers runs of digits, and every end stands alone.
+OTHER, LETTER, DIGIT, END = 0, 1, 2, 3
+UPPER, FIGURE = 4, 8
+ENDS = ".!?\n"
 # Unit words, known as such after a number.
 UNITS = set(
     "mm cm m km inch inches foot feet ft yard yards mile miles mg g kg gram grams kilogram kilograms ounce ounces "
@@ -29,64 +31,126 @@ UNITS = set(
 _MARK = {k: xxhash.xxh64_intdigest(f"\x00{k}") for k in (NUMBER, UNIT, NAME)}
 # Number of bits of the filter that tells tasks which windows a benchmark may hold.
 FILTER_BITS = 22
+# Runs of code points hashed at a time, and weights of the places in a run, which repeat after these.
+RUNS, WEIGHTS = 1 << 15, 1 << 10
 
 
 def _multipliers(n: int) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(f"multiplier {i}") | 1 for i in range(n)], np.uint64)
 
 
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xFF51AFD7ED558CCD)
+    return h ^ (h >> np.uint64(29))
+
+
+def _points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le"), np.uint32)
+
+
+def _code_points() -> tuple[np.ndarray, np.ndarray]:
+    """Of every code point its class, with marks of capitals and of other figures than digits (as ²), and the hash of its lower case.
+
+    Words equal in lower case have equal hashes: Python knows two forms of a small sigma, by place, which share theirs, and
+    the only letter whose lower case is two code points stands for itself.
+    """
+    size = sys.maxunicode + 1
+    known = "".join(filter(str.isalnum, map(chr, range(size))))
+    letters = "".join(re.findall(r"[^\W\d_]+", known))
+    marks, lower = np.zeros(size, np.uint8), np.arange(1, size + 1, dtype=np.uint64)
+    for chars, mark in ((letters, LETTER), ("".join(re.findall(r"\d+", known)), DIGIT), (ENDS, END)):
+        marks[_points(chars)] = mark
+    for test, mark in ((str.isupper, UPPER), (str.isdigit, FIGURE)):
+        marks[_points("".join(filter(test, letters)))] |= mark
+    for c in letters:
+        low = c.lower()
+        if low != c and len(low) == 1:
+            lower[ord(c)] = ord(low) + 1
+    lower[ord("ς")] = lower[ord("σ")]
+    return marks, _mixed(lower * np.uint64(0x9E3779B97F4A7C15))
+
+
 class Canonical:
-    """Tokens of texts in canonical form: hashes of the plain form, of the form with names, of the words themselves, and kinds."""
-
-    def __init__(self, limit: int = 1 << 18):
-        self.limit = limit
-        self._reset()
-
-    def _reset(self) -> None:
-        self.known: dict[str, int] = {}
-        self.hashes, self.kinds, self.own = array("Q"), array("b"), array("Q")
-
-    def _code(self, token: str) -> tuple[int, int]:
-        if token in ".!?\n":
-            return 0, STOP
-        if token[0].isdigit():
-            return _MARK[NUMBER], NUMBER
-        low = token.lower()
-        if low in UNITS:
-            return xxhash.xxh64_intdigest(low), UNIT
-        return xxhash.xxh64_intdigest(low), NAME if token[0].isupper() else WORD
+    """Tokens of texts in canonical form: hashes of the plain form, of the form with names, of the words themselves, and kinds.
+
+    Texts are cut and hashed as arrays of code points; no token becomes a Python object, and none is remembered.
+    """
+
+    def __init__(self):
+        self.marks, self.codes = _code_points()
+        self.weights = _multipliers(WEIGHTS)
+        units = sorted(UNITS)
+        cuts = np.cumsum([0, *map(len, units)])
+        hashes = self._hashes(_points("".join(units)), cuts[:-1], cuts[1:])
+        self.known: dict[int, str] = dict(zip(hashes.tolist(), units))
+        self.unit_hashes = np.sort(hashes)
+
+    def _hashes(self, points: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Hashes of runs that follow each other without gaps."""
+        out = np.zeros(len(begins), np.uint64)
+        for at in range(0, len(begins), RUNS):
+            first, last = begins[at : at + RUNS], ends[at : at + RUNS]
+            here = slice(first[0], last[-1])
+            place = np.arange(here.start, here.stop)
+            place -= np.repeat(first, last - first)
+            place &= WEIGHTS - 1
+            codes = self.codes[points[here]]
+            codes *= self.weights[place]
+            out[at : at + RUNS] = np.add.reduceat(codes, first - first[0])
+        return _mixed(out)
+
+    def _runs(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(begins, ends, marks of the first code point) of the runs of a class; a point or comma between digits belongs to the number."""
+        marks = self.marks[points]
+        of = marks & 3
+        inner = np.flatnonzero((points == ord(".")) | (points == ord(",")))
+        inner = inner[(inner > 0) & (inner < len(points) - 1)]
+        of[inner[(of[inner - 1] == DIGIT) & (of[inner + 1] == DIGIT)]] = DIGIT
+        edge = of == END
+        edge[:1] = True
+        edge[1:] |= of[1:] != of[:-1]
+        begins = np.flatnonzero(edge)
+        return begins, np.append(begins, len(points))[1:], marks[begins]
 
     def __call__(self, texts: list[str]):
-        """(tokens, document, plain hashes, hashes with names, literal hashes, kinds, number or unit word) without sentence ends.
+        """(begins, ends, document, plain hashes, hashes with names, literal hashes, kinds, number or unit word) without sentence ends.
 
-        A unit counts as one only after a number, a name only inside a sentence.
+        Tokens begin and end at places in the joined texts (``joined``). A unit counts as one only after a number, a name only inside a sentence.
         """
-        if len(self.known) > self.limit:
-            self._reset()
-        found = [_TOKEN.findall(t) for t in texts]
-        for token in set().union(*found) - self.known.keys():
-            code, kind = self._code(token)
-            self.known[token] = len(self.hashes)
-            self.hashes.append(code)
-            self.kinds.append(kind)
-            self.own.append(xxhash.xxh64_intdigest(token.lower()))
-        tokens = np.array(list(chain.from_iterable(found)), object)
-        n = len(tokens)
-        at = np.fromiter(map(self.known.__getitem__, tokens), np.int64, n)
-        plain, kind = np.array(self.hashes, np.uint64)[at], np.array(self.kinds, np.int8)[at]
-        doc = np.repeat(np.arange(len(texts)), [len(each) for each in found])
-        own, typed = np.array(self.own, np.uint64)[at], (kind == NUMBER) | (kind == UNIT)
+        text = joined(texts)
+        points = _points(text)
+        begins, ends, marks = self._runs(points)
+        own = self._hashes(points, begins, ends)
+        token = (marks & 3) != OTHER
+        begins, ends, marks, own = begins[token], ends[token], marks[token], own[token]
+        n = len(begins)
+        kind = np.where(marks & UPPER, np.int8(NAME), np.int8(WORD))
+        near = np.searchsorted(self.unit_hashes[1:], own, "right")
+        for at in np.flatnonzero(self.unit_hashes[near] == own).tolist():
+            if text[begins[at] : ends[at]].lower() == self.known[int(own[at])]:
+                kind[at] = UNIT
+        kind[((marks & 3) == DIGIT) | ((marks & FIGURE) > 0)] = NUMBER
+        kind[(marks & 3) == END] = STOP
+        firsts = np.searchsorted(begins, np.cumsum([0, *(len(t) + 1 for t in texts)]))
+        doc = np.repeat(np.arange(len(texts)), np.diff(firsts))
+        plain, typed = own.copy(), (kind == NUMBER) | (kind == UNIT)
         starts = np.ones(n, bool)
         starts[1:] = (kind[:-1] == STOP) | (doc[1:] != doc[:-1])
         after = np.zeros(n, bool)
         after[1:] = (kind[:-1] == NUMBER) & (doc[1:] == doc[:-1])
         kind[(kind == NAME) & starts] = WORD
         kind[(kind == UNIT) & ~after] = WORD
-        plain[kind == UNIT] = np.uint64(_MARK[UNIT])
+        for placeholder in (NUMBER, UNIT):
+            plain[kind == placeholder] = np.uint64(_MARK[placeholder])
         named = plain.copy()
         named[kind == NAME] = np.uint64(_MARK[NAME])
         real = kind != STOP
-        return tokens[real], doc[real], plain[real], named[real], own[real], kind[real], typed[real]
+        return begins[real], ends[real], doc[real], plain[real], named[real], own[real], kind[real], typed[real]
+
+
+def joined(texts: list[str]) -> str:
+    """The texts in a row, with a code point between them that is in no token."""
+    return "\0".join(texts)
 
 
 def _rolling(hashes: np.ndarray, length: int) -> np.ndarray:
@@ -100,12 +164,12 @@ def _rolling(hashes: np.ndarray, length: int) -> np.ndarray:
 
 
 def _windows(canon: Canonical, texts: list[str], wanted: list[tuple[int, int]], literal: float):
-    """For each wanted (length, form): the tokens, all windows' hashes, and which windows are templates.
+    """For each wanted (length, form): where tokens begin and end, all windows' hashes, and which windows are templates.
 
     Form 0 has placeholders for numbers and units, form 1 for names too; both need a share of
     ``literal`` words. Form 2 has none: it takes the windows with a number or unit word as they stand.
     """
-    tokens, doc, plain, named, own, kind, typed = canon(texts)
+    begins, ends, doc, plain, named, own, kind, typed = canon(texts)
     first = np.searchsorted(doc, np.arange(len(texts)))
     place = np.arange(len(doc)) - first[doc] if len(doc) else doc
     forms = ((plain, (kind == NUMBER) | (kind == UNIT)), (named, kind != WORD), (own, np.zeros(len(doc), bool)))
@@ -125,13 +189,14 @@ def _windows(canon: Canonical, texts: list[str], wanted: list[tuple[int, int]],
         if form:  # without a name, or a number or unit word, this form is the plain one
             ok &= held(typed if form == 2 else kind == NAME) > 0
         if ok.any():
-            yield tokens, doc, place, length, form, _rolling(hashes, length), slot, ok
+            yield begins, ends, doc, place, length, form, _rolling(hashes, length), slot, ok
 
 
-def _describe(tokens: np.ndarray, slot: np.ndarray, at: int, length: int) -> tuple[str, list[str]]:
-    span = range(at, at + length)
-    text = " ".join("\x01" if slot[i] else tokens[i].lower() for i in span)
-    return text, [tokens[i].lower() for i in span if slot[i]]
+def _describe(text: str, begins: np.ndarray, ends: np.ndarray, slot: np.ndarray, at: int, length: int) -> tuple[str, list[str]]:
+    span = slice(at, at + length)
+    words = [text[b:e].lower() for b, e in zip(begins[span].tolist(), ends[span].tolist())]
+    slots = slot[span].tolist()
+    return " ".join("\x01" if s else w for w, s in zip(words, slots)), [w for w, s in zip(words, slots) if s]
 
 
 _SCHEMA = pa.schema(
@@ -158,7 +223,7 @@ def windows(rows: DataFrame, window: int, wanted: list[tuple[int, int]] | None,
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             out = []
             if wanted is None:
-                sizes = [sum(t not in ".!?\n" for t in _TOKEN.findall(text)) for text in texts]
+                sizes = np.bincount(canon(texts)[2], minlength=len(texts)).tolist()
                 groups: dict[int, list[int]] = {}
                 for i, size in enumerate(sizes):
                     groups.setdefault(min(size, window), []).append(i)
@@ -167,14 +232,15 @@ def windows(rows: DataFrame, window: int, wanted: list[tuple[int, int]] | None,
                 sizes, jobs = None, [(wanted, list(range(len(texts))))]
             for sizes_wanted, where in jobs:
                 some = [texts[i] for i in where]
-                for tokens, doc, place, length, form, hashes, slot, ok in _windows(canon, some, sizes_wanted, literal):
+                text = joined(some)
+                for begins, ends, doc, place, length, form, hashes, slot, ok in _windows(canon, some, sizes_wanted, literal):
                     if bits is not None:
                         ok = ok & (bits[(hashes >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] > 0)
                     for at in np.flatnonzero(ok).tolist():
                         i = where[doc[at]]
-                        text, slots = _describe(tokens, slot, at, length)
+                        words, slots = _describe(text, begins, ends, slot, at, length)
                         h = int(hashes[at : at + 1].view(np.int64)[0])
-                        out.append((ids[i], number + i, sizes[i] if sizes else 0, int(place[at]), length, form, h, text, slots))
+                        out.append((ids[i], number + i, sizes[i] if sizes else 0, int(place[at]), length, form, h, words, slots))
             number += len(ids)
             columns = list(zip(*out)) if out else [[]] * len(_SCHEMA)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _SCHEMA)], schema=_SCHEMA)
